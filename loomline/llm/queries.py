@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import chat_format, quality_rules
+from loomline.llm import chat_format, language_id, ngram_join, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +78,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op5_quality_rules": op5_quality_rules}
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_quality_rules": OP5_SQL}
+JOIN_4_85 = ngram_join.Join(width=4, num=85, den=100)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by Jaccard similarity of their four-word shingles, 85 hundredths or more."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), JOIN_4_85)
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) BETWEEN 1 AND 3 THEN [array_to_string(w, ' ')] WHEN len(w) = 0 THEN []
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM t),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY i, j
+      HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT i, j FROM p UNION SELECT j, i FROM p),
+r(v, c) AS (SELECT i, i FROM e UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.v),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, coalesce(m.c, g.doc_id) AS component_id FROM g LEFT JOIN m ON m.v = g.doc_id
+"""
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model learnt from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    told = language_id.predict(docs, language_id.train(docs))
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the rules, else by trees trained on the URLs that the rules decide."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.train(url_filter.labelled_by_rules(pages)))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_language_id": op4_language_id,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_url_filter": op8_url_filter,
+}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_quality_rules": OP5_SQL}
