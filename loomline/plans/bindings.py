@@ -1,6 +1,466 @@
-"""Queries on the driver tables, one for each operator, with their SQL."""
+"""Queries on the driver tables, one or more for each operator, with the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomline.functions import text as fn
+from loomline.operators import clocks, facts, islands, links, trees, usage, versions
+from loomline.operators.asof import asof
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    return rows.filter(F.col("event_type").isin(*kinds)) if kinds else rows
+
+
+# As-of joins
+
+
+@query("""SELECT p.event_id, p.user_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def asof_backward(spark, sf_dir):
+    left, right = events(spark, sf_dir, "purchase").select("user_id", "ts", "event_id"), events(spark, sf_dir, "click")
+    return asof(left, right, ["user_id"], "ts", {"event_id": "click_id"}, "event_id").select("event_id", "user_id", "click_id")
+
+
+@query("""WITH v AS (SELECT * FROM events WHERE event_type = 'view'), f AS (SELECT user_id, arg_min(event_id, ts) AS first_id FROM v GROUP BY user_id)
+SELECT p.event_id, p.user_id, coalesce(c.event_id, f.first_id) AS view_id FROM (SELECT * FROM events WHERE event_type = 'error') p
+ASOF LEFT JOIN v c ON p.user_id = c.user_id AND p.ts >= c.ts LEFT JOIN f ON f.user_id = p.user_id""")
+def asof_backward_clamped(spark, sf_dir):
+    left, right = events(spark, sf_dir, "error").select("user_id", "ts", "event_id"), events(spark, sf_dir, "view")
+    return asof(left, right, ["user_id"], "ts", {"event_id": "view_id"}, "event_id", clamp=True).select("event_id", "user_id", "view_id")
+
+
+@query("""SELECT p.event_id, p.user_id, c.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'click') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') c ON p.user_id = c.user_id AND p.ts <= c.ts""")
+def asof_forward(spark, sf_dir):
+    left, right = events(spark, sf_dir, "click").select("user_id", "ts", "event_id"), events(spark, sf_dir, "signup")
+    return asof(left, right, ["user_id"], "ts", {"event_id": "signup_id"}, "event_id", forward=True).select("event_id", "user_id", "signup_id")
+
+
+# Runs, turns, folds
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run_no FROM c)
+SELECT user_id, run_no::BIGINT AS run_no, event_type, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS n_events FROM r GROUP BY user_id, run_no, event_type""")
+def utterance_islands(spark, sf_dir):
+    rows = islands.number_runs(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type")
+    return rows.groupBy("user_id", "run_no", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.count("*").alias("n_events"))
+
+
+@query("""WITH r AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)
+SELECT user_id, turn::BIGINT AS turn, count(*) AS n_events, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event
+FROM r WHERE event_type <> 'error' GROUP BY user_id, turn""")
+def marker_turns(spark, sf_dir):
+    rows = islands.number_after(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "turn", keep_markers=False)
+    order = F.struct("ts", "event_id")
+    return rows.groupBy("user_id", "turn").agg(F.count("*").alias("n_events"), F.min_by("event_id", order).alias("first_event"), F.max_by("event_id", order).alias("last_event"))
+
+
+@query("""WITH r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS fold FROM conversations)
+SELECT conv_id, fold::BIGINT AS fold, count(*) AS n_lines, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM r WHERE fold > 0 GROUP BY conv_id, fold""")
+def continuation_fold(spark, sf_dir):
+    return islands.fold_lines(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text")
+
+
+# Link journals and ranks
+
+_OPS = """o AS (SELECT event_id, ts, CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'd+' ELSE 'd-' END AS kind, user_id AS a,
+  CASE WHEN event_type = 'click' THEN floor(value)::BIGINT % 150 END AS b FROM events WHERE event_type IN ('click', 'error', 'signup')),
+p AS (SELECT a AS src, arg_max(kind, (ts, event_id)) AS kind, arg_max(b, (ts, event_id)) AS dst, arg_max(event_id, (ts, event_id)) AS id FROM o WHERE kind IN ('c', 'd+') GROUP BY a),
+m AS (SELECT n AS dst, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS id FROM (SELECT *, CASE kind WHEN 'c' THEN b ELSE a END AS n FROM o WHERE kind IN ('c', 'd-')) GROUP BY n),
+e AS (SELECT src, p.dst, p.id AS event_id FROM p JOIN m ON p.dst = m.dst AND p.id = m.id WHERE p.kind = 'c' AND m.kind = 'c')"""
+
+
+def _journal(spark, sf_dir) -> DataFrame:
+    rows = events(spark, sf_dir, "click", "error", "signup")
+    kind = F.when(F.col("event_type") == "click", "c").when(F.col("event_type") == "error", "d+").otherwise("d-")
+    target = F.when(F.col("event_type") == "click", F.floor("value").cast("long") % 150)
+    return rows.select(kind.alias("kind"), F.col("user_id").alias("a"), target.alias("b"), F.struct("ts", "event_id").alias("seq"))
+
+
+@query(f"WITH {_OPS} SELECT src, dst, event_id FROM e")
+def link_replay(spark, sf_dir):
+    return links.replay(_journal(spark, sf_dir)).select("src", "dst", F.col("seq.event_id").alias("event_id"))
+
+
+@query(f"""WITH {_OPS} SELECT DISTINCT src AS node, 'head' AS role FROM e WHERE src NOT IN (SELECT dst FROM e)
+UNION ALL SELECT DISTINCT dst, 'tail' FROM e WHERE dst NOT IN (SELECT src FROM e)
+UNION ALL SELECT src, 'posward' FROM e GROUP BY src HAVING count(*) > 1 UNION ALL SELECT dst, 'negward' FROM e GROUP BY dst HAVING count(*) > 1""")
+def mirror_check(spark, sf_dir):
+    edges = links.replay(_journal(spark, sf_dir))
+    return links.ends(edges).union(links.broken(edges).select("node", F.col("side").alias("role")))
+
+
+def _order_chain(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = orders.select(F.col("o_orderkey").alias("src"), following.alias("dst")).filter("dst IS NOT NULL")
+    return edges, orders.select(F.col("o_orderkey").alias("node"))
+
+
+_CHAIN = """c AS (SELECT o_orderkey AS node, first_value(o_orderkey) OVER w AS head, row_number() OVER w - 1 AS pos FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+l AS (SELECT head, count(*) AS len FROM c GROUP BY head)"""
+
+
+@query(f"WITH {_CHAIN} SELECT node, head, pos::BIGINT AS pos, false AS is_circular FROM c")
+def rank_walk(spark, sf_dir):
+    return links.ranks(*_order_chain(spark, sf_dir))
+
+
+@query(f"WITH {_CHAIN} SELECT len, count(*) AS n FROM l GROUP BY len ORDER BY len LIMIT 12")
+def rank_hist(spark, sf_dir):
+    return links.lengths(links.ranks(*_order_chain(spark, sf_dir))).groupBy("len").agg(F.count("*").alias("n")).orderBy("len").limit(12)
+
+
+@query(f"WITH {_CHAIN} SELECT head, len FROM l ORDER BY len DESC, head LIMIT 30")
+def rank_top(spark, sf_dir):
+    return links.lengths(links.ranks(*_order_chain(spark, sf_dir))).select("head", "len").orderBy(F.desc("len"), "head").limit(30)
+
+
+@query(f"""WITH {_CHAIN}, n AS (SELECT c.*, len FROM c JOIN l USING (head))
+SELECT head, pos::BIGINT AS pos, node, 0::BIGINT AS hidden FROM n WHERE len <= 10 OR pos < 7 OR pos >= len - 3
+UNION ALL SELECT head, pos::BIGINT, NULL, (len - 10)::BIGINT FROM n WHERE len > 10 AND pos = 7""")
+def rank_elide(spark, sf_dir):
+    return links.elide(links.ranks(*_order_chain(spark, sf_dir)), 10)
+
+
+def _nation_ring(spark, sf_dir) -> DataFrame:
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    first = F.first("n_nationkey").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select("n_regionkey", F.col("n_nationkey").alias("src"), F.coalesce(F.lead("n_nationkey").over(w), first).alias("dst"))
+
+
+@query("""WITH h AS (SELECT n_regionkey, max(n_nationkey::VARCHAR) AS head, count(*) AS len FROM nation GROUP BY n_regionkey)
+SELECT head::INTEGER AS head, len, true AS is_circular FROM h""")
+def ring_head(spark, sf_dir):
+    return links.lengths(links.ranks(_nation_ring(spark, sf_dir).select("src", "dst"))).select("head", "len", "is_circular")
+
+
+# Containment, threads, views
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey // 10 AS container, p_partkey AS thing FROM part WHERE p_partkey // 10 IN (SELECT p_partkey FROM part)),
+r AS (SELECT * FROM e UNION SELECT r.container, e.thing FROM r JOIN e ON e.container = r.thing)
+SELECT container, count(*) AS n_things FROM r GROUP BY container""")
+def contents_closure(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    edges = part.select(F.expr("p_partkey div 10").alias("container"), F.col("p_partkey").alias("thing"))
+    edges = edges.join(part.withColumnRenamed("p_partkey", "container"), "container", "left_semi")
+    return trees.closure(edges).groupBy("container").agg(F.count("*").alias("n_things"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS container, coalesce(lead(n_nationkey) OVER w, first_value(n_nationkey) OVER w) AS thing FROM nation
+  WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)),
+r AS (SELECT * FROM e UNION SELECT r.container, e.thing FROM r JOIN e ON e.container = r.thing) SELECT container, thing FROM r""")
+def closure_cyclic(spark, sf_dir):
+    return trees.closure(_nation_ring(spark, sf_dir).select(F.col("src").alias("container"), F.col("dst").alias("thing")))
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent, p_retailprice AS s FROM part),
+r AS (SELECT id, id AS root, 0 AS depth, [{'s': s, 'id': id}] AS path FROM n WHERE parent IS NULL
+  UNION ALL SELECT n.id, r.root, r.depth + 1, list_append(r.path, {'s': n.s, 'id': n.id}) FROM r JOIN n ON n.parent = r.id)
+SELECT id, root, depth, row_number() OVER (PARTITION BY root ORDER BY path)::BIGINT AS place FROM r""")
+def thread_preorder(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey >= 10 THEN p_partkey div 10 END").alias("parent"), F.col("p_retailprice").alias("sort"))
+    rows = trees.preorder(part)
+    return rows.select("id", "root", "depth", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("place"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+x AS (SELECT k AS a, coalesce(lead(k) OVER w, first_value(k) OVER w) AS b, 0 AS axis FROM g WINDOW w AS (PARTITION BY r ORDER BY k)
+  UNION ALL SELECT g.k, h.k, 1 FROM g JOIN g h ON h.i = g.i AND h.r = g.r + 1),
+s AS (SELECT a, b, 2 * axis AS code FROM x UNION ALL SELECT b, a, 2 * axis + 1 FROM x),
+p AS (SELECT 0 AS cell, 0 AS x, 0 AS y, []::INTEGER[] AS path, 0 AS d
+  UNION ALL SELECT s.b, p.x + CASE code WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END, p.y + CASE code WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END, list_append(p.path, code), d + 1
+  FROM p JOIN s ON s.a = p.cell WHERE d < 7)
+SELECT cell, (arg_min(x, (d, path)))::INTEGER AS x, (arg_min(y, (d, path)))::INTEGER AS y, 0 AS z FROM p GROUP BY cell""")
+def view_grid(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    ring = _nation_ring(spark, sf_dir).select(F.lit(0).alias("axis"), "src", "dst")
+    placed = nation.withColumn("i", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    above = placed.select((F.col("n_regionkey") - 1).alias("n_regionkey"), "i", F.col("n_nationkey").alias("dst"))
+    up = placed.join(above, ["n_regionkey", "i"]).select(F.lit(1).alias("axis"), F.col("n_nationkey").alias("src"), "dst")
+    cells = nation.select(F.col("n_nationkey").alias("cell"))
+    return trees.grid_view(cells.filter("cell = 0"), ring.union(up), cells)
+
+
+# Facts
+
+
+@query("""WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT node, count(*) AS n_connected FROM (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e) GROUP BY node""")
+def connections_both(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    edges = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"))
+    return facts.both_ways(edges).groupBy("node").agg(F.count("*").alias("n_connected"))
+
+
+@query("""SELECT l_partkey AS p_partkey, any_value(p_brand) AS p_brand, count(DISTINCT l_orderkey) AS n_orders FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey""")
+def array_members(spark, sf_dir):
+    held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    each = facts.members(held, "l_orderkey", "parts", "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("n_orders"))
+    return each.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 4000 AS ref FROM orders)
+SELECT o_orderkey, ref, CASE WHEN c_custkey IS NOT NULL THEN 'customer' WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS kind, coalesce(c_name, s_name) AS label
+FROM r LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = ref LEFT JOIN supplier ON s_suppkey = ref""")
+def ref_coalesce(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4000).alias("ref"))
+    return facts.resolve(refs, "ref", [("customer", table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0"), "c_custkey", "c_name"), ("supplier", table(spark, sf_dir, "supplier"), "s_suppkey", "s_name")])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_present(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_missing(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("""WITH w AS (SELECT DISTINCT md5(text) AS digest FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark WHERE item_id % 2 = 0))
+SELECT digest, digest NOT IN (SELECT md5(text) FROM benchmark WHERE text IS NOT NULL) AS created FROM w""")
+def find_or_create(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark")
+    wanted = table(spark, sf_dir, "documents").select("text").union(bench.filter("item_id % 2 = 0").select("text"))
+    return facts.find_or_create(wanted.select(F.md5("text").alias("digest")), bench.select(F.md5("text").alias("digest")), "digest")
+
+
+@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
+def lww_text(spark, sf_dir):
+    return facts.latest(events(spark, sf_dir), ["user_id", "event_type"], "value", ["ts", "event_id"])
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_values, string_agg(o_orderstatus, '>' ORDER BY o_orderdate, o_orderkey) AS trail FROM orders
+GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1""")
+def change_trail(spark, sf_dir):
+    return facts.trail(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", ["o_orderdate", "o_orderkey"])
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type""")
+def history_distinct(spark, sf_dir):
+    return facts.without_repeats(events(spark, sf_dir), ["user_id"], "event_type", ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("""WITH c AS (SELECT doc_id, 1 AS priority, 'good label' AS origin FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 2, 'label' FROM labels
+UNION ALL SELECT doc_id, 3, 'document' FROM documents WHERE lang <> 'de')
+SELECT doc_id, arg_min(origin, priority) AS origin FROM c GROUP BY doc_id""")
+def fallback_priority(spark, sf_dir):
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    tries = labels.select("doc_id", F.lit(1).alias("priority"), F.lit("good label").alias("origin"), (F.col("quality") == 1).alias("ok"))
+    tries = tries.union(labels.select("doc_id", F.lit(2), F.lit("label"), F.lit(True))).union(docs.select("doc_id", F.lit(3), F.lit("document"), F.col("lang") != "de"))
+    return facts.first_found(tries, ["doc_id"], "priority", F.col("ok")).select("doc_id", "origin")
+
+
+@query("SELECT o_custkey AS node, 'posward' AS side, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def restriction_r(spark, sf_dir):
+    return links.broken(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
+
+
+# Versions
+
+_STATE = "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts < TIMESTAMP '2024-01-{day} 00:00:00' GROUP BY user_id, event_type"
+
+
+def _state(spark, sf_dir, day: str) -> DataFrame:
+    rows = events(spark, sf_dir).filter(F.col("ts") < F.lit(f"2024-01-{day} 00:00:00").cast("timestamp"))
+    return facts.latest(rows, ["user_id", "event_type"], "value", ["ts", "event_id"])
+
+
+@query(f"""WITH a AS ({_STATE.format(day='04')}), b AS ({_STATE.format(day='06')})
+SELECT user_id, event_type, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM a FULL JOIN b USING (user_id, event_type) WHERE a.value IS DISTINCT FROM b.value""")
+def version_diff(spark, sf_dir):
+    return versions.diff(_state(spark, sf_dir, "04"), _state(spark, sf_dir, "06"), ["user_id", "event_type"], "value")
+
+
+@query(f"""WITH a AS ({_STATE.format(day='04')}), b AS ({_STATE.format(day='06')})
+SELECT user_id, event_type, sha256(floor(value)::BIGINT::VARCHAR) AS content_hash FROM b
+WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND floor(a.value) = floor(b.value))""")
+def mirror_changed(spark, sf_dir):
+    content = F.floor("value").cast("long").cast("string")
+    out = versions.to_mirror(_state(spark, sf_dir, "06"), _state(spark, sf_dir, "04"), ["user_id", "event_type"], content)
+    return out.select("user_id", "event_type", "content_hash")
+
+
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id ORDER BY min((ts, event_id)) DESC LIMIT 24")
+def fifo_cache(spark, sf_dir):
+    return versions.fifo(events(spark, sf_dir), "user_id", ["ts", "event_id"]).select("user_id", F.col("entered.event_id").alias("event_id"))
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::BIGINT AS revision FROM orders")
+def revision_counter(spark, sf_dir):
+    return versions.with_revision(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey", "revision")
+
+
+@query("""WITH r AS (SELECT o_custkey, count(*) AS revision FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_custkey % 12 AS expected, c_custkey % 12 = coalesce(revision, 0) AS accepted FROM customer LEFT JOIN r ON o_custkey = c_custkey""")
+def optimistic_commit(spark, sf_dir):
+    now = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("revision"))
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 12).alias("expected"))
+    return versions.commit_conflict(now, wanted, ["c_custkey"])
+
+
+@query("""SELECT o_orderkey, o_orderdate + INTERVAL 365 DAY < TIMESTAMP '2000-01-01' AS expired FROM orders""")
+def retention_split(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    kept, gone = versions.retention(orders, F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS"), F.lit("2000-01-01").cast("timestamp"))
+    return kept.select("o_orderkey", F.lit(False).alias("expired")).union(gone.select("o_orderkey", F.lit(True)))
+
+
+# Scalar functions
+
+
+@query("""WITH s AS (SELECT event_id, greatest(0, round_even(value * 100, 0))::BIGINT AS s FROM events)
+SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS hms FROM s""")
+def hms_half_even(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", fn.hms(F.col("value") * 100).alias("hms"))
+
+
+@query("""WITH s AS (SELECT event_id, floor(greatest(0, value * 100))::BIGINT AS s FROM events)
+SELECT event_id, CASE WHEN s < 3600 THEN printf('%02d:%02d', s // 60, s % 60) ELSE printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS clock FROM s""")
+def fmt_ts(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", fn.clock(F.col("value") * 100).alias("clock"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+  list_last(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')) AS last FROM pages""")
+def url_parts(spark, sf_dir):
+    path = fn.url_path(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", fn.url_scheme(F.col("url")).alias("scheme"), path.alias("path"), fn.last_component(path).alias("last"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_expand(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, substr(text, 101, 50) AS span FROM documents WHERE strlen(text) = length(text)")
+def byte_span(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
+    return docs.select("doc_id", F.decode(fn.byte_span(F.col("text"), 100, 50), "UTF-8").alias("span"))
+
+
+@query("""WITH w AS (SELECT page_id, len(regexp_extract_all(html, '[^ \\t\\n\\x0B\\f\\r]+')) AS n_source, len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^ \\t\\n\\x0B\\f\\r]+')) AS n_text FROM pages)
+SELECT page_id, n_source::BIGINT AS n_source, n_text::BIGINT AS n_text, round(n_text / greatest(n_source, 1), 6) AS coverage, n_text / greatest(n_source, 1) < 0.85 AS low FROM w""")
+def coverage_ratio(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", fn.word_count(F.col("html")).alias("n_source"), fn.word_count(fn.without_tags(F.col("html"))).alias("n_text"))
+    share = F.col("n_text") / F.greatest("n_source", F.lit(1))
+    return pages.select("page_id", "n_source", "n_text", F.round(share, 6).alias("coverage"), (share < 0.85).alias("low"))
+
+
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'signup') AND bool_or(event_type <> 'signup') THEN 'mixed' WHEN bool_or(event_type = 'signup') THEN 'content' ELSE 'dimension' END AS kind
+FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id""")
+def kind_flags(spark, sf_dir):
+    rows = events(spark, sf_dir).filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp"))
+    text, link = F.bool_or(F.col("event_type") == "signup"), F.bool_or(F.col("event_type") != "signup")
+    return rows.groupBy("user_id").agg(F.when(text & link, "mixed").when(text, "content").otherwise("dimension").alias("kind"))
+
+
+# Reading analytics (designs only, where the operators come from); a session ends after a gap of 30 minutes
+
+_SESSIONS = """q AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS ch FROM events),
+s AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM q)"""
+
+
+def _sessions(spark, sf_dir) -> DataFrame:
+    return islands.number_sessions(events(spark, sf_dir), ["user_id"], "ts", "event_id", 1800)
+
+
+@query(f"""WITH {_SESSIONS} SELECT user_id, session_no::BIGINT AS session_no, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event,
+  (max(epoch_us(ts)) - min(epoch_us(ts)))::BIGINT AS duration_us, count(*) AS n_events, count(DISTINCT event_type) AS n_nodes FROM s GROUP BY user_id, session_no""")
+def session_rollup(spark, sf_dir):
+    return usage.session_summary(_sessions(spark, sf_dir), ["user_id", "session_no"], "ts", "event_id", "event_type")
+
+
+@query(f"""WITH {_SESSIONS}, l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id)) - epoch_us(ts) AS d FROM s)
+SELECT event_type, coalesce(sum(d), 0)::BIGINT AS spent_us, count(*) AS n_visits FROM l GROUP BY event_type""")
+def time_per_node(spark, sf_dir):
+    return usage.time_per_node(_sessions(spark, sf_dir), ["user_id", "session_no"], "ts", "event_id", "event_type")
+
+
+@query("SELECT (props->>'$.k')::BIGINT % 5 AS depth, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
+def depth_hist(spark, sf_dir):
+    return events(spark, sf_dir, "view").groupBy((F.get_json_object("props", "$.k").cast("long") % 5).alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT hour(ts)::INTEGER AS hour, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
+def usage_report(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
+
+
+@query(f"""WITH {_SESSIONS}, l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id)) - epoch_us(ts) AS d FROM s)
+SELECT user_id, coalesce(sum(d), 0)::BIGINT AS spent_us, count(*) AS n_visits FROM l GROUP BY user_id ORDER BY spent_us DESC, user_id LIMIT 10""")
+def usage_top_users(spark, sf_dir):
+    return usage.time_per_node(_sessions(spark, sf_dir), ["user_id", "session_no"], "ts", "event_id", "user_id").orderBy(F.desc("spent_us"), "user_id").limit(10)
+
+
+@query("""SELECT event_type AS node, next_node, count(*) AS n FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_node FROM events)
+WHERE next_node IS NOT NULL GROUP BY 1, 2""")
+def usage_bigrams(spark, sf_dir):
+    return usage.bigrams(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2""")
+def weekly_rollup(spark, sf_dir):
+    week = F.date_format(usage.shared_level(F.col("ts"), "weekly"), "yyyy-MM-dd")
+    return events(spark, sf_dir).groupBy(week.alias("week"), "event_type").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
+
+
+@query("""SELECT hour(ts)::INTEGER AS hour, event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_persons FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 65""")
+def k_anonymize(spark, sf_dir):
+    return usage.k_anonymous(events(spark, sf_dir).withColumn("hour", F.hour("ts")), ["hour", "event_type"], "user_id", 65)
+
+
+@query("""WITH d AS (SELECT o_custkey, l_suppkey, count(*) AS n_direct FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+s AS (SELECT o_custkey, s_nationkey, sum(n_direct) AS n_same FROM d JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
+SELECT d.o_custkey, d.l_suppkey, (100 * n_direct + 5 * n_same + CASE WHEN c_nationkey = s.s_nationkey THEN 50 ELSE 0 END)::BIGINT AS score
+FROM d JOIN supplier u ON u.s_suppkey = d.l_suppkey JOIN s ON s.o_custkey = d.o_custkey AND s.s_nationkey = u.s_nationkey JOIN customer ON c_custkey = d.o_custkey""")
+def trust_score(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    direct = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n_direct"))
+    named = direct.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    same = named.groupBy("o_custkey", "s_nationkey").agg(F.sum("n_direct").alias("n_same"))
+    home = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    cited = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 50).otherwise(0)
+    return named.join(same, ["o_custkey", "s_nationkey"]).join(home, "o_custkey").select("o_custkey", "l_suppkey", (100 * F.col("n_direct") + 5 * F.col("n_same") + cited).cast("long").alias("score"))
+
+
+@query("""WITH v AS (SELECT DISTINCT o_custkey, day(o_orderdate)::INTEGER AS x, month(o_orderdate)::INTEGER AS y FROM orders)
+SELECT * FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.o_custkey = a.o_custkey AND b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))""")
+def mvr_survivors(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.dayofmonth("o_orderdate").alias("x"), F.month("o_orderdate").alias("y")).distinct()
+    return clocks.survivors(rows, ["o_custkey"], ["x", "y"]).select("o_custkey", "x", "y")
+
+
+@query("SELECT user_id, count(*) AS n, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS digest FROM events GROUP BY user_id")
+def log_digest(spark, sf_dir):
+    return clocks.log_digest(events(spark, sf_dir), ["user_id"], "event_id")
