@@ -5,13 +5,13 @@ failed rule. A ``Policy`` is a version and a mask; ``apply_policy`` is one bitwi
 works on the histogram of bit patterns, so neither reads a text again.
 
 Defined cases: a null text has no words and measures zero everywhere; an empty text likewise; repeated rows give
-repeated ledger rows; an empty table gives an empty ledger; extra columns of the input are not carried over, so their
-names can't clash. Every comparison is between integers, so ties at a threshold are exact (at the threshold: passed).
+repeated ledger rows; an empty table gives an empty ledger; only the columns that ``carry`` names are passed on (a struct
+of any columns will do), so other names can't clash. Every comparison is between integers, so ties at a threshold are exact (at the threshold: passed).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,7 +92,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            data, rows = text_bytes(batch.column(1))
+            data, rows = text_bytes(batch.column(batch.num_columns - 1))
             starts, ends, first = word_spans(data, rows)
             spaces = np.isin(data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
             duplicates, lines = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -109,17 +109,19 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 _per_row(bang[data], rows),
                 lines,
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in counts)], names=[*whole.schema.names[:-1], *MEASURES])
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and MEASURES of every whole text, in one pass without a shuffle.
+def measure(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``carry`` and MEASURES of every whole text, in one pass without a shuffle.
 
     Words are runs of characters other than space and controls 9 to 13. ``n_dup_lines`` counts lines (split at \\n)
     that have a word and equal an earlier line; ``n_repeat_words`` the words inside three-word windows that occur at
     least twice in the text, the first occurrence included; ``n_lines`` the lines that have a word.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measure_batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    frame = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    kept = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[:-1])
+    return frame.mapInArrow(_measure_batches, kept + ", " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -129,9 +131,9 @@ def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
     return total
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, MEASURES and ``fail_bits``: bit b is set where rule b fails."""
-    return measure(docs).withColumn("fail_bits", fail_bits(rules))
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``carry``, MEASURES and ``fail_bits``: bit b is set where rule b fails."""
+    return measure(docs, carry).withColumn("fail_bits", fail_bits(rules))
 
 
 def apply_policy(rows: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import chat_format, language_id, ngram_join, quality_rules, url_filter
+from loomline.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_counts, url_filter, warc
+from loomline.llm.shared import materialise, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,11 +114,88 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.train(url_filter.labelled_by_rules(pages)))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through legacy ARC records into WARC archives, and read back."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark items, by windows of ten words."""
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[b:b + 9], ' ') AS g
+      FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS b FROM i WHERE len(w) > 0)),
+z AS (SELECT DISTINCT size FROM v),
+p AS (SELECT k, size, b, array_to_string(w[b:b + size - 1], ' ') AS g
+      FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS b FROM d, z WHERE len(w) >= size)),
+h AS (SELECT k, item_id, b, p.size AS size FROM p JOIN v ON p.g = v.g AND p.size = v.size),
+n AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(b, b + size)) AS q FROM h) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN t ON t.k = d.k
+"""
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, one of them replayed: provisional counts, their revision, withdrawn documents.
+
+    Documents enter with a quarter of their bytes as provisional count of each tokenizer, then come the counts proper,
+    then documents labelled toxic leave; the revision arrives a second time and is not applied again.
+    """
+    docs = table(spark, sf_dir, "documents")
+    counts = token_counts.count_tokens(docs).alias("c")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    known = materialise(counts.join(toxic, "doc_id", "left"), "counts")
+    first = docs.select("source", "lang", F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("guess"))
+    kinds = F.explode(F.array(*[F.lit(t) for t in token_counts.TOKENIZERS])).alias("tokenizer")
+    provisional = first.groupBy("source", "lang").agg(F.count("*").alias("d_docs"), F.sum("guess").alias("d_tokens"))
+    revised = token_counts.deletes(first.withColumnRenamed("guess", "n_tokens").select("source", "lang", "n_tokens", kinds)).union(token_counts.inserts(known))
+    rollup = token_counts.Rollup(spark, shared_path(spark, "rollup"))
+    rollup.commit("001-provisional", provisional.select("source", "lang", kinds, "d_docs", "d_tokens"))
+    rollup.commit("002-revised", revised)
+    rollup.compact()
+    rollup.commit("003-withdrawn", token_counts.deletes(known.filter("toxic")))
+    rollup.commit("002-revised", revised)
+    return rollup.totals()
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p),
+b AS (SELECT *, hex || '' AS h FROM m)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h || '0000', 1 + (i * 5) // 4, 3))::BIGINT // (1 << (12 - 5 - (i * 5) % 4))) % 32)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to FROM b
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_quality_rules": OP5_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
