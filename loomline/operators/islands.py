@@ -42,3 +42,22 @@ def number_sessions(df: DataFrame, by: Sequence[str], ts: str, tie: str, gap_sec
     before = F.lag(ts).over(Window.partitionBy(*by).orderBy(ts, tie))
     gap = micros(F.col(ts)) - micros(before)
     return number_after(df, by, [ts, tie], before.isNull() | (gap > gap_seconds * 1_000_000), name, keep_markers=True)
+
+
+def number_heads(df: DataFrame, by: Sequence[str], order: str, level: str, levels: int) -> DataFrame:
+    """``number`` of nested heads (1, 1.1, 1.2, 2, …): each level counts within its ancestors and begins anew under the next."""
+    out, within = df, list(by)
+    for k in range(levels):
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(f"_n{k}", F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(w))
+        within.append(f"_n{k}")
+    number = F.concat_ws(".", *[F.when(F.col(level) >= k, F.col(f"_n{k}").cast("string")) for k in range(levels)])
+    return out.withColumn("number", number).drop(*[f"_n{k}" for k in range(levels)])
+
+
+def pair_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column, key: str, open_name: str, close_name: str) -> DataFrame:
+    """Pairs the k-th opening row of a key with its k-th closing one (first in, first out); unclosed ones stay with null."""
+    rows = df.withColumn("_open", opens).withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_open").orderBy(*order)))
+    a = rows.filter("_open").select(*by, "_k", F.col(key).alias(open_name))
+    b = rows.filter("NOT _open").select(*by, "_k", F.col(key).alias(close_name))
+    return a.join(b, [*by, "_k"], "left").drop("_k")

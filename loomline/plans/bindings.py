@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from loomline.functions import text as fn
 from loomline.operators import clocks, facts, islands, links, trees, usage, versions
 from loomline.operators.asof import asof
+from loomline.sources import documents as nested
+from loomline.sources import journal, transcripts
+from loomline.streaming import log as logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -464,3 +467,136 @@ def mvr_survivors(spark, sf_dir):
 @query("SELECT user_id, count(*) AS n, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS digest FROM events GROUP BY user_id")
 def log_digest(spark, sf_dir):
     return clocks.log_digest(events(spark, sf_dir), ["user_id"], "event_id")
+
+
+# Sources: the driver tables written in each format's own text or bytes, and read back
+
+
+@query("""WITH o AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'd+' WHEN 'signup' THEN 'd-' ELSE 's' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+SELECT 'journal-' || user_id AS file, (n // 10)::INTEGER AS block_idx, (n % 10)::INTEGER AS op_idx, kind, event_id::VARCHAR AS a,
+  CASE WHEN kind IN ('c', 's') THEN 'é' || chr(128512) || event_id END AS b FROM o""")
+def journal_decode(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.when(F.col("event_type") == "click", "c").when(F.col("event_type") == "error", "d+").when(F.col("event_type") == "signup", "d-").otherwise("s")
+    rows = events(spark, sf_dir).select("user_id", "event_id", kind.alias("kind"), (F.row_number().over(w) - 1).alias("n"))
+
+    def text(value):
+        raw = F.encode(value, "UTF-8")
+        return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(value)), 4, "0")), raw)
+
+    # a supplementary character is two surrogates in this format: its six bytes stand in plain
+    face = F.unhex(F.lit("EDA0BDEDB880"))
+    tail = F.col("event_id").cast("string")
+    body = F.concat(F.encode(F.lit("é"), "UTF-8"), face, F.encode(tail, "UTF-8"))
+    named = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 4, "0")), body)
+    op = F.concat(F.encode("kind", "UTF-8"), text(tail), F.when(F.col("kind").isin("c", "s"), named).otherwise(F.unhex(F.lit(""))))
+    blocks = rows.withColumn("op", F.hex(op)).groupBy("user_id", F.floor(F.col("n") / 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "op"))).alias("ops"))
+    whole = F.array_join(F.transform("ops", lambda o: o["op"]), "")
+    blocks = blocks.select("user_id", "block", F.concat(F.lit("74"), F.lpad(F.hex("block"), 8, "0"), F.lpad(F.hex((F.length(whole) / 2).cast("long")), 8, "0"), whole).alias("hex"))
+    files = blocks.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("block", "hex"))).alias("b"))
+    content = F.unhex(F.concat(F.lit("475A5A30" + "0" * 24), F.array_join(F.transform("b", lambda x: x["hex"]), "")))
+    ops = journal.operations(files.select(F.concat(F.lit("journal-"), F.col("user_id")).alias("file"), content.alias("content")))
+    return ops.select("file", "block_idx", "op_idx", "kind", "a", "b")
+
+
+_FLAT = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN role ELSE 'user' END AS speaker, {_FLAT} AS said FROM conversations),
+k AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY conv_id ORDER BY turn) = speaker THEN 0 ELSE 1 END AS ch FROM c),
+u AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn) AS utterance FROM k)
+SELECT 'conv-' || conv_id AS file, utterance::BIGINT AS utterance, speaker, (min(turn) * 61)::DOUBLE AS start_s, count(*) AS n_cues, string_agg(said, ' ' ORDER BY turn) AS text FROM u GROUP BY conv_id, utterance, speaker""")
+def captions_utterances(spark, sf_dir):
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+", " "))
+    speaker = F.when(F.col("conv_id") % 2 == 0, F.col("role")).otherwise("user")
+    at = F.col("turn") * 61
+    time = F.format_string("%02d:%02d:%02d.000", F.floor(at / 3600), F.floor(at % 3600 / 60), at % 60)
+    cue = F.concat(F.col("turn").cast("string"), F.lit("\n"), time, F.lit(" --> 99:00:00.000\n"), speaker, F.lit(": "), said)
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
+    text = F.concat(F.lit("WEBVTT\r\n\r\n"), F.array_join(F.transform("cues", lambda c: c["cue"]), "\n\n"))
+    return transcripts.utterances(transcripts.cues(rows.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("file"), text.alias("text"))))
+
+
+@query("""SELECT 'conv-' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS message, greatest(0, turn * 61 - 100)::DOUBLE AS t_s, role AS sender, turn % 3 = 1 AS is_private,
+  CASE WHEN rtrim(string_split(coalesce(text, ''), chr(10))[1]) = '' THEN '' ELSE rtrim(string_split(coalesce(text, ''), chr(10))[1]) || substr(coalesce(text, ''), length(string_split(coalesce(text, ''), chr(10))[1]) + 1) END AS text
+FROM conversations""")
+def chat_messages(spark, sf_dir):
+    at = F.col("turn") * 61
+    time = F.format_string("%02d:%02d:%02d", F.floor(at / 3600), F.floor(at % 3600 / 60), at % 60)
+    sender = F.when(F.col("turn") % 3 == 1, F.concat("role", F.lit(" to Somebody (Direct Message)"))).otherwise(F.col("role"))
+    line = F.concat(time, F.lit("\t"), sender, F.lit(":\t"), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    text = F.concat(F.lit("dropped first line\n"), F.array_join(F.transform("lines", lambda c: c["line"]), "\n"))
+    return transcripts.chats(rows.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("file"), text.alias("text")), subtract_s=100.0)
+
+
+@query("""SELECT 'link-' || doc_id AS file, endset::INTEGER AS endset, 1 AS span, 10 * endset::BIGINT AS start, 40::BIGINT AS length, CASE WHEN endset = 2 AND doc_id % 5 = 0 THEN NULL ELSE substr(text, 10 * endset + 1, 40) END AS quoted,
+  CASE WHEN endset = 2 AND doc_id % 5 = 0 THEN 'source not found' END AS problem
+FROM documents, (SELECT unnest([1, 2]) AS endset) WHERE strlen(text) = length(text) AND length(text) >= 60""")
+def span_quotes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter((F.octet_length("text") == F.length("text")) & (F.length("text") >= 60)).select("doc_id", "text")
+    second = F.when(F.col("doc_id") % 5 == 0, "missing.txt").otherwise(F.concat(F.lit("DOC-"), F.col("doc_id"), F.lit(".txt")))
+    stanza = F.concat(F.lit("TYPE=quotation\nENDSET 1\nhttp://host/doc-"), F.col("doc_id"), F.lit(".txt\nSTART=10\nLENGTH=40\nENDSET 2\nhttp://host/"), second, F.lit("\nSTART=20\nLENGTH=40\n"))
+    sources = docs.select(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    found = transcripts.extract_spans(transcripts.spans(docs.select(F.concat(F.lit("link-"), F.col("doc_id")).alias("file"), stanza.alias("text"))), sources)
+    return found.select("file", "endset", "span", "start", "length", F.decode("bytes", "UTF-8").alias("quoted"), "problem")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders)
+SELECT 'owner-' || o_custkey AS owner, 'd1' AS dim, src::VARCHAR AS src, dst::VARCHAR AS dst FROM e WHERE dst IS NOT NULL""")
+def snapshot_edges(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("owner-"), F.col("o_custkey")).alias("ownerId"), F.col("o_orderkey").cast("string").alias("cellId"), F.lit("d1").alias("dimensionId"), F.lag("o_orderkey").over(w).cast("string").alias("negwardId"), F.lead("o_orderkey").over(w).cast("string").alias("poswardId"))
+    cells = rows.select("ownerId", F.col("cellId").alias("id"), F.lit("plain").alias("kind"))
+    dims = rows.select("ownerId", F.lit("d1").alias("id"), F.lit("user").alias("namespace"), F.lit("next").alias("name")).distinct()
+    revisions = rows.groupBy("ownerId").agg(F.count("*").alias("revision"))
+    told = nested.snapshot_json(cells, dims, rows, revisions).select(F.from_json("json", nested.SNAPSHOT).alias("s"))
+    return nested.mirrored(told.select(F.col("s.ownerId").alias("ownerId"), F.inline("s.connections")))
+
+
+@query("SELECT user_id, count(*) AS length, sum(strlen(props))::BIGINT AS byte_length FROM events GROUP BY user_id")
+def log_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ")
+    stream = logs.open_log(spark, "parquet", sf_dir, schema, glob="events.parquet")
+    return logs.lengths(logs.replicated(spark, stream), ["user_id"], "props")
+
+
+# Numbering of nested heads, and sketches of note streams
+
+
+@query("""WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_quantity::INTEGER % 3 AS raw FROM lineitem WHERE l_orderkey % 10 = 0),
+l AS (SELECT *, CASE WHEN seq = 1 THEN 0 ELSE raw END AS level FROM h),
+a AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY l_orderkey ORDER BY seq) AS n0 FROM l),
+b AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY l_orderkey, n0 ORDER BY seq) AS n1 FROM a),
+c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY l_orderkey, n0, n1 ORDER BY seq) AS n2 FROM b)
+SELECT l_orderkey, seq::BIGINT AS seq, CASE level WHEN 0 THEN n0::VARCHAR WHEN 1 THEN n0 || '.' || n1 ELSE n0 || '.' || n1 || '.' || n2 END AS number FROM c""")
+def section_numbers(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    heads = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").withColumn("seq", F.row_number().over(w).cast("long"))
+    heads = heads.select("l_orderkey", "seq", F.when(F.col("seq") == 1, 0).otherwise(F.col("l_quantity").cast("int") % 3).alias("level"))
+    return islands.number_heads(heads, ["l_orderkey"], "seq", "level", 3).select("l_orderkey", "seq", "number")
+
+
+_NOTES = """n AS (SELECT event_id, user_id, ts, floor(value)::BIGINT % 12 AS pitch, event_type = 'click' AS is_on FROM events WHERE event_type IN ('click', 'view')),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id, pitch, is_on ORDER BY ts, event_id) AS k FROM n)"""
+
+
+@query(f"""WITH {_NOTES} SELECT a.event_id AS on_id, b.event_id AS off_id, a.user_id, a.pitch FROM (SELECT * FROM s WHERE is_on) a
+LEFT JOIN (SELECT * FROM s WHERE NOT is_on) b ON b.user_id = a.user_id AND b.pitch = a.pitch AND b.k = a.k""")
+def note_pairs_fifo(spark, sf_dir):
+    rows = events(spark, sf_dir, "click", "view").select("event_id", "user_id", "ts", (F.floor("value").cast("long") % 12).alias("pitch"), (F.col("event_type") == "click").alias("is_on"))
+    return islands.pair_in_order(rows, ["user_id", "pitch"], ["ts", "event_id"], F.col("is_on"), "event_id", "on_id", "off_id").select("on_id", "off_id", "user_id", "pitch")
+
+
+@query(f"WITH {_NOTES} SELECT user_id, min(pitch) AS lowest, max(pitch) AS highest, count(*) AS n_notes FROM n WHERE is_on GROUP BY user_id")
+def note_ranges(spark, sf_dir):
+    rows = events(spark, sf_dir, "click").select("user_id", (F.floor("value").cast("long") % 12).alias("pitch"))
+    return rows.groupBy("user_id").agg(F.min("pitch").alias("lowest"), F.max("pitch").alias("highest"), F.count("*").alias("n_notes"))
+
+
+@query("""WITH t AS (SELECT event_id, user_id, ts, event_id % 97 AS delta FROM events)
+SELECT event_id, user_id, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS tick FROM t""")
+def absolute_ticks(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return events(spark, sf_dir).select("event_id", "user_id", F.sum(F.col("event_id") % 97).over(w).alias("tick"))
