@@ -56,3 +56,33 @@ def first_found(candidates: DataFrame, by: Sequence[str], priority: str, found:
     """Of the candidates that were found, the one of least priority for each key."""
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(priority))
     return candidates.filter(found).withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
+
+
+def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each group, each with ``hidden``: how many more the group has."""
+    w = Window.partitionBy(*by)
+    rows = df.withColumn("_rn", F.row_number().over(w.orderBy(*order))).withColumn("hidden", F.greatest(F.count("*").over(w) - n, F.lit(0)))
+    return rows.filter(F.col("_rn") <= n).drop("_rn")
+
+
+def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
+    """A shallow merge: fields of the patch override where they aren't null; new keys come in."""
+    fields = [c for c in base.columns if c != key]
+    other = patch.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
+    return base.join(other, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in fields])
+
+
+def access_status(requests: DataFrame, users: DataFrame, structures: DataFrame, writing: Column) -> DataFrame:
+    """Requests (header, owner) with ``status``, in this order: 401 unknown caller, 404 unknown owner, 403 writing another's, 200."""
+    caller = F.regexp_extract("header", "(?i)^Bearer\\s+(.+)$", 1)
+    known = users.select(F.col("user").alias("_user")).distinct()
+    there = structures.select(F.col("owner").alias("owner"), F.lit(True).alias("_there")).distinct()
+    rows = requests.withColumn("_caller", caller).join(known, F.col("_caller") == F.col("_user"), "left").join(there, "owner", "left")
+    status = F.when(F.col("_user").isNull(), 401).when(F.col("_there").isNull(), 404).when(writing & (F.col("_user") != F.col("owner")), 403).otherwise(200)
+    return rows.withColumn("status", status).drop("_caller", "_user", "_there")
+
+
+def verified(content: DataFrame, expected: DataFrame, key: str, text: str, digest: str) -> DataFrame:
+    """(key, state): verified, corrupted or new, by SHA-256."""
+    rows = content.select(key, F.sha2(text, 256).alias("_is")).join(expected.select(key, F.col(digest).alias("_should")), key, "left")
+    return rows.select(key, F.when(F.col("_should").isNull(), "new").when(F.col("_is") == F.col("_should"), "verified").otherwise("corrupted").alias("state"))

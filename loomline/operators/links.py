@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.asof import asof
 from loomline.storage import materialise
 
 
@@ -91,3 +92,29 @@ def elide(ranked: DataFrame, most: int) -> DataFrame:
     kept = rows.filter((F.col("n") <= most) | (F.col("pos") < most - 3) | (F.col("pos") >= F.col("n") - 3)).select("head", "pos", "node", F.lit(0).cast("long").alias("hidden"))
     gaps = rows.filter((F.col("n") > most) & (F.col("pos") == most - 3)).select("head", "pos", F.lit(None).cast(dict(ranked.dtypes)["node"]).alias("node"), (F.col("n") - most).cast("long").alias("hidden"))
     return kept.filter("NOT (node IS NULL)").union(gaps)
+
+
+def narrate(ops: DataFrame) -> DataFrame:
+    """Each op (kind, a, b, seq: a whole number) with what it did: ``outcome``, and the neighbours it detached.
+
+    The state before an op needs no replay: the last earlier op on a cell's side says which link it had, and that link
+    still held if it is also the last earlier op on the other end. That is two as-of joins for either side.
+    """
+    ops = ops.select("kind", "a", "b", "seq").withColumn("before", F.col("seq") - 1)
+    forward = ops.filter("kind IN ('c', 'd+')").select(F.col("a").alias("cell"), F.col("seq").alias("before"), F.col("seq").alias("op"), F.when(F.col("kind") == "c", F.col("b")).alias("other"))
+    backward = ops.filter("kind IN ('c', 'd-')").select(F.when(F.col("kind") == "c", F.col("b")).otherwise(F.col("a")).alias("cell"), F.col("seq").alias("before"), F.col("seq").alias("op"), F.when(F.col("kind") == "c", F.col("a")).alias("other"))
+
+    def neighbour(asked: DataFrame, mine: DataFrame, theirs: DataFrame, name: str) -> DataFrame:
+        """(op, name): the cell linked to ``cell`` on this side just before ``op``."""
+        had = asof(asked, mine, ["cell"], "before", {"op": "link", "other": "other"}, "op").filter("other IS NOT NULL")
+        held = asof(had.select(F.col("other").alias("cell"), "before", "op", "link"), theirs, ["cell"], "before", {"op": "last"}, "op")
+        return held.filter("last = link").select("op", F.col("cell").alias(name))
+
+    asks_forward = ops.filter("kind IN ('c', 'd+')").select(F.col("a").alias("cell"), "before", F.col("seq").alias("op"))
+    asks_backward = ops.filter("kind IN ('c', 'd-')").select(F.when(F.col("kind") == "c", F.col("b")).otherwise(F.col("a")).alias("cell"), "before", F.col("seq").alias("op"))
+    after, prior = neighbour(asks_forward, forward, backward, "had_next"), neighbour(asks_backward, backward, forward, "had_prev")
+    out = ops.withColumnRenamed("seq", "op").join(after, "op", "left").join(prior, "op", "left")
+    same = (F.col("kind") == "c") & F.col("had_next").eqNullSafe(F.col("b"))
+    gone = F.col("had_next").isNotNull() | F.col("had_prev").isNotNull()
+    outcome = F.when(F.col("kind") == "s", "text").when(F.col("kind") == "c", F.when(same, "noop").otherwise("link")).otherwise(F.when(gone, "unlink").otherwise("noop"))
+    return out.select(F.col("op").alias("seq"), "kind", "a", "b", outcome.alias("outcome"), F.when(~same, F.col("had_next")).alias("detached_next"), F.when(~same, F.col("had_prev")).alias("detached_prev"))

@@ -600,3 +600,66 @@ SELECT event_id, user_id, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, eve
 def absolute_ticks(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return events(spark, sf_dir).select("event_id", "user_id", F.sum(F.col("event_id") % 97).over(w).alias("tick"))
+
+
+@query("""WITH o AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'd+' WHEN 'signup' THEN 'd-' ELSE 's' END AS kind, user_id AS a,
+  CASE WHEN event_type = 'click' THEN floor(value)::BIGINT % 150 END AS b FROM events),
+f AS (SELECT a AS cell, seq, CASE kind WHEN 'c' THEN b END AS other FROM o WHERE kind IN ('c', 'd+')),
+g AS (SELECT CASE kind WHEN 'c' THEN b ELSE a END AS cell, seq, CASE kind WHEN 'c' THEN a END AS other FROM o WHERE kind IN ('c', 'd-')),
+n1 AS (SELECT f.seq AS op, p.other, p.seq AS link FROM f ASOF JOIN f p ON p.cell = f.cell AND p.seq < f.seq WHERE p.other IS NOT NULL),
+n2 AS (SELECT op, n1.other AS had_next FROM n1 ASOF JOIN g ON g.cell = n1.other AND g.seq < n1.op WHERE g.seq = link),
+m1 AS (SELECT g.seq AS op, p.other, p.seq AS link FROM g ASOF JOIN g p ON p.cell = g.cell AND p.seq < g.seq WHERE p.other IS NOT NULL),
+m2 AS (SELECT op, m1.other AS had_prev FROM m1 ASOF JOIN f ON f.cell = m1.other AND f.seq < m1.op WHERE f.seq = link),
+j AS (SELECT o.*, had_next, had_prev, kind = 'c' AND had_next IS NOT DISTINCT FROM b AS same FROM o LEFT JOIN n2 ON n2.op = seq LEFT JOIN m2 ON m2.op = seq)
+SELECT seq, kind, a, b, CASE WHEN kind = 's' THEN 'text' WHEN same THEN 'noop' WHEN kind = 'c' THEN 'link' WHEN had_next IS NOT NULL OR had_prev IS NOT NULL THEN 'unlink' ELSE 'noop' END AS outcome,
+  CASE WHEN NOT same THEN had_next END AS detached_next, CASE WHEN NOT same THEN had_prev END AS detached_prev FROM j""")
+def replay_narration(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "c").when(F.col("event_type") == "error", "d+").when(F.col("event_type") == "signup", "d-").otherwise("s")
+    target = F.when(F.col("event_type") == "click", F.floor("value").cast("long") % 150)
+    return links.narrate(events(spark, sf_dir).select(kind.alias("kind"), F.col("user_id").alias("a"), target.alias("b"), F.col("event_id").alias("seq")))
+
+
+@query("""SELECT user_id, event_id, hidden FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, greatest(count(*) OVER (PARTITION BY user_id) - 12, 0)::BIGINT AS hidden FROM events) WHERE rn <= 12""")
+def top_per_block(spark, sf_dir):
+    return facts.top_per_group(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], 12).select("user_id", "event_id", "hidden")
+
+
+@query("""SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(s_name, c_name) AS name, coalesce(s_acctbal, c_acctbal) AS balance
+FROM customer FULL JOIN (SELECT s_suppkey + 100 AS s_suppkey, s_name, s_acctbal FROM supplier) ON s_suppkey = c_custkey""")
+def registry_upsert(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    patch = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100).alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return facts.upsert(base, patch, "key")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Basic x' ELSE 'bearer  u' || o_custkey END AS header, 'u' || (o_custkey + o_orderkey % 3 - 1) AS owner, o_orderkey % 2 = 0 AS w,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'u' || o_custkey END AS caller FROM orders),
+u AS (SELECT 'u' || c_custkey AS id FROM customer WHERE c_custkey % 11 <> 0)
+SELECT o_orderkey, CASE WHEN caller IS NULL OR caller NOT IN (SELECT id FROM u) THEN 401 WHEN owner NOT IN (SELECT id FROM u) THEN 404 WHEN w AND caller <> owner THEN 403 ELSE 200 END AS status FROM r""")
+def access_chain(spark, sf_dir):
+    user = F.concat(F.lit("u"), F.col("o_custkey"))
+    header = F.when(F.col("o_orderkey") % 7 == 0, "Basic x").otherwise(F.concat(F.lit("bearer  "), user))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"), F.concat(F.lit("u"), F.col("o_custkey") + F.col("o_orderkey") % 3 - 1).alias("owner"))
+    users = table(spark, sf_dir, "customer").filter("c_custkey % 11 <> 0").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("user"))
+    return facts.access_status(asked, users, users.withColumnRenamed("user", "owner"), F.col("o_orderkey") % 2 == 0).select("o_orderkey", "status")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'corrupted' ELSE 'verified' END AS state FROM documents""")
+def content_verified(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    expected = docs.filter("doc_id % 3 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
+    return facts.verified(docs, expected, "doc_id", "text", "digest")
+
+
+@query("""WITH t AS (SELECT user_id, event_id AS tick, floor(value)::BIGINT % 100 AS rate FROM events WHERE event_type = 'signup'),
+b AS (SELECT *, coalesce(sum(rate * d) OVER (PARTITION BY user_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+      FROM (SELECT *, lead(tick) OVER (PARTITION BY user_id ORDER BY tick) - tick AS d FROM t))
+SELECT e.event_id, e.user_id, (base + (e.event_id - tick) * rate)::BIGINT AS at FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN b ON b.user_id = e.user_id AND e.event_id >= b.tick""")
+def tempo_map(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    marks = events(spark, sf_dir, "signup").select("user_id", "event_id", (F.floor("value").cast("long") % 100).alias("rate"), (F.lead("event_id").over(w) - F.col("event_id")).alias("d"))
+    base = F.coalesce(F.sum(F.col("rate") * F.col("d")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = marks.select("user_id", "event_id", "rate", base.alias("base"), F.col("event_id").alias("tick"))
+    notes = events(spark, sf_dir, "click").select("user_id", "event_id", F.col("event_id").alias("note"))
+    joined = asof(notes, marks, ["user_id"], "event_id", {"rate": "rate", "base": "base", "tick": "tick"}, "event_id")
+    return joined.select("event_id", "user_id", (F.col("base") + (F.col("event_id") - F.col("tick")) * F.col("rate")).alias("at"))
