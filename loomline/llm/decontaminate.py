@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from loomline.llm.shared import ascii_lower, materialise
 
 WINDOW = 10
-RARE = 3
+RARE = 2
 BROADCAST_ROWS = 1_000_000
+#: Row keys of documents with an alignment are broadcast to pick out their texts up to this number; beyond, by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Everything between words, before and after A-Z is lower-cased.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
@@ -112,9 +114,10 @@ def exact(docs: DataFrame, bench: Benchmark, aligned: DataFrame, window: int = W
     """(rk, item_id, covered: array of first and last word): the windows that occur, after comparing word for word."""
     per_row = aligned.join(sized(bench.items, bench.rows), "item").groupBy("rk").agg(F.collect_list(F.struct("item_id", "words", "diff", "begins")).alias("aligned"))
     per_row = materialise(per_row, "aligned")
-    few = F.broadcast(per_row) if per_row.count() <= 2_000 else per_row
-    texts = row_key(docs).join(few, "rk").select("rk", words_of(F.col("text")).alias("words"), "aligned")
-    texts = texts.groupBy("rk").agg(F.first("words").alias("words"), F.first("aligned").alias("aligned"))
+    keys = per_row.select("rk")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    texts = row_key(docs).join(keys, "rk", "left_semi").groupBy("rk").agg(F.first("text").alias("text"))
+    texts = texts.join(per_row, "rk").select("rk", words_of(F.col("text")).alias("words"), "aligned")
 
     def found(a: Column) -> Column:
         size = F.least(F.lit(window), F.size(a["words"]))

@@ -56,6 +56,7 @@ def test_matches_brute_force(spark):
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     rows, bench = fixture()
     monkeypatch.setattr(d, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(d, "BROADCAST_KEYS", -1)
     assert run(spark, rows, bench) == brute(rows, bench)
 
 
