@@ -1,23 +1,19 @@
-"""Token ids of the public byte-level BPE, as bytes, with a bounded cache of pieces.
+"""Token ids of the public byte-level BPE, as bytes.
 
 The vocabulary is read by name through ``public_tokenizers.path`` (``location`` overrides it) and never copied. The
-pattern of this tokenizer never crosses a single space between two non-space characters, nor a single line feed between
-two such, so a text may be cut there and its pieces encoded one by one, which lets frequent words be looked up.
+same vocabulary as ranks is encoded by the faster of the two libraries; only texts that hold the special token's string,
+which the other library reads as one token, go through that one.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
 BYTE_BPE = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
-CACHE = 200_000
-_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -33,23 +29,14 @@ def encoder(vocabulary: str = BYTE_BPE, location: str | None = None) -> Callable
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow: list = []
-    cache: dict[str, bytes] = {}
-
-    def piece(text: str) -> bytes:
-        if len(cache) >= CACHE:
-            cache.clear()
-        out = np.array(fast.encode_ordinary(text), "<u4").tobytes()
-        if len(text) <= 64:
-            cache[text] = out
-        return out
 
     def encode(text: str) -> bytes:
-        if SPECIAL in text:  # the tokenizers library reads this string as one token
-            if not slow:
-                from tokenizers import Tokenizer
+        if SPECIAL not in text:
+            return array("I", fast.encode_ordinary(text)).tobytes()
+        if not slow:
+            from tokenizers import Tokenizer
 
-                slow.append(Tokenizer.from_file(path(f"{vocabulary}.json")))
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([cache.get(p) or piece(p) for p in _CUT.split(text) if p])
+            slow.append(Tokenizer.from_file(path(f"{vocabulary}.json")))
+        return array("I", slow[0].encode(text, add_special_tokens=False).ids).tobytes()
 
     return encode

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -11,11 +12,16 @@ from loomline.llm.tokens import encoder
 from tests.llm.helpers import docs, prose
 
 
-def plain_ids(texts):
+@lru_cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def plain_ids(texts):
+    t = tokenizer()
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
 
 
@@ -69,11 +75,11 @@ def test_fill_leaves_the_least_slack(counts):
 
 
 @pytest.mark.parametrize("text", TEXTS[:16])
-def test_cached_ids_are_the_tokenizers(text):
+def test_ids_are_the_tokenizers(text):
     assert encoder()(text or "") == plain_ids([text])[0][:-1].tobytes()
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab \n\t'.é1", max_size=30))
-def test_any_text_is_cut_where_it_may_be(text):
+def test_ids_of_any_text(text):
     assert encoder()(text) == plain_ids([text])[0][:-1].tobytes()
