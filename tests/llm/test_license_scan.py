@@ -55,3 +55,37 @@ def test_notices_are_found(spark):
     assert by[7]["licenses"] == "all-rights-reserved,gpl-3.0-line" and by[7]["license"] == "gpl-3.0-line"
     assert by[9]["license"] == "gpl-3.0-header" and by[9]["first_word"] == 30000
     assert s.scan(docs(spark, [])).collect() == []
+
+
+def test_relatives_are_told_apart(spark):
+    lines = {
+        "Released under the BSD License.": "bsd-line",
+        "Licensed under CC BY 4.0.": "cc-by-4.0-line",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-line",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-line",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line",
+        "Licensed under CC BY-NC 3.0.": "",
+        "Licensed under the Apache License, Version 1.1.": "",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-line",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-line",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0-line",
+        "Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0.": "cc-by-4.0-line,cc-by-sa-4.0-line",
+        s.TEMPLATES["gpl-3.0-header"].replace("General", "Affero General"): "agpl-3.0-header",
+    }
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["licenses"] for r in s.scan(docs(spark, rows)).collect()}
+    assert got == {k: lines[line] for k, line in rows}
+
+
+def test_whole_texts_are_found_once_a_place(spark):
+    whole = [n for n in s.TEMPLATES if n.endswith("-text")]
+    edited = s.TEMPLATES["gpl-3.0-text"].split()
+    edited = " ".join(w if k % 97 else "edited" for k, w in enumerate(edited, 1))
+    both = s.TEMPLATES["bsd-3-clause-text"] + prose(1, 400) + " " + s.TEMPLATES["bsd-2-clause-text"]
+    affero = s.TEMPLATES["gpl-3.0-text"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    rows = [(k, prose(k, 30) + "\n" + s.TEMPLATES[n] + "\n" + prose(k + 50, 30)) for k, n in enumerate(whole)]
+    rows += [(100, prose(3, 50) + " " + edited), (101, both), (102, affero)]
+    got = {r["doc_id"]: r for r in s.scan(docs(spark, rows)).collect()}
+    texts = {k: [n for n in r["licenses"].split(",") if n.endswith(("-text", "-grant"))] for k, r in got.items()}
+    assert {k: texts[k] for k in range(len(whole))} == {k: [n] for k, n in enumerate(whole)}
+    assert texts[100] == ["gpl-3.0-text"] and texts[101] == ["bsd-2-clause-text", "bsd-3-clause-text"] and texts[102] == []
