@@ -239,6 +239,17 @@ def ref_coalesce(spark, sf_dir):
     return facts.resolve(refs, "ref", [("customer", table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0"), "c_custkey", "c_name"), ("supplier", table(spark, sf_dir, "supplier"), "s_suppkey", "s_name")])
 
 
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 - o_orderkey // 2 END AS ref FROM orders)
+SELECT o_orderkey, ref, CASE WHEN c_custkey IS NOT NULL THEN 'customer' WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS kind, coalesce(c_name, s_name) AS label
+FROM r LEFT JOIN customer ON c_custkey = ref LEFT JOIN supplier ON -1 - s_suppkey = ref""")
+def ref_coalesce_whole(spark, sf_dir):
+    """All customers and suppliers; the latter have negative keys, of which more are wanted than there are."""
+    ref = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.expr("-1 - o_orderkey div 2"))
+    suppliers = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("key"), "s_name")
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", ref.alias("ref"))
+    return facts.resolve(refs, "ref", [("customer", table(spark, sf_dir, "customer"), "c_custkey", "c_name"), ("supplier", suppliers, "key", "s_name")])
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def semi_present(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
@@ -565,6 +576,13 @@ def log_stream(spark, sf_dir):
 # Numbering of nested heads, and sketches of note streams
 
 
+def _section_numbers(lines: DataFrame) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    heads = lines.withColumn("seq", F.row_number().over(w).cast("long"))
+    heads = heads.select("l_orderkey", "seq", F.when(F.col("seq") == 1, 0).otherwise(F.col("l_quantity").cast("int") % 3).alias("level"))
+    return islands.number_heads(heads, ["l_orderkey"], "seq", "level", 3).select("l_orderkey", "seq", "number")
+
+
 @query("""WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_quantity::INTEGER % 3 AS raw FROM lineitem WHERE l_orderkey % 10 = 0),
 l AS (SELECT *, CASE WHEN seq = 1 THEN 0 ELSE raw END AS level FROM h),
 a AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY l_orderkey ORDER BY seq) AS n0 FROM l),
@@ -572,10 +590,18 @@ b AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY l_orderkey, n0 ORDER BY
 c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY l_orderkey, n0, n1 ORDER BY seq) AS n2 FROM b)
 SELECT l_orderkey, seq::BIGINT AS seq, CASE level WHEN 0 THEN n0::VARCHAR WHEN 1 THEN n0 || '.' || n1 ELSE n0 || '.' || n1 || '.' || n2 END AS number FROM c""")
 def section_numbers(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    heads = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").withColumn("seq", F.row_number().over(w).cast("long"))
-    heads = heads.select("l_orderkey", "seq", F.when(F.col("seq") == 1, 0).otherwise(F.col("l_quantity").cast("int") % 3).alias("level"))
-    return islands.number_heads(heads, ["l_orderkey"], "seq", "level", 3).select("l_orderkey", "seq", "number")
+    return _section_numbers(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
+
+
+@query("""WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_quantity::INTEGER % 3 AS raw FROM lineitem),
+l AS (SELECT *, CASE WHEN seq = 1 THEN 0 ELSE raw END AS level FROM h),
+a AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY l_orderkey ORDER BY seq) AS n0 FROM l),
+b AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY l_orderkey, n0 ORDER BY seq) AS n1 FROM a),
+c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY l_orderkey, n0, n1 ORDER BY seq) AS n2 FROM b)
+SELECT l_orderkey, seq::BIGINT AS seq, CASE level WHEN 0 THEN n0::VARCHAR WHEN 1 THEN n0 || '.' || n1 ELSE n0 || '.' || n1 || '.' || n2 END AS number FROM c""")
+def section_numbers_whole(spark, sf_dir):
+    """The heads of every order."""
+    return _section_numbers(table(spark, sf_dir, "lineitem"))
 
 
 _NOTES = """n AS (SELECT event_id, user_id, ts, floor(value)::BIGINT % 12 AS pitch, event_type = 'click' AS is_on FROM events WHERE event_type IN ('click', 'view')),
