@@ -383,6 +383,12 @@ def byte_span(spark, sf_dir):
     return docs.select("doc_id", F.decode(fn.byte_span(F.col("text"), 100, 50), "UTF-8").alias("span"))
 
 
+@query("SELECT doc_id, substr(hex(encode(text)), 201, 100) AS span FROM documents")
+def byte_span_whole(spark, sf_dir):
+    """Of every document, as hex, for a span may begin or end within a character."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(fn.byte_span(F.col("text"), 100, 50)).alias("span"))
+
+
 @query("""WITH w AS (SELECT page_id, len(regexp_extract_all(html, '[^ \\t\\n\\x0B\\f\\r]+')) AS n_source, len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^ \\t\\n\\x0B\\f\\r]+')) AS n_text FROM pages)
 SELECT page_id, n_source::BIGINT AS n_source, n_text::BIGINT AS n_text, round(n_text / greatest(n_source, 1), 6) AS coverage, n_text / greatest(n_source, 1) < 0.85 AS low FROM w""")
 def coverage_ratio(spark, sf_dir):
@@ -542,18 +548,31 @@ def chat_messages(spark, sf_dir):
     return transcripts.chats(rows.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("file"), text.alias("text")), subtract_s=100.0)
 
 
+def _quoted_spans(docs: DataFrame) -> DataFrame:
+    second = F.when(F.col("doc_id") % 5 == 0, "missing.txt").otherwise(F.concat(F.lit("DOC-"), F.col("doc_id"), F.lit(".txt")))
+    stanza = F.concat(F.lit("TYPE=quotation\nENDSET 1\nhttp://host/doc-"), F.col("doc_id"), F.lit(".txt\nSTART=10\nLENGTH=40\nENDSET 2\nhttp://host/"), second, F.lit("\nSTART=20\nLENGTH=40\n"))
+    sources = docs.select(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return transcripts.extract_spans(transcripts.spans(docs.select(F.concat(F.lit("link-"), F.col("doc_id")).alias("file"), stanza.alias("text"))), sources)
+
+
 @query("""SELECT 'link-' || doc_id AS file, endset::INTEGER AS endset, 1 AS span, 10 * endset::BIGINT AS start, 40::BIGINT AS length, CASE WHEN endset = 2 AND doc_id % 5 = 0 THEN NULL ELSE substr(text, 10 * endset + 1, 40) END AS quoted,
   CASE WHEN endset = 2 AND doc_id % 5 = 0 THEN 'source not found' END AS problem
 FROM documents, (SELECT unnest([1, 2]) AS endset) WHERE strlen(text) = length(text) AND length(text) >= 60""")
 def span_quotes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter((F.octet_length("text") == F.length("text")) & (F.length("text") >= 60)).select("doc_id", "text")
-    second = F.when(F.col("doc_id") % 5 == 0, "missing.txt").otherwise(F.concat(F.lit("DOC-"), F.col("doc_id"), F.lit(".txt")))
-    stanza = F.concat(F.lit("TYPE=quotation\nENDSET 1\nhttp://host/doc-"), F.col("doc_id"), F.lit(".txt\nSTART=10\nLENGTH=40\nENDSET 2\nhttp://host/"), second, F.lit("\nSTART=20\nLENGTH=40\n"))
-    sources = docs.select(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
-    found = transcripts.extract_spans(transcripts.spans(docs.select(F.concat(F.lit("link-"), F.col("doc_id")).alias("file"), stanza.alias("text"))), sources)
+    found = _quoted_spans(docs)
     return found.select("file", "endset", "span", "start", "length", F.decode("bytes", "UTF-8").alias("quoted"), "problem")
 
 
+@query("""WITH s AS (SELECT doc_id, text, endset, CASE WHEN text IS NULL OR endset = 2 AND doc_id % 5 = 0 THEN 'source not found' WHEN 10 * endset + 40 > strlen(text) THEN 'span outside source' END AS problem
+FROM documents, (SELECT unnest([1, 2]) AS endset))
+SELECT 'link-' || doc_id AS file, endset::INTEGER AS endset, 1 AS span, 10 * endset::BIGINT AS start, 40::BIGINT AS length, CASE WHEN problem IS NULL THEN substr(hex(encode(text)), 20 * endset + 1, 80) END AS quoted, problem FROM s""")
+def span_quotes_whole(spark, sf_dir):
+    """Of every document, as hex; short ones give their problem."""
+    found = _quoted_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("file", "endset", "span", "start", "length", F.hex("bytes").alias("quoted"), "problem")
+
+
 @query("""WITH e AS (SELECT o_custkey, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders)
 SELECT 'owner-' || o_custkey AS owner, 'd1' AS dim, src::VARCHAR AS src, dst::VARCHAR AS dst FROM e WHERE dst IS NOT NULL""")
 def snapshot_edges(spark, sf_dir):

@@ -16,3 +16,18 @@ def test_references_meet_all_customers_and_miss(spark):
     kinds = {r["kind"] for r in got.select("kind").distinct().collect()}
     odd = got.filter("kind = 'customer' AND ref % 2 = 1").count()
     assert got.count() == b.table(spark, SF, "orders").count() and kinds == {"customer", "supplier", None} and odd > 0
+
+
+def test_spans_are_of_bytes(spark):
+    texts = {r["doc_id"]: r["text"].encode() for r in b.table(spark, SF, "documents").select("doc_id", "text").collect()}
+    assert any(len(t) != len(t.decode()) for t in texts.values()) and any(len(t) < 60 for t in texts.values())
+    spans = {r["doc_id"]: r["span"] for r in b.QUERIES["byte_span_whole"](spark, SF).collect()}
+    assert spans == {k: t[100:150].hex().upper() for k, t in texts.items()}
+    quotes = {(r["file"], r["endset"]): (r["quoted"], r["problem"]) for r in b.QUERIES["span_quotes_whole"](spark, SF).collect()}
+
+    def want(k, t, e):
+        if e == 2 and k % 5 == 0:
+            return None, "source not found"
+        return (None, "span outside source") if 10 * e + 40 > len(t) else (t[10 * e : 10 * e + 40].hex().upper(), None)
+
+    assert quotes == {(f"link-{k}", e): want(k, t, e) for k, t in texts.items() for e in (1, 2)}
