@@ -405,6 +405,15 @@ def kind_flags(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.when(text & link, "mixed").when(text, "content").otherwise("dimension").alias("kind"))
 
 
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN bool_or(event_type = 'signup') AND bool_or(event_type <> 'signup') THEN 'mixed' WHEN bool_or(event_type = 'signup') THEN 'content' ELSE 'dimension' END AS kind
+FROM events GROUP BY user_id, day""")
+def kind_flags_whole(spark, sf_dir):
+    """By user and day, for over all days every user is mixed."""
+    text, link = F.bool_or(F.col("event_type") == "signup"), F.bool_or(F.col("event_type") != "signup")
+    days = events(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day"))
+    return days.agg(F.when(text & link, "mixed").when(text, "content").otherwise("dimension").alias("kind"))
+
+
 # Reading analytics (designs only, where the operators come from); a session ends after a gap of 30 minutes
 
 _SESSIONS = """q AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS ch FROM events),

@@ -31,3 +31,11 @@ def test_spans_are_of_bytes(spark):
         return (None, "span outside source") if 10 * e + 40 > len(t) else (t[10 * e : 10 * e + 40].hex().upper(), None)
 
     assert quotes == {(f"link-{k}", e): want(k, t, e) for k, t in texts.items() for e in (1, 2)}
+
+
+def test_kinds_are_of_all_days(spark):
+    got = b.QUERIES["kind_flags_whole"](spark, SF)
+    rows = b.table(spark, SF, "events")
+    assert got.select("day").distinct().count() == rows.selectExpr("CAST(ts AS DATE)").distinct().count() > 1
+    assert got.select("user_id").distinct().count() == rows.select("user_id").distinct().count()
+    assert {r["kind"] for r in got.collect()} == {"mixed", "content", "dimension"}
