@@ -56,8 +56,7 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[tuple[int, i
             left, share = left - take, share * 2
         if reach >> room & 1:
             break
-    free = [s for s in range(room + 1) if reach >> s & 1 and padding(seed + s, capacity) == 0]
-    at = max(free) if free else reach.bit_length() - 1
+    at = reach.bit_length() - 1
     taken = {seed: 1}
     for length, take, before in reversed(steps):
         if not before >> at & 1:

@@ -74,6 +74,20 @@ def test_fill_leaves_the_least_slack(counts):
     assert p.padding(total, 64) == min(p.padding(s, 64) for s in sums) or total == max(sums)
 
 
+@settings(deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=6))
+def test_fill_takes_the_greatest_sum(counts):
+    seed = max(counts)
+    sums = {seed}
+    for x in [k for k, n in counts.items() for _ in range(n - (k == seed))]:
+        sums |= {s + x for s in sums if s + x <= 64}
+    assert sum(length * n for length, n in p.fill(counts, 64)) == max(sums)
+
+
+def test_a_power_of_two_does_not_end_a_sequence():
+    assert p.plan({512: 1, 500: 1}) == [(((512, 1), (500, 1)), 1)]
+
+
 @pytest.mark.parametrize("text", TEXTS[:16])
 def test_ids_are_the_tokenizers(text):
     assert encoder()(text or "") == plain_ids([text])[0][:-1].tobytes()
