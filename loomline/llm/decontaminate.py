@@ -4,8 +4,9 @@
 2. Their counts tell which terms of each window are rare. The ``RARE`` rarest positions of every window are its probes.
 3. ``alignments`` fetches only the probes' postings and subtracts the probe's offset in the item: postings of the same
    (row, item, difference) lie on one alignment, and only alignments where all probes of some window meet remain.
-4. ``exact`` compares the aligned words of those rows with the item, and reports every window that occurs;
-   ``proximity`` reports rows where an item's rare terms come close together though not as a phrase.
+4. ``exact`` intersects the postings of all other terms of the aligned windows with the places where they should stand,
+   and reports every window whose words are all there; no text is read again. ``proximity`` reports rows where an item's
+   rare terms come close together though not as a phrase.
 
 Benchmark tables (terms, probes, items) are broadcast only while their counted size is under BROADCAST_ROWS; beyond,
 the same joins run by a shuffle.
@@ -24,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import ascii_lower, materialise
+from loomline.llm.shared import ascii_lower, row_hash
+from loomline.storage import materialise
 
 WINDOW = 10
 RARE = 2
@@ -35,14 +37,9 @@ BROADCAST_KEYS = 500_000
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
-def words_of(text: Column, lower: bool = True) -> Column:
-    """The words of a text as an array; with ``lower``, A-Z lower-cased."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.filter(F.split(ascii_lower(text) if lower else text, BETWEEN), lambda w: w != "")
-
-
-def row_hash(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text.cast("string"), F.lit("")))
+def words_of(text: Column) -> Column:
+    """The words of a text as an array, A-Z lower-cased."""
+    return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), lambda w: w != "")
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -79,16 +76,22 @@ def index(docs: DataFrame, bench: Benchmark) -> tuple[DataFrame, DataFrame]:
     Words are matched by their lower case, which Spark folds fast for ASCII, and then exactly: a plain term matches
     only a word of as many bytes, any other only the word whose A-Z alone are lower-cased.
     """
-    split = row_key(docs).select("doc_id", "rk", words_of(F.col("text"), lower=False).alias("words"))
-    rows = materialise(split.select("doc_id", "rk", F.size("words").cast("long").alias("n_words")), "rows")
-    words = split.select("rk", F.posexplode("words").alias("pos", "word")).withColumn("low", F.lower("word"))
+    keyed = row_key(docs).select("doc_id", "rk", F.coalesce("text", F.lit("")).alias("text"))
+    split = F.split("text", BETWEEN)  # only the first and the last part may be empty
+    outside = F.greatest(F.lit(0), F.size(split) - (F.element_at(split, 1) == "").cast("int") - (F.element_at(split, -1) == "").cast("int"))
+    rows = materialise(keyed.select("doc_id", "rk", outside.cast("long").alias("n_words")), "rows")
+    lead = F.substring("text", 1, 1).rlike(BETWEEN).cast("int")
+    words = keyed.select("rk", lead.alias("lead"), F.posexplode(split).alias("pos", "word")).withColumn("low", F.lower("word"))
     same = F.when(F.col("plain"), F.octet_length("word") == F.col("bytes")).otherwise(ascii_lower(F.col("word")) == F.col("term"))
-    postings = words.join(sized(bench.terms, bench.rows), "low").filter(same).select("rk", "pos", "term_id")
+    postings = words.join(sized(bench.terms, bench.rows), "low").filter(same).select("rk", (F.col("pos") - F.col("lead")).alias("pos"), "term_id")
     return rows, materialise(postings, "postings")
 
 
 def probes_of(bench: Benchmark, postings: DataFrame, window: int = WINDOW, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """Probes (item, at, term_id), and for each item its windows' probes (item, needs: array of begin and positions)."""
+    """Probes (item, at, term_id, least), and for each item its windows' probes (item, needs: array of begin and positions).
+
+    ``least`` is how many probes of the item must meet before any of its windows can be there.
+    """
     counts = postings.groupBy("term_id").agg(F.count("*").alias("df"))
     counted = bench.terms.select("term_id", "term").join(counts, "term_id", "left").select("term", "term_id", F.coalesce("df", F.lit(0)).alias("df"))
     placed = bench.items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).join(counted, "term")
@@ -98,35 +101,36 @@ def probes_of(bench: Benchmark, postings: DataFrame, window: int = WINDOW, rare:
     chosen = inside.withColumn("r", rank).withColumn("rarest", F.min("df").over(Window.partitionBy("item", "begin"))).filter((F.col("r") <= rare) & (F.col("rarest") > 0))
     chosen = materialise(chosen.select("item", "begin", "at", "term_id"), "probes")
     needs = chosen.groupBy("item", "begin").agg(F.sort_array(F.collect_list("at")).alias("ats")).groupBy("item").agg(F.collect_list(F.struct("begin", "ats")).alias("needs"))
-    return chosen.select("item", "at", "term_id").distinct(), needs
+    least = needs.select("item", F.array_min(F.transform("needs", lambda w: F.size(w["ats"]))).alias("least"))
+    return chosen.select("item", "at", "term_id").distinct().join(least, "item"), needs
 
 
 def alignments(postings: DataFrame, probes: DataFrame, needs: DataFrame, rows: int) -> DataFrame:
     """(rk, item, diff, begins): where the item's word 0 would stand, and the windows whose probes all meet there."""
-    hits = postings.join(sized(probes, rows), "term_id").select("rk", "item", (F.col("pos") - F.col("at")).alias("diff"), "at")
-    met = hits.groupBy("rk", "item", "diff").agg(F.collect_set("at").alias("met"))
-    met = met.join(sized(needs, rows), "item")
+    hits = postings.join(sized(probes, rows), "term_id").select("rk", "item", (F.col("pos") - F.col("at")).alias("diff"), "at", "least")
+    met = hits.groupBy("rk", "item", "diff").agg(F.collect_set("at").alias("met"), F.min("least").alias("least"))
+    met = met.filter(F.size("met") >= F.col("least")).join(sized(needs, rows), "item")
     whole = F.filter("needs", lambda w: F.size(F.array_except(w["ats"], F.col("met"))) == 0)
     return met.select("rk", "item", "diff", F.sort_array(F.transform(whole, lambda w: w["begin"])).alias("begins")).filter(F.size("begins") > 0)
 
 
-def exact(docs: DataFrame, bench: Benchmark, aligned: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rk, item_id, covered: array of first and last word): the windows that occur, after comparing word for word."""
-    per_row = aligned.join(sized(bench.items, bench.rows), "item").groupBy("rk").agg(F.collect_list(F.struct("item_id", "words", "diff", "begins")).alias("aligned"))
-    per_row = materialise(per_row, "aligned")
-    keys = per_row.select("rk")
+def exact(postings: DataFrame, bench: Benchmark, aligned: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(rk, item_id, first, last): the windows that occur, every one of their terms having a posting in its place."""
+    aligned = materialise(aligned, "aligned")
+    placed = bench.items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).join(bench.terms.select("term", "term_id"), "term")
+    placed = materialise(placed.select("item", "at", "term_id", F.least(F.lit(window), F.col("n")).alias("size")), "places")
+    keys = materialise(aligned.select("rk").distinct(), "keys")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = row_key(docs).join(keys, "rk", "left_semi").groupBy("rk").agg(F.first("text").alias("text"))
-    texts = texts.join(per_row, "rk").select("rk", words_of(F.col("text")).alias("words"), "aligned")
-
-    def found(a: Column) -> Column:
-        size = F.least(F.lit(window), F.size(a["words"]))
-        here = F.filter(a["begins"], lambda b: (a["diff"] + b >= 0) & (a["diff"] + b + size <= F.size("words")))
-        here = F.filter(here, lambda b: F.slice(F.col("words"), a["diff"] + b + 1, size) == F.slice(a["words"], b + 1, size))
-        spans = F.transform(here, lambda b: F.struct((a["diff"] + b).alias("first"), (a["diff"] + b + size - 1).alias("last")))
-        return F.struct(a["item_id"].alias("item_id"), spans.alias("covered"))
-
-    return texts.select("rk", F.filter(F.transform("aligned", found), lambda x: F.size(x["covered"]) > 0).alias("found")).filter(F.size("found") > 0)
+    there = postings.join(keys, "rk", "left_semi").distinct()
+    sizes = placed.select("item", "size").distinct()
+    windows = aligned.join(sized(sizes, bench.rows), "item")
+    wanted = windows.select("rk", "item", "diff", F.explode(F.array_distinct(F.flatten(F.transform("begins", lambda b: F.sequence(b, b + F.col("size") - 1))))).alias("at"))
+    wanted = wanted.join(sized(placed.drop("size"), bench.rows), ["item", "at"]).select("rk", "item", "diff", "at", (F.col("diff") + F.col("at")).alias("pos"), "term_id")
+    met = wanted.join(there, ["rk", "pos", "term_id"], "left_semi").groupBy("rk", "item", "diff").agg(F.collect_set("at").alias("met"))
+    whole = F.filter("begins", lambda b: F.size(F.array_except(F.sequence(b, b + F.col("size") - 1), F.col("met"))) == 0)
+    found = windows.join(met, ["rk", "item", "diff"]).select("rk", "item", "diff", "size", F.explode(whole).alias("begin"))
+    named = found.join(sized(bench.items.select("item", "item_id"), bench.rows), "item")
+    return named.select("rk", "item_id", (F.col("diff") + F.col("begin")).alias("first"), (F.col("diff") + F.col("begin") + F.col("size") - 1).alias("last"))
 
 
 def _covered(spans: Column) -> Column:
@@ -142,11 +146,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     bench = benchmark_of(benchmark, window)
     rows, postings = index(docs, bench)
     probes, needs = probes_of(bench, postings, window)
-    hits = exact(docs, bench, alignments(postings, probes, needs, bench.rows), window)
-    told = hits.select(
-        "rk",
-        _covered(F.sort_array(F.flatten(F.transform("found", lambda x: x["covered"])))).cast("long").alias("n_hit"),
-        F.sort_array(F.array_distinct(F.transform("found", lambda x: F.coalesce(x["item_id"], F.lit(""))))).alias("items"),
+    hits = exact(postings, bench, alignments(postings, probes, needs, bench.rows), window)
+    told = hits.groupBy("rk").agg(
+        _covered(F.sort_array(F.collect_set(F.struct("first", "last")))).cast("long").alias("n_hit"),
+        F.sort_array(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("items"),
     )
     out = rows.join(told, "rk", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_counts, url_filter, warc
-from loomline.llm.shared import materialise, shared_path
+from loomline.storage import materialise, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,13 +1,13 @@
-"""Helpers the training-data operators share: shared storage, and word arithmetic over Arrow batches."""
+"""Helpers the training-data operators share: word arithmetic over Arrow batches, cut by bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Word separators of most contracts: space and the five control characters 9 to 13.
@@ -22,33 +22,30 @@ _MIX_A, _MIX_B, _SEED = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB13311
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
+def ascii_lower(col):
+    """A-Z lower-cased, every other character unchanged."""
+    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """A 64-bit name of a row by doc_id and text; null and empty texts count as one."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text.cast("string"), F.lit("")))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text that one step over a batch holds at a time: a batch of long texts is cut into more steps.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
 
 
-def ascii_lower(col):
-    """A-Z lower-cased, every other character unchanged."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most SLICE_ROWS rows and, but for a single longer text, SLICE_BYTES bytes of column ``text``."""
+    column = batch.column(text)
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = ends[at] - size[at]
+        stop = max(at + 1, min(int(np.searchsorted(ends, before + SLICE_BYTES, side="right")), at + SLICE_ROWS))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import materialise, shared_path
+from loomline.storage import materialise, shared_path
 
 ARCHIVE_BYTES = 32 << 20
 #: Up to so many revisits are broadcast to mark the pages; beyond, the pages are joined by a shuffle.
