@@ -4,8 +4,8 @@ One pass tokenises every text and cuts it at multiples of the capacity: whole wi
 what remains of each document (1 to capacity - 1 tokens) is placed by the plan. The plan sees only the histogram of
 remaining lengths (capacity - 1 counts at most, whatever the corpus): for each window a bitset subset-sum search finds
 the multiset that, with the largest length left, comes closest to the capacity, backtracks how many of each length it
-takes, and uses that pattern as often as the counts allow. Every pattern uses up at least one length, so there are
-fewer patterns than lengths. Pieces then find their slot by their rank within their length, from counts per input part.
+takes, and uses that pattern as often as the counts allow. After a pattern the counts can't take it once more, so
+patterns never repeat; their number is bounded by the lengths and the logarithms of their counts, not by the corpus. Pieces then find their slot by their rank within their length, from counts per input part.
 
 Defined cases: a null or empty text is its end token alone; texts of any length are cut whole; repeated rows are packed
 each for itself; lengths that tie are ranked by input part and position; an empty table gives no rows; a part of the
@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.storage import materialise
+from loomline.llm.shared import slices
 from loomline.llm.tokens import BYTE_BPE, encoder
+from loomline.storage import materialise
 
 CAPACITY = 1024
 #: One pattern: the lengths taken with their counts, largest first, and how often it is used.
@@ -85,8 +86,8 @@ def _pieces(capacity: int, vocabulary: str, with_ids: bool):
         windows, ranks, end = 0, np.zeros(capacity, np.int64), np.zeros(1, "<u4").tobytes()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, rows = whole.slice(at, 256), []
+            for batch in slices(whole, 1):
+                rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids = encode(text or "") + end
                     total = len(ids) // 4

@@ -1,19 +1,24 @@
 """Token ids of the public byte-level BPE, as bytes.
 
 The vocabulary is read by name through ``public_tokenizers.path`` (``location`` overrides it) and never copied. The
-same vocabulary as ranks is encoded by the faster of the two libraries; only texts that hold the special token's string,
-which the other library reads as one token, go through that one.
+same vocabulary as ranks is encoded by the faster of the two libraries. The other one, which gives the same ids, encodes
+texts that hold the special token's string, which it reads as one token, and texts with very long runs of white space,
+on which the faster one overflows its stack.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
 BYTE_BPE = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
+#: Runs of white space from this length on don't go through the faster library, which fails between 300,000 and 1,000,000.
+RUN = 20_000
+_LONG_RUN = re.compile(rf"\s{{{RUN}}}")
 
 
 @lru_cache(maxsize=4)
@@ -31,7 +36,7 @@ def encoder(vocabulary: str = BYTE_BPE, location: str | None = None) -> Callable
     slow: list = []
 
     def encode(text: str) -> bytes:
-        if SPECIAL not in text:
+        if SPECIAL not in text and not (len(text) >= RUN and _LONG_RUN.search(text)):
             return array("I", fast.encode_ordinary(text)).tobytes()
         if not slow:
             from tokenizers import Tokenizer

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomline.llm import packing as p
+from loomline.llm import token_counts
 from loomline.llm.tokens import encoder
 from tests.llm.helpers import docs, prose
 
@@ -93,6 +94,20 @@ def test_ids_are_the_tokenizers(text):
     assert encoder()(text or "") == plain_ids([text])[0][:-1].tobytes()
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \t\n" * 400_000 + "b" + " " * 300_000, ("word " * 50 + " " * 30_000) * 20, "\u3000" * 400_000 + "x"])
+def test_ids_of_long_runs_of_white_space(text):
+    assert encoder()(text) == plain_ids([text])[0][:-1].tobytes()
+
+
+def test_a_text_of_blanks_is_packed_and_counted(spark):
+    rows = docs(spark, [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a b")])
+    pieces = p.pack(rows).collect()
+    want = {k: len(plain_ids([t])[0]) for k, t in ((1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a b"))}
+    assert {k: sum(r["length"] for r in pieces if r["doc_id"] == k) for k in want} == want
+    counts = token_counts.count_tokens(rows).filter("tokenizer LIKE 'byte%'").collect()
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in counts} == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab \n\t'.é1", max_size=30))
 def test_ids_of_any_text(text):
