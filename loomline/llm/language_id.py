@@ -4,9 +4,10 @@ Every language has a codeword; one binary classifier per bit (log-odds of hashed
 predicts that bit, and loss-weighted decoding picks the nearest codeword. Bits that were unreliable for a language on
 the validation half of the sample weigh less in its distance. Close decisions are flagged as ambiguous.
 
-The classifiers are fitted to a bounded sample: of each of the ``max_languages`` most frequent languages about
-``docs_per_language`` documents, chosen by a hash of doc_id. Tasks count trigrams, the counts are summed by a shuffle,
-and the driver gets languages x BUCKETS numbers at most. Prediction is one pass over the whole texts.
+The classifiers are fitted to a bounded sample: of every language that a learnable document has about
+``docs_per_language`` documents, chosen by a hash of the row. Tasks count trigrams, the counts are summed by a shuffle,
+and the driver gets languages x BUCKETS numbers at most: it bounds the documents of a language, never the languages.
+Prediction is one pass over the whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; an empty or very short text with a letter
 is classified like any other; documents without a language are never learnt from; without any labelled document all
@@ -25,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import text_bytes
+from loomline.llm.shared import slices, text_bytes
+from loomline.storage import materialise
 
 BUCKETS = 1 << 16
 SCALE = 4096
@@ -58,7 +60,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     bits, rng, best = 8 + 6 * int(np.ceil(np.log2(n))), np.random.default_rng(seed), (-1, None)
     for _ in range(200):
         code = rng.choice([-1, 1], (n, bits))
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        apart = int((bits - (code @ code.T)[~np.eye(n, dtype=bool)].max()) // 2)  # bits in which the nearest two differ
         if apart > best[0] and (np.abs(code.sum(axis=0)) < n).all():
             best = (apart, code)
     return best[1].astype(np.int64)
@@ -94,51 +96,58 @@ class Model:
         return self.languages[order[0]], float(1 / p.sum()), bool(close)
 
 
-def _sample(docs: DataFrame, docs_per_language: int, max_languages: int) -> tuple[tuple[str, ...], DataFrame | None]:
+def _sample(docs: DataFrame, docs_per_language: int) -> tuple[tuple[str, ...], DataFrame | None]:
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = materialise(known.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_language / F.count("*")).alias("share")), "languages")
+    languages = tuple(sorted(r["lang"] for r in counts.select("lang").collect()))
+    if not languages:
         return (), None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_language / r["count"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    return tuple(sorted(r["lang"] for r in counts)), known.filter(draw < share).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("halves")), F.lit(4)) > 0)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
+    chosen = known.join(F.broadcast(counts), "lang").filter(draw < F.col("share"))
+    return languages, chosen.select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit("halves")), F.lit(4)) > 0).alias("fit"))
 
 
-def train(docs: DataFrame, docs_per_language: int = 1500, max_languages: int = 64, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, docs_per_language: int = 1500, smoothing: float = 0.5) -> Model:
     """A model learnt only from text and non-null lang of documents that aren't held out."""
-    languages, sample = _sample(docs, docs_per_language, max_languages)
+    languages, sample = _sample(docs, docs_per_language)
     index = {name: k for k, name in enumerate(languages)}
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 1), np.int64), np.zeros((BUCKETS + 1, 1), np.int64), np.ones((len(languages), 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(languages), BUCKETS + 1), np.int64)
-        for batch in batches:
-            buckets, rows = _buckets(batch.column(1))
-            for k, name in enumerate(batch.column(0).to_pylist()):
-                table[index[name]] += np.bincount(buckets[rows[k] : rows[k + 1]], minlength=BUCKETS + 1)
-        lang, bucket = np.nonzero(table[:, :BUCKETS])
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(table[lang, bucket], pa.int64())], names=["l", "b", "n"])
+        tables: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for batch in slices(whole, 1):
+                buckets, rows = _buckets(batch.column(1))
+                for k, name in enumerate(batch.column(0).to_pylist()):
+                    table = tables.setdefault(index[name], np.zeros(BUCKETS + 1, np.int64))
+                    table += np.bincount(buckets[rows[k] : rows[k + 1]], minlength=BUCKETS + 1)
+        for lang, table in tables.items():
+            bucket = np.flatnonzero(table[:BUCKETS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[bucket])], names=["l", "b", "n"])
 
     counted = sample.filter("fit").select("lang", "text").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((len(languages), BUCKETS), smoothing)
-    table[counted["l"].to_numpy(), counted["b"].to_numpy()] += counted["n"].to_numpy()
-    share = table / table.sum(axis=1, keepdims=True)
+    lang, bucket, n = (counted[c].to_numpy() for c in ("l", "b", "n"))
+    total = np.bincount(lang, n, len(languages)) + smoothing * BUCKETS
+    share = n / total[lang]  # of each language's trigrams, beyond smoothing / total, which every trigram has
     code = codewords(len(languages))
     weights = np.zeros((BUCKETS + 1, code.shape[1]), np.int64)
     for bit in range(code.shape[1]):
-        weights[:BUCKETS, bit] = np.rint(SCALE * np.log(share[code[:, bit] > 0].mean(axis=0) / share[code[:, bit] < 0].mean(axis=0)))
+        sides = []
+        for side in (1, -1):
+            own = code[:, bit] == side
+            sides.append(((smoothing / total[own]).sum() + np.bincount(bucket[own[lang]], share[own[lang]], BUCKETS)) / own.sum())
+        weights[:BUCKETS, bit] = np.rint(SCALE * np.log(sides[0] / sides[1]))
     model = Model(languages, code, weights, np.full(code.shape, 1 / code.shape[1]))
 
     def validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, seen = np.zeros(code.shape, np.int64), np.zeros(len(languages), np.int64)
-        for batch in batches:
-            buckets, rows = _buckets(batch.column(1))
-            for k, name in enumerate(batch.column(0).to_pylist()):
-                right[index[name]] += model.bits(buckets[rows[k] : rows[k + 1]]) * code[index[name]] > 0
-                seen[index[name]] += 1
+        for whole in batches:
+            for batch in slices(whole, 1):
+                buckets, rows = _buckets(batch.column(1))
+                for k, name in enumerate(batch.column(0).to_pylist()):
+                    right[index[name]] += model.bits(buckets[rows[k] : rows[k + 1]]) * code[index[name]] > 0
+                    seen[index[name]] += 1
         lang, bit = np.indices(code.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (lang, bit, right[lang, bit], seen[lang])], names=["l", "b", "n_right", "n"])
 
@@ -156,8 +165,7 @@ def predict(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",)) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, whole.num_columns - 1):
                 text = batch.column(batch.num_columns - 1)
                 lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist()
                 buckets, rows = _buckets(text)

@@ -48,3 +48,46 @@ def test_defined_cases(spark):
 def test_ties_are_ambiguous():
     model = l.Model(("a", "b"), l.codewords(2), np.zeros((l.BUCKETS + 1, 1), np.int64), np.ones((2, 1)))
     assert model.decide(np.zeros(5, np.int64)) == ("a", 0.5, True)
+
+
+def test_decoding_is_the_plain_one(spark):
+    """Every trigram, bit and distance on plain lists, for documents of all languages and lengths."""
+    import math
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = l.train(rows)
+    texts = [r["text"] for r in rows.select("text").orderBy("doc_id").limit(40).collect()] + ["A b", "é", "Zz9", "xyz" * 400]
+
+    def plain(text):
+        data = text.lower().encode()
+        fold = [b if b > 127 or 97 <= b <= 122 else 32 for b in data] + [32, 32]
+        totals, n = [0] * model.code.shape[1], 0
+        for i in range(len(data) - 2):
+            bucket = ((fold[i] << 16 | fold[i + 1] << 8 | fold[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+            n += 1
+            for bit in range(len(totals)):
+                totals[bit] += int(model.weights[bucket, bit])
+        outs = [math.tanh(2 * t / (l.SCALE * max(n, 1))) for t in totals]
+        d = [sum(model.trust[k, b] * math.exp(-model.code[k, b] * o) for b, o in enumerate(outs)) for k in range(len(model.languages))]
+        best = min(range(len(d)), key=lambda k: (d[k], k))
+        second = min(x for k, x in enumerate(d) if k != best)
+        return model.languages[best], 1 / sum(math.exp(-model.sharpness * (x - d[best])) for x in d), second - d[best] < model.margin
+
+    got = {r["doc_id"]: r for r in l.predict(docs(spark, list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts):
+        lang, score, ambiguous = plain(text)
+        assert (got[k]["lang_pred"], got[k]["ambiguous"]) == (lang, ambiguous) and abs(got[k]["score"] - score) < 1e-9
+
+
+def test_every_language_is_learnt(spark):
+    """200 languages, most of them rare: none is left out, however frequent another one is."""
+    def text(k, n):
+        return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (k * 7 + i) % 26)}" for i in range(n))
+
+    rows = [(1000 * k + i, text(k, 30 + i), f"x{k:03}") for k in range(200) for i in range(9 if k else 300)]
+    train = docs(spark, rows)
+    model = l.train(train, docs_per_language=20)
+    assert len(model.languages) == 200
+    got = l.predict(train.filter("lang <> 'x000'"), model, carry=("doc_id", "lang")).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
+    assert len({r["lang_pred"] for r in got}) > 190
