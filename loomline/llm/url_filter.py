@@ -1,13 +1,15 @@
 """URL filters: ordered host and path rules, and gradient-boosted trees on lexical features for the rest.
 
 Features, rules and the trees are DataFrame expressions. The trees are fitted on the driver to a bounded sample of
-labelled URLs (``sample_rows``, the rows of smallest URL hash), of which only binned numbers and labels are collected.
+different labelled URLs (about ``sample_rows``, drawn by URL hash), of which only binned numbers and labels are
+collected. Suffix statistics count all different labelled URLs and stay a table.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the trees;
-very long URLs are measured whole; repeated rows are judged alike; an empty table gives no rows; without labelled rows,
-or with labels of one kind only, the model is that label's prior and with none at all allows. Columns that the caller
-wants along are named in ``keep``, so other columns, whatever their names, do no harm. Of rules that fit, the longest
-wins (host and path together); equal rules given twice count as the first.
+very long URLs are measured whole; repeated rows are judged alike, and a URL counts once for the model however often it
+is there; an empty table gives no rows; without labelled rows, or with labels of one kind only, the model is that label's
+prior and with none at all allows; a suffix without labels, or with labels of one kind only, is neutral. Columns that the
+caller wants along are named in ``keep``, so other columns, whatever their names, do no harm. Of rules that fit, the
+longest wins (host and path together), of equally long ones the last; of rules for one host and path the first counts.
 """
 
 from __future__ import annotations
@@ -20,8 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.shared import ascii_lower
+from loomline.storage import materialise
 
-MAX_RULES = 500
+#: Up to so many rules become one expression; more are joined as a table, with the same result.
+COMPILED_RULES = 500
+#: Rows of a table (suffixes) that may be broadcast; beyond, the same join runs by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -61,26 +67,52 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _in_order(rules: Sequence[Rule]) -> list[Rule]:
+    """One rule for each host and path, the weakest first."""
+    first: dict[tuple[str, str], Rule] = {}
+    for rule in rules:
+        first.setdefault((rule.host, rule.path), rule)
+    return sorted(first.values(), key=lambda r: len(r.text))
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits (null where none does)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are compiled into one expression")
+    """Text and verdict of the longest rule that fits (null where none does), as one expression."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule in sorted(dict.fromkeys(rules), key=lambda r: len(r.text)):  # the longest is asked first
+    for rule in _in_order(rules):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
         name, verdict = F.when(fits, F.lit(rule.text)).otherwise(name), F.when(fits, F.lit(rule.verdict)).otherwise(verdict)
     return name, verdict
 
 
+def with_rule(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rows with ``host`` and ``path``, and ``rule`` and ``said``: text and verdict of the longest rule that fits.
+
+    Many rules are joined: every host's own suffixes (all of them that begin a label) meet the rules for that host.
+    """
+    if len(rules) <= COMPILED_RULES:
+        name, verdict = best_rule(F.col("host"), F.col("path"), rules)
+        return rows.withColumn("rule", name).withColumn("said", verdict)
+    table = [(r.host, r.path, r.text, r.verdict, k) for k, r in enumerate(_in_order(rules))]
+    given = rows.sparkSession.createDataFrame(table, "_host string, _path string, rule string, said string, _k long")
+    labels = F.split("host", "\\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    places = rows.select("host", "path").distinct()
+    met = places.withColumn("_host", F.explode(ends)).join(given, "_host").filter(F.startswith("path", F.col("_path")))
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "said"), "_k").alias("_best"))
+    return rows.join(best, ["host", "path"], "left").withColumns({c: F.col("_best")[c] for c in ("rule", "said")}).drop("_best")
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
-    """The features but for the suffix's, as doubles; ratios and entropy are whole thousandths."""
+def lexical(url: Column, host: Column, path: Column, letters: Column) -> dict[str, Column]:
+    """The features but for the suffix's, as doubles; ratios and entropy are whole thousandths.
+
+    ``letters`` is a column with the URL's characters (``letters_of``), so that they are split once a row.
+    """
     whole = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(whole), F.lit(1))
-    letters = F.split(whole, "")
     counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)))
     spread = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c.cast("double")))
     columns = {
@@ -96,15 +128,19 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {name: c.cast("double") for name, c in columns.items()}
 
 
+def letters_of(url: Column) -> Column:
+    return F.split(F.coalesce(url, F.lit("")), "")
+
+
 def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Suffix log-odds, a prior, and trees as nested tuples: (feature, threshold, low side, high side) or a leaf's value."""
+    """A table (suffix, odds), a prior, and trees as nested tuples: (feature, threshold, low side, high side) or a leaf's value."""
 
-    suffixes: tuple[tuple[str, float], ...]
+    suffixes: DataFrame | None
     prior: float
     trees: tuple
 
@@ -120,12 +156,6 @@ class Model:
             total = total + walk(tree)
         return total
 
-    def suffix_odds(self, suffix: Column) -> Column:
-        out = F.lit(0.0)
-        for name, odds in self.suffixes:
-            out = F.when(suffix == name, F.lit(odds)).otherwise(out)
-        return out
-
 
 def _grow(x: np.ndarray, bins: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, depth: int, rate: float, out: np.ndarray):
     """One regression tree on binned features: the split of largest gain at each node, from histograms."""
@@ -164,46 +194,57 @@ def boost(values: np.ndarray, blocked: np.ndarray, n_trees: int = 12, depth: int
     return prior, tuple(trees)
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, n_suffixes: int = 64, **options) -> Model:
-    """A model from ``url`` and boolean ``blocked``; it is fitted to the ``sample_rows`` rows of smallest URL hash.
+def _odds(blocked: Column, n: Column) -> Column:
+    """Log-odds of a suffix's labels; labels of one kind only tell what is labelled, not what the suffix is like."""
+    return F.when((blocked > 0) & (blocked < n), F.round(F.log((blocked + 1) / (n - blocked + 1)), 6)).otherwise(0.0)
 
-    Half of the sample (by another hash) gives the suffix statistics, the other half the trees, so that a suffix's odds
-    are never read off the rows that the trees are fitted to.
+
+def train(labelled: DataFrame, sample_rows: int = 20_000, **options) -> Model:
+    """A model from ``url`` and boolean ``blocked``, fitted to about ``sample_rows`` different URLs drawn by their hash.
+
+    For the fit, a suffix's odds are those of the half of the URLs (by another hash) that the row isn't in, so that they
+    are never read off the row itself; the model's own odds count both halves.
     """
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = labelled.filter("blocked IS NOT NULL").select("url", "blocked", F.xxhash64("url").alias("h")).orderBy("h", "url", "blocked").limit(sample_rows)
-    rows = rows.select(*[c.alias(k) for k, c in lexical(F.col("url"), host, path).items()], suffix_of(host).alias("suffix"), "blocked", (F.hash("url") % 2 == 0).alias("for_suffix")).collect()
+    url = F.col("url")
+    urls = labelled.filter("blocked IS NOT NULL").select("url", "blocked").distinct()
+    urls = urls.select("url", "blocked", suffix_of(host_of(url)).alias("suffix"), (F.hash("url") % 2 == 0).cast("int").alias("half"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)).alias("draw"))
+    sums = [F.count_if((F.col("half") == h) & c).alias(f"{n}{h}") for h in (0, 1) for n, c in (("b", F.col("blocked")), ("n", F.lit(True)))]
+    counts = materialise(urls.groupBy("suffix").agg(*sums), "suffixes")
+    total = counts.agg(*[F.coalesce(F.sum(F.col(f"{n}0") + F.col(f"{n}1")), F.lit(0)).alias(n) for n in "bn"]).first()
+    if total["b"] in (0, total["n"]):
+        return Model(None, -1.0 if total["b"] == 0 else 1.0, ())
+    b, n = F.col("b0") + F.col("b1"), F.col("n0") + F.col("n1")
+    suffixes = counts.select("suffix", _odds(b, n).alias("odds")).filter("odds <> 0")
+    apart = counts.select("suffix", *[_odds(F.col(f"b{h}"), F.col(f"n{h}")).alias(f"o{h}") for h in (0, 1)])
+    drawn = urls.filter(F.col("draw") < sample_rows / total["n"] * (1 << 20)).join(apart, "suffix")
+    drawn = drawn.select("blocked", F.when(F.col("half") == 0, F.col("o1")).otherwise(F.col("o0")).alias("suffix_odds"), "url", host_of(url).alias("host"), path_of(url).alias("path"), letters_of(url).alias("letters"))
+    features = lexical(url, F.col("host"), F.col("path"), F.col("letters"))
+    rows = drawn.select("blocked", "suffix_odds", *[c.alias(k) for k, c in features.items()]).collect()
     labels = np.array([r["blocked"] for r in rows], float)
     if len(set(labels)) < 2:
-        return Model((), float(2 * labels[0] - 1) if len(labels) else -1.0, ())
-    counts: dict[str, list[int]] = {}
-    for r in rows:
-        if r["for_suffix"]:
-            counts.setdefault(r["suffix"], [0, 0])[int(r["blocked"])] += 1
-    common = sorted(counts, key=lambda s: (-sum(counts[s]), s))[:n_suffixes]
-    suffixes = {s: round(float(np.log((counts[s][1] + 1) / (counts[s][0] + 1))), 6) for s in common}
-    fit = [r for r in rows if not r["for_suffix"]]
-    if len({r["blocked"] for r in fit}) < 2:
-        return Model(tuple(suffixes.items()), float(np.log((labels.sum() + 1) / ((1 - labels).sum() + 1))), ())
-    values = np.array([[*(r[f] for f in FEATURES[:-1]), suffixes.get(r["suffix"], 0.0)] for r in fit])
-    prior, trees = boost(values, np.array([r["blocked"] for r in fit], float), **options)
-    return Model(tuple(suffixes.items()), prior, trees)
+        return Model(suffixes, float(np.log((total["b"] + 1) / (total["n"] - total["b"] + 1))), ())
+    prior, trees = boost(np.array([[r[f] for f in FEATURES] for r in rows]), labels, **options)
+    return Model(suffixes, prior, trees)
 
 
 def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """``keep``, then host, path, rule, block_score and verdict of every row: the rule's verdict, else the trees'."""
     url = F.col("url").cast("string")
-    parts = pages.select(*keep, url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    features = lexical(F.col("_url"), F.col("host"), F.col("path")) | {"suffix_odds": model.suffix_odds(suffix_of(F.col("host")))}
-    used = parts.withColumns({f"_{k}": c for k, c in features.items()})
-    name, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    score = model.score({k: F.col(f"_{k}") for k in features})
-    return used.select(*keep, "host", "path", name.alias("rule"), score.alias("block_score"), verdict.alias("_said")).select(
-        *keep, "host", "path", "rule", "block_score", F.coalesce("_said", F.when(F.col("block_score") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")
-    )
+    parts = pages.select(F.struct(*keep).alias("_keep"), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"), letters_of(url).alias("_letters"))
+    features = lexical(F.col("_url"), F.col("host"), F.col("path"), F.col("_letters"))
+    used = with_rule(parts.withColumns({f"_{k}": c for k, c in features.items()} | {"suffix": suffix_of(F.col("host"))}).drop("_url", "_letters"), rules)
+    if model.suffixes is None:
+        used = used.withColumn("odds", F.lit(0.0))
+    else:
+        known = materialise(model.suffixes, "odds")
+        used = used.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "suffix", "left")
+    score = model.score({k: F.col(f"_{k}") for k in features} | {"suffix_odds": F.coalesce("odds", F.lit(0.0))})
+    scored = used.select("_keep.*", "host", "path", "rule", score.alias("block_score"), "said")
+    return scored.select(*keep, "host", "path", "rule", "block_score", F.coalesce("said", F.when(F.col("block_score") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def labelled_by_rules(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The URLs that a rule decides, as labels for ``train``."""
-    verdict = best_rule(host_of(F.col("url")), path_of(F.col("url")), rules)[1]
-    return pages.select("url", (verdict == "block").alias("blocked")).filter("blocked IS NOT NULL")
+    url = F.col("url").cast("string")
+    told = with_rule(pages.select(url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")), rules)
+    return told.select("url", (F.col("said") == "block").alias("blocked")).filter("blocked IS NOT NULL")
