@@ -9,7 +9,8 @@ header. Archives are written by Spark as gzip-compressed files of bounded size a
 Defined cases: a null html is an empty payload; a null url is ``-``, and white space in urls is percent-encoded; very
 long payloads get an archive of their own; of equal payloads the largest page_id keeps the response (a null page_id is
 smaller than any other; rows that tie on the largest page_id are all responses); an empty table gives no archives and no
-rows; a record that is cut off is read as far as it goes and flagged; columns other than page_id, url and html are not
+rows; a record that is cut off is read as far as it goes and flagged (WARC-Truncated); one whose header line is short, has
+no length or isn't finished, and a file without its opening, give a record with its WARC-Problem; columns other than page_id, url and html are not
 read.
 """
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.shared import slices
 from loomline.storage import materialise, shared_path
 
 ARCHIVE_BYTES = 32 << 20
@@ -50,6 +52,7 @@ class ArcRecord:
     mime: str
     block: bytes
     cut_off: bool = False
+    problem: str | None = None
 
     @property
     def parts(self) -> tuple[bytes, bytes]:
@@ -82,27 +85,44 @@ def arc_record(version: int, url: str | None, date: str, block: bytes, offset: i
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file in order, by its own field list and the declared lengths."""
+    """The records of an ARC file in order, by its own field list and the declared lengths; never raises.
+
+    Where a header line has too few fields or no number for its length, nothing tells where the next record begins: one
+    record with a ``problem`` takes what is left and is the last. A header line that the file ends in has a problem and
+    an empty block; a block that it ends in is cut off.
+    """
     line_end = data.find(b"\n")
-    if not data.startswith(b"filedesc://") or line_end < 0:
-        raise ValueError("an ARC file opens with a filedesc record")
-    at = line_end + 1 + int(data[:line_end].split(b" ")[-1])
-    version_line, field_line = data[line_end + 1 : at].split(b"\n")[:2]
-    version, fields = int(version_line.split(b" ")[0]), field_line.decode().split(" ")
+    opening = data[: max(line_end, 0)].split(b" ")
+    if not data.startswith(b"filedesc://") or not opening[-1].isdigit():
+        yield ArcRecord(0, "-", "-", "", "-", data, problem="no filedesc record opens the file")
+        return
+    at = line_end + 1 + int(opening[-1])
+    lines = data[line_end + 1 : at].split(b"\n")
+    number, fields = lines[0].split(b" ")[0], lines[1].decode("utf-8", "replace").split(" ") if len(lines) > 1 else []
+    if "Archive-length" not in fields:
+        yield ArcRecord(0, "-", "-", "", "-", data[line_end + 1 :], problem="the version block has no list of fields")
+        return
+    version = int(number) if number.isdigit() else 0
     while at < len(data):
         line_end = data.find(b"\n", at)
         if line_end == at:  # an empty line between records
             at += 1
             continue
-        if line_end < 0:
-            return
-        line = data[at:line_end].decode("utf-8", "replace").split(" ")
+        head = data[at : line_end if line_end >= 0 else len(data)].decode("utf-8", "replace")
+        line = head.split(" ")
         if len(line) > len(fields):  # blanks in the URL, which comes first
             line = [" ".join(line[: len(line) - len(fields) + 1]), *line[len(line) - len(fields) + 1 :]]
         told = dict(zip(fields, line, strict=False))
+        common = (version, told.get("URL", "-"), told.get("IP-address", "-"), told.get("Archive-date", ""), told.get("Content-type", "-"))
+        if line_end < 0:
+            yield ArcRecord(*common, b"", True, "the file ends in a header line")
+            return
+        if not told.get("Archive-length", "").isdecimal():
+            yield ArcRecord(*common, data[line_end + 1 :], problem=f"no length in the header line {head[:200]!r}")
+            return
         length = int(told["Archive-length"])
         block = data[line_end + 1 : line_end + 1 + length]
-        yield ArcRecord(version, told["URL"], told["IP-address"], told["Archive-date"], told["Content-type"], block, len(block) < length)
+        yield ArcRecord(*common, block, len(block) < length)
         at = line_end + 1 + length + 1
 
 
@@ -111,8 +131,9 @@ def record_id(page: str, digest: str) -> str:
 
 
 def iso_date(date: str) -> str:
-    """ARC's fourteen (in old files twelve or eight) digits as an ISO instant."""
-    d = (date + "00000101000000"[len(date) :])[:14]
+    """ARC's fourteen (in old files twelve or eight) digits as an ISO instant; what isn't digits as the first day of year 1."""
+    digits = date if date.isascii() and date.isdigit() else ""
+    d = (digits + "00010101000000"[len(digits) :])[:14]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -142,6 +163,8 @@ def warc_record(arc: ArcRecord, refers_to: str | None) -> bytes:
         fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
     if arc.cut_off:
         fields.append(("WARC-Truncated", "length"))
+    if arc.problem:
+        fields.append(("WARC-Problem", arc.problem))
     fields.append(("Content-Length", str(len(block))))
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
 
@@ -207,8 +230,7 @@ def pages_to_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         def records() -> Iterator[bytes]:
             number = 0
             for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
+                for batch in slices(whole, 2):
                     for arc, refers in zip(parse_arc(_page_arc(batch, number)), batch.column(3).to_pylist(), strict=True):
                         yield warc_record(arc, None if refers is None else str(refers))
                     number += 1

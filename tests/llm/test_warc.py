@@ -64,3 +64,27 @@ def test_arc_files_are_converted(spark, tmp_path):
     w.convert_arc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     got = w.read_warc(spark, str(tmp_path / "out"), with_payload=True).collect()
     assert [bytes(r["payload"]) for r in got] == [b"hello", b"hello"] and got[0]["target_uri"] == "http://a/"
+
+
+def test_malformed_headers_are_flagged(spark, tmp_path):
+    good = w.arc_record(1, "http://a/", "20010203040506", b"body", 0, "a.arc")
+    start = w.arc_open(1, "a.arc", "1999")
+    cases = {
+        "short": start + good + b"http://b/ 0.0.0.0\nrest of it\n",
+        "no number": start + good + b"http://b/ 0.0.0.0 19990101 text/html x1\nrest\n",
+        "negative": start + good + b"http://b/ 0.0.0.0 19990101 text/html -5\nrest\n",
+        "unfinished": start + good + b"http://b/ 0.0.0.0 19990101 text/html 5",
+    }
+    for data in cases.values():
+        first, last = w.parse_arc(data)
+        assert first.block == b"body" and first.problem is None and last.problem and last.url == "http://b/"
+    for data in (b"", b"nothing", b"filedesc://a 0 0 text/plain x\n", b"filedesc://a 0.0.0.0 1999 text/plain 4\nabc\n", b"filedesc://a 5"):
+        (only,) = w.parse_arc(data)
+        assert only.problem
+    assert w.iso_date("x") == w.iso_date("") == "0001-01-01T00:00:00Z"
+    (tmp_path / "in").mkdir()
+    for k, data in enumerate(cases.values()):
+        (tmp_path / "in" / f"{k}.arc").write_bytes(data)
+    w.convert_arc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = w.read_warc(spark, str(tmp_path / "out")).collect()
+    assert sorted(r["target_uri"] for r in got) == ["http://a/"] * 4 + ["http://b/"] * 4
