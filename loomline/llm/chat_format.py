@@ -23,7 +23,8 @@ class Template:
 
     ``open`` gives the tag of each known role; any other role is written as ``[ROLE]name[/ROLE] ``. All control strings
     begin with ``[`` or ``<``; inside texts and role names these two and the backslash get a backslash after them, so
-    no control string can appear there, and the change is undone exactly.
+    no control string can appear there, and the change is undone exactly. A template with other control strings, or
+    with tags that begin alike, is refused.
     """
 
     open: tuple[tuple[str, str], ...] = (("system", "[SYS] "), ("user", "[INST] "), ("assistant", "[/INST] "))
@@ -42,6 +43,17 @@ class Template:
     )
     accepting: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self) -> None:
+        tags = [tag for _, tag in self.open]
+        for control in (self.begin, self.end, *tags):
+            if len(control) < 2 or control[0] not in "[<" or control[1] == "\\":
+                raise ValueError(f"a control string begins with [ or < and has another character, no backslash: {control!r}")
+        for one in tags:
+            if any(one.startswith(other) for other in ("[ROLE]", "[ROLE/] ", *(t for t in tags if t is not one))) or "[ROLE]".startswith(one):
+                raise ValueError(f"no tag begins with another one: {one!r}")
+        if self.end in self.begin or any(self.end in tag for tag in (*tags, "[ROLE]", "[/ROLE] ", "[ROLE/] ")):
+            raise ValueError("the end of a turn is part of another control string")
+
 
 DEFAULT = Template()
 
@@ -122,7 +134,7 @@ def read_turns(formatted: Column, template: Template = DEFAULT) -> Column:
             out = F.when(F.startswith(body, F.lit(tag)), known).otherwise(out)
         return out
 
-    pieces = F.split(formatted, template.end)  # a regular expression without special characters
+    pieces = F.split(formatted, f"\\Q{template.end}\\E")
     return F.transform(F.filter(pieces, lambda p: p != ""), parse)
 
 

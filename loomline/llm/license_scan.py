@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import ASCII_LOWER, text_bytes, word_hashes, word_spans
+from loomline.llm.shared import ASCII_LOWER, slices, text_bytes, word_hashes, word_spans
 
 THRESHOLD = 0.8
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -267,8 +267,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hashes[order]
         for all_rows in batches:
-            for at in range(0, all_rows.num_rows, 512):
-                batch = all_rows.slice(at, 512)
+            for batch in slices(all_rows, 1):
                 raw, rows = text_bytes(batch.column(1))
                 raw = ASCII_LOWER[raw]
                 begin, end, first = word_spans(raw, rows, BETWEEN)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import text_bytes, window_hashes, word_hashes, word_spans
+from loomline.llm.shared import slices, text_bytes, window_hashes, word_hashes, word_spans
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -90,8 +90,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     symbol, bang, starts_char = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
     symbol[list(SYMBOLS)], bang[ord("!")], starts_char[0x80:0xC0] = True, True, False
     for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
+        for batch in slices(whole, whole.num_columns - 1):
             data, rows = text_bytes(batch.column(batch.num_columns - 1))
             starts, ends, first = word_spans(data, rows)
             spaces = np.isin(data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))

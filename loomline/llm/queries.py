@@ -21,10 +21,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql(f"SELECT -7L AS conv_id, t AS turn, r AS role, '{PROBE}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     out = chat_format.format_chats(rows)
-    told = F.array_join(F.transform(chat_format.read_turns(F.col("formatted")), lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.withColumn("loss", chat_format.read_loss_text(F.col("segments"))).select(
+    told = F.array_join(F.transform("read", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.withColumns({"loss": chat_format.read_loss_text(F.col("segments")), "read": chat_format.read_turns(F.col("formatted"))}).select(
         "conv_id",
-        F.size(chat_format.read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.size("read").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
@@ -153,19 +153,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Documents enter with a quarter of their bytes as provisional count of each tokenizer, then come the counts proper,
     then documents labelled toxic leave; the revision arrives a second time and is not applied again.
     """
-    docs = table(spark, sf_dir, "documents")
-    counts = token_counts.count_tokens(docs).alias("c")
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
-    known = materialise(counts.join(toxic, "doc_id", "left"), "counts")
-    first = docs.select("source", "lang", F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("guess"))
+    guess = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long")
+    docs = table(spark, sf_dir, "documents").withColumn("old_tokens", guess)
+    known = materialise(token_counts.count_tokens(docs, carry=("old_tokens",)), "counts")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     kinds = F.explode(F.array(*[F.lit(t) for t in token_counts.TOKENIZERS])).alias("tokenizer")
-    provisional = first.groupBy("source", "lang").agg(F.count("*").alias("d_docs"), F.sum("guess").alias("d_tokens"))
-    revised = token_counts.deletes(first.withColumnRenamed("guess", "n_tokens").select("source", "lang", "n_tokens", kinds)).union(token_counts.inserts(known))
+    provisional = docs.groupBy("source", "lang").agg(F.count("*").alias("d_docs"), F.sum("old_tokens").alias("d_tokens"))
+    revised = token_counts.revisions(known)
     rollup = token_counts.Rollup(spark, shared_path(spark, "rollup"))
     rollup.commit("001-provisional", provisional.select("source", "lang", kinds, "d_docs", "d_tokens"))
     rollup.commit("002-revised", revised)
     rollup.compact()
-    rollup.commit("003-withdrawn", token_counts.deletes(known.filter("toxic")))
+    rollup.commit("003-withdrawn", token_counts.deletes(known.join(toxic, "doc_id", "left_semi")))
     rollup.commit("002-revised", revised)
     return rollup.totals()
 

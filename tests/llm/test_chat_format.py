@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -35,6 +36,20 @@ def test_any_turns_come_back(turns):
     assert [(t["role"], t["text"]) for t in r["turns"]] == turns
 
 
+def test_another_template_comes_back(spark):
+    other = c.Template(open=(("user", "<|u|>"), ("bot", "<|b|>")), begin="[*", end="<|.end|>", trained=("bot",), machine=(("start", "user", "asked"), ("asked", "bot", "answered")))
+    turns = [("user", "<|.end|>[*<|b|> no"), ("bot", "a <|xend|> b[ROLE]"), ("tool", "[*<|u|>\\")]
+    rows = spark.createDataFrame([(1, k, r, x) for k, (r, x) in enumerate(turns)], SCHEMA)
+    r = c.format_chats(rows, other).withColumn("turns", c.read_turns(F.col("formatted"), other)).withColumn("loss", c.read_loss_text(F.col("segments"))).first()
+    assert [(t["role"], t["text"]) for t in r["turns"]] == turns and r["loss"] == turns[1][1]
+
+
+@pytest.mark.parametrize("bad", [{"begin": "*s*"}, {"end": "END"}, {"end": "<"}, {"open": (("user", "<u>"), ("bot", "<u>b"))}, {"open": (("user", "[ROLE]u"),)}, {"open": (("user", "<u></s>"),)}, {"begin": "[\\x"}])
+def test_templates_that_could_not_be_undone_are_refused(bad):
+    with pytest.raises(ValueError):
+        c.Template(**bad)
+
+
 def test_machine(spark):
     orders = {1: "ua", 2: "sua", 3: "uaua", 4: "au", 5: "u", 6: "suu", 7: "usa", 8: "x", 9: "s"}
     names = {"u": "user", "a": "assistant", "s": "system", "x": "tool"}

@@ -1,7 +1,7 @@
 from collections import Counter
 
 from loomline.llm import token_counts as t
-from loomline.llm.shared import shared_path
+from loomline.storage import shared_path
 from tests.llm.helpers import docs, prose
 from tests.llm.test_packing import plain_ids
 
@@ -56,3 +56,23 @@ def test_query_equals_a_recount(spark):
                 want_tokens[r["source"], r["lang"], name] += n
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op9_token_counts(spark, sf).collect()}
     assert got == {k: (n, want_tokens[k]) for k, n in want_docs.items()}
+
+
+def test_vacuumed_batches_stay_known(spark, tmp_path):
+    roll = t.Rollup(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "a", "en", "v", 10, 4)], KEYED)
+    for name in "12":
+        roll.commit(name, t.inserts(rows))
+    roll.compact()
+    roll.vacuum()
+    assert roll.batches() == [] and totals(roll) == {("a", "en", "v"): (2, 20)}
+    assert not roll.commit("1", t.inserts(rows)) and roll.commit("3", t.inserts(rows))
+    roll.compact()
+    roll.vacuum()
+    assert totals(roll) == {("a", "en", "v"): (3, 30)} and not roll.commit("3", t.inserts(rows)) and not roll.commit("2", t.inserts(rows))
+    assert len(list((tmp_path / "snapshots").iterdir())) == 1 and list((tmp_path / "pending").iterdir()) == []
+
+
+def test_carried_columns(spark):
+    rows = docs(spark, [(1, "a b")]).withColumn("tokenizer_x", t.F.lit(7))
+    assert {r["tokenizer_x"] for r in t.count_tokens(rows, carry=("tokenizer_x",)).collect()} == {7}
