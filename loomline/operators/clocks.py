@@ -51,3 +51,9 @@ def missing(mine: DataFrame, theirs: DataFrame, item: str) -> DataFrame:
     """(item, where): ids that one of two logs lacks."""
     a, b = mine.select(item).distinct(), theirs.select(item).distinct()
     return a.join(b, item, "left_anti").withColumn("missing_in", F.lit("theirs")).union(b.join(a, item, "left_anti").withColumn("missing_in", F.lit("mine")))
+
+
+def resolve_concurrent(ops: DataFrame, by: Sequence[str], kind: str, peer: str, text: str = "set-text") -> DataFrame:
+    """(by, winner, n): of concurrent ops that all set a text, the lowest peer's wins; any other kind makes a conflict, without winner."""
+    only = F.bool_and(F.col(kind) == text)
+    return ops.groupBy(*by).agg(F.when(only, F.min(peer)).alias("winner"), F.count("*").alias("n"))

@@ -26,9 +26,37 @@ def without_repeats(df: DataFrame, by: Sequence[str], value: str, order: Sequenc
     return df.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col(value)) | F.col("_before").isNull()).drop("_before")
 
 
-def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, other) seen from either end, as a set."""
-    return edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a)).distinct()
+def both_ways(edges: DataFrame, a: str = "a", b: str = "b", keep: Sequence[str] = ()) -> DataFrame:
+    """(node, other) and ``keep`` (a connection's type) seen from either end, as a set: parallel ones of one type count once."""
+    return edges.select(F.col(a).alias("node"), F.col(b).alias("other"), *keep).union(edges.select(b, a, *keep)).distinct()
+
+
+def move_items(moves: DataFrame, reason: str = "relocated") -> tuple[DataFrame, DataFrame]:
+    """Movements (item, seq, to, reason) with ``from_place`` (null on the first), and where each item is now (item, place)."""
+    w = Window.partitionBy("item").orderBy("seq")
+    told = moves.withColumn("from_place", F.lag("to").over(w)).withColumn("reason", F.coalesce("reason", F.lit(reason)))
+    return told, moves.groupBy("item").agg(F.max_by("to", "seq").alias("place"))
+
+
+def history_at(moves: DataFrame, instants: DataFrame) -> DataFrame:
+    """(item, to, at) of the movements that changed an item's place, with the instant of their transaction (seq, at).
+
+    A movement to where the item already is asserts nothing new; equal places at one instant count once.
+    """
+    return without_repeats(moves, ["item"], "to", ["seq"]).join(instants, "seq").select("item", "to", "at").distinct()
+
+
+def pull(items: DataFrame, ref: str, places: DataFrame, key: str, fields: Sequence[str], name: str) -> DataFrame:
+    """Items with the row they refer to as a struct ``name`` of its fields; null where it refers to nothing that is there."""
+    inner = places.select(F.col(key).alias(ref), F.struct(*fields).alias(name))
+    return items.join(inner, ref, "left")
+
+
+def find_or_create_compound(wanted: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``find_or_create`` for cells keyed by several columns; null keys are keys."""
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    made = find_or_create(wanted.select(key.alias("_key")), existing.select(key.alias("_key")), "_key")
+    return wanted.select(*keys, key.alias("_key")).distinct().join(made, "_key").drop("_key")
 
 
 def members(df: DataFrame, owner: str, array: str, name: str) -> DataFrame:

@@ -47,3 +47,55 @@ def shared_level(ts: Column, level: str) -> Column:
     if level not in units:
         raise ValueError(f"unknown sharing level {level}")
     return F.date_trunc(units[level], ts)
+
+
+def depth_histogram(events: DataFrame, depth: Column, opened: Column) -> DataFrame:
+    """(depth, n) of the events that open something."""
+    return events.filter(opened).groupBy(depth.alias("depth")).agg(F.count("*").alias("n"))
+
+
+def weekly(sessions: DataFrame, ts: str, by: Sequence[str], session: Sequence[str], node: str, consented: Column) -> DataFrame:
+    """By week and ``by``: events and different sessions of all, but events and different nodes only of those with consent."""
+    week = F.date_format(shared_level(F.col(ts), "weekly"), "yyyy-MM-dd").alias("week")
+    return sessions.groupBy(week, *by).agg(
+        F.count("*").alias("n_events"), F.count_distinct(F.struct(*session)).alias("n_sessions"), F.count_if(consented).alias("n_consented"), F.count_distinct(F.when(consented, F.col(node))).alias("n_nodes")
+    )
+
+
+def trust_scores(purchases: DataFrame, authors: DataFrame, citations: DataFrame) -> DataFrame:
+    """(customer, node, score): 100 for having bought the node, 50 for having cited it, 5 for every purchase from its author.
+
+    Rows (customer, node), one for each purchase, and for pairs that only a citation links; a node's own purchases count
+    among its author's.
+    """
+    bought = purchases.join(authors, "node")
+    same = bought.groupBy("customer", "author").agg(F.count("*").alias("n_same"))
+    pairs = purchases.select("customer", "node", F.lit(100).alias("direct"), F.lit(0).alias("cited")).union(citations.select("customer", "node", F.lit(0), F.lit(50)))
+    pairs = pairs.groupBy("customer", "node").agg(F.max("direct").alias("direct"), F.max("cited").alias("cited"))
+    told = pairs.join(authors, "node").join(same, ["customer", "author"], "left")
+    return told.select("customer", "node", (F.col("direct") + F.col("cited") + 5 * F.coalesce("n_same", F.lit(0))).cast("long").alias("score"))
+
+
+def for_purpose(records: DataFrame, purpose: str, known: Sequence[str], by: Sequence[str], person: str, k: int) -> DataFrame:
+    """Groups with k persons or more, of the records whose map ``purposes`` permits the purpose; an unknown purpose raises."""
+    if purpose not in known:
+        raise ValueError(f"unknown purpose {purpose}")
+    return k_anonymous(records.filter(F.coalesce(F.col("purposes")[purpose], F.lit(False))), by, person, k)
+
+
+# Kinds of access that include later versions.
+UPDATED = ("permanent", "cite", "embed")
+
+
+def stale(vault: DataFrame, published: DataFrame) -> DataFrame:
+    """(node, action) of vault entries (node, hash, access) whose published hash (node, hash) differs: fetch it, or tell the customer."""
+    now = published.select("node", F.col("hash").alias("_now"))
+    action = F.when(F.col("access").isin(*UPDATED), "fetch").otherwise("notify")
+    return vault.join(now, "node").filter(F.col("hash") != F.col("_now")).select("node", action.alias("action"))
+
+
+def expire(records: DataFrame, key: str, expires: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Records that stay, and an audit row (key, event, reason) for each that is gone (strictly after its expiry)."""
+    gone = F.coalesce(now > expires, F.lit(False))
+    audit = records.filter(gone).select(key, F.lit("analytics-deleted").alias("event"), F.lit("retention-limit-expired").alias("reason"))
+    return records.filter(~gone), audit

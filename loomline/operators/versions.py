@@ -43,3 +43,14 @@ def retention(df: DataFrame, expires: Column, now: Column) -> tuple[DataFrame, D
     """Rows kept and rows expired (strictly after their expiry)."""
     gone = F.coalesce(now > expires, F.lit(False))
     return df.filter(~gone), df.filter(gone)
+
+
+def pull(source: DataFrame, target: DataFrame, registry: DataFrame, version: DataFrame, by: Sequence[str], name: str, content: Column) -> tuple[DataFrame, DataFrame]:
+    """What a pull writes (rows that the target lacks), and the registry (name, last_version) after it.
+
+    ``version`` (name, version) is what the source has now; a drive that was never pulled has last version 0 before.
+    """
+    new = to_mirror(source, target, by, content)
+    seen = registry.select(name, F.col("last_version").alias("_before"))
+    after = version.join(seen, name, "full_outer").select(name, F.coalesce("version", "_before", F.lit(0)).alias("last_version"))
+    return new, after

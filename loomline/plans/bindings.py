@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as fn
-from loomline.operators import clocks, facts, islands, links, trees, usage, versions
+from loomline.operators import clocks, facts, islands, links, notes, trees, usage, versions
 from loomline.operators.asof import asof
+from loomline.plans.registry import ORACLES, QUERIES, events, query, table  # noqa: F401
 from loomline.sources import documents as nested
 from loomline.sources import journal, transcripts
 from loomline.streaming import log as logs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.filter(F.col("event_type").isin(*kinds)) if kinds else rows
-
-
 # As-of joins
 
 
@@ -216,12 +190,12 @@ def view_grid(spark, sf_dir):
 # Facts
 
 
-@query("""WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
-SELECT node, count(*) AS n_connected FROM (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e) GROUP BY node""")
+@query("""WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b, l_returnflag AS type FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT node, count(*) AS n_connected FROM (SELECT a AS node, b AS other, type FROM e UNION SELECT b, a, type FROM e) GROUP BY node""")
 def connections_both(spark, sf_dir):
-    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    edges = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"))
-    return facts.both_ways(edges).groupBy("node").agg(F.count("*").alias("n_connected"))
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    edges = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"), F.col("l_returnflag").alias("type"))
+    return facts.both_ways(edges, keep=["type"]).groupBy("node").agg(F.count("*").alias("n_connected"))
 
 
 @query("""SELECT l_partkey AS p_partkey, any_value(p_brand) AS p_brand, count(DISTINCT l_orderkey) AS n_orders FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey""")
@@ -231,18 +205,10 @@ def array_members(spark, sf_dir):
     return each.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 4000 AS ref FROM orders)
-SELECT o_orderkey, ref, CASE WHEN c_custkey IS NOT NULL THEN 'customer' WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS kind, coalesce(c_name, s_name) AS label
-FROM r LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = ref LEFT JOIN supplier ON s_suppkey = ref""")
-def ref_coalesce(spark, sf_dir):
-    refs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4000).alias("ref"))
-    return facts.resolve(refs, "ref", [("customer", table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0"), "c_custkey", "c_name"), ("supplier", table(spark, sf_dir, "supplier"), "s_suppkey", "s_name")])
-
-
 @query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 - o_orderkey // 2 END AS ref FROM orders)
 SELECT o_orderkey, ref, CASE WHEN c_custkey IS NOT NULL THEN 'customer' WHEN s_suppkey IS NOT NULL THEN 'supplier' END AS kind, coalesce(c_name, s_name) AS label
 FROM r LEFT JOIN customer ON c_custkey = ref LEFT JOIN supplier ON -1 - s_suppkey = ref""")
-def ref_coalesce_whole(spark, sf_dir):
+def ref_coalesce(spark, sf_dir):
     """All customers and suppliers; the latter have negative keys, of which more are wanted than there are."""
     ref = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.expr("-1 - o_orderkey div 2"))
     suppliers = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("key"), "s_name")
@@ -255,9 +221,10 @@ def semi_present(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
 def anti_missing(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Documents without a label (every customer has orders)."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("""WITH w AS (SELECT DISTINCT md5(text) AS digest FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark WHERE item_id % 2 = 0))
@@ -372,19 +339,15 @@ def url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.url_scheme(F.col("url")).alias("scheme"), path.alias("path"), fn.last_component(path).alias("last"))
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, '[1, {' AS broken FROM events")
 def json_expand(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query("SELECT doc_id, substr(text, 101, 50) AS span FROM documents WHERE strlen(text) = length(text)")
-def byte_span(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", F.decode(fn.byte_span(F.col("text"), 100, 50), "UTF-8").alias("span"))
+    held = F.to_json(F.struct(F.concat(F.lit("  "), F.col("props")).alias("p"), F.lit("[1, {").alias("broken")))
+    rows = events(spark, sf_dir).select("event_id", fn.expand_json(held).alias("j"))
+    return rows.select("event_id", F.get_json_object("j", "$.p.k").cast("long").alias("k"), F.get_json_object("j", "$.broken").alias("broken"))
 
 
 @query("SELECT doc_id, substr(hex(encode(text)), 201, 100) AS span FROM documents")
-def byte_span_whole(spark, sf_dir):
+def byte_span(spark, sf_dir):
     """Of every document, as hex, for a span may begin or end within a character."""
     return table(spark, sf_dir, "documents").select("doc_id", F.hex(fn.byte_span(F.col("text"), 100, 50)).alias("span"))
 
@@ -397,17 +360,9 @@ def coverage_ratio(spark, sf_dir):
     return pages.select("page_id", "n_source", "n_text", F.round(share, 6).alias("coverage"), (share < 0.85).alias("low"))
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'signup') AND bool_or(event_type <> 'signup') THEN 'mixed' WHEN bool_or(event_type = 'signup') THEN 'content' ELSE 'dimension' END AS kind
-FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id""")
-def kind_flags(spark, sf_dir):
-    rows = events(spark, sf_dir).filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp"))
-    text, link = F.bool_or(F.col("event_type") == "signup"), F.bool_or(F.col("event_type") != "signup")
-    return rows.groupBy("user_id").agg(F.when(text & link, "mixed").when(text, "content").otherwise("dimension").alias("kind"))
-
-
 @query("""SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN bool_or(event_type = 'signup') AND bool_or(event_type <> 'signup') THEN 'mixed' WHEN bool_or(event_type = 'signup') THEN 'content' ELSE 'dimension' END AS kind
 FROM events GROUP BY user_id, day""")
-def kind_flags_whole(spark, sf_dir):
+def kind_flags(spark, sf_dir):
     """By user and day, for over all days every user is mixed."""
     text, link = F.bool_or(F.col("event_type") == "signup"), F.bool_or(F.col("event_type") != "signup")
     days = events(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day"))
@@ -438,7 +393,7 @@ def time_per_node(spark, sf_dir):
 
 @query("SELECT (props->>'$.k')::BIGINT % 5 AS depth, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
 def depth_hist(spark, sf_dir):
-    return events(spark, sf_dir, "view").groupBy((F.get_json_object("props", "$.k").cast("long") % 5).alias("depth")).agg(F.count("*").alias("n"))
+    return usage.depth_histogram(events(spark, sf_dir), F.get_json_object("props", "$.k").cast("long") % 5, F.col("event_type") == "view")
 
 
 @query("SELECT hour(ts)::INTEGER AS hour, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
@@ -458,10 +413,11 @@ def usage_bigrams(spark, sf_dir):
     return usage.bigrams(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type")
 
 
-@query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2""")
+@query(f"""WITH {_SESSIONS} SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n_events, count(DISTINCT (user_id, session_no)) AS n_sessions,
+  count(*) FILTER (user_id % 3 <> 0) AS n_consented, count(DISTINCT floor(value)::BIGINT) FILTER (user_id % 3 <> 0) AS n_nodes FROM s GROUP BY 1, 2""")
 def weekly_rollup(spark, sf_dir):
-    week = F.date_format(usage.shared_level(F.col("ts"), "weekly"), "yyyy-MM-dd")
-    return events(spark, sf_dir).groupBy(week.alias("week"), "event_type").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
+    rows = _sessions(spark, sf_dir).withColumn("node", F.floor("value").cast("long"))
+    return usage.weekly(rows, "ts", ["event_type"], ["user_id", "session_no"], "node", F.col("user_id") % 3 != 0)
 
 
 @query("""SELECT hour(ts)::INTEGER AS hour, event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_persons FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 65""")
@@ -469,18 +425,20 @@ def k_anonymize(spark, sf_dir):
     return usage.k_anonymous(events(spark, sf_dir).withColumn("hour", F.hour("ts")), ["hour", "event_type"], "user_id", 65)
 
 
-@query("""WITH d AS (SELECT o_custkey, l_suppkey, count(*) AS n_direct FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
-s AS (SELECT o_custkey, s_nationkey, sum(n_direct) AS n_same FROM d JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
-SELECT d.o_custkey, d.l_suppkey, (100 * n_direct + 5 * n_same + CASE WHEN c_nationkey = s.s_nationkey THEN 50 ELSE 0 END)::BIGINT AS score
-FROM d JOIN supplier u ON u.s_suppkey = d.l_suppkey JOIN s ON s.o_custkey = d.o_custkey AND s.s_nationkey = u.s_nationkey JOIN customer ON c_custkey = d.o_custkey""")
+@query("""WITH p AS (SELECT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+b AS (SELECT o_custkey, s_nationkey, count(*) AS n_same FROM p JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+c AS (SELECT o_custkey, 1 + o_orderkey % (SELECT count(*) FROM supplier) AS l_suppkey FROM orders),
+k AS (SELECT o_custkey, l_suppkey, max(d) AS d, max(c) AS c FROM (SELECT *, 100 AS d, 0 AS c FROM p UNION ALL SELECT *, 0, 50 FROM c) GROUP BY 1, 2)
+SELECT k.o_custkey, k.l_suppkey, (d + c + 5 * coalesce(n_same, 0))::BIGINT AS score FROM k JOIN supplier s ON s_suppkey = l_suppkey
+LEFT JOIN b ON b.o_custkey = k.o_custkey AND b.s_nationkey = s.s_nationkey""")
 def trust_score(spark, sf_dir):
+    """Suppliers are nodes, their nations authors; an order cites a supplier by its key."""
     orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    direct = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n_direct"))
-    named = direct.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    same = named.groupBy("o_custkey", "s_nationkey").agg(F.sum("n_direct").alias("n_same"))
-    home = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    cited = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 50).otherwise(0)
-    return named.join(same, ["o_custkey", "s_nationkey"]).join(home, "o_custkey").select("o_custkey", "l_suppkey", (100 * F.col("n_direct") + 5 * F.col("n_same") + cited).cast("long").alias("score"))
+    bought = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("node"))
+    supplier = table(spark, sf_dir, "supplier")
+    cited = orders.select(F.col("o_custkey").alias("customer"), (1 + F.col("o_orderkey") % supplier.count()).alias("node"))
+    scored = usage.trust_scores(bought, supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("author")), cited)
+    return scored.select(F.col("customer").alias("o_custkey"), F.col("node").alias("l_suppkey"), "score")
 
 
 @query("""WITH v AS (SELECT DISTINCT o_custkey, day(o_orderdate)::INTEGER AS x, month(o_orderdate)::INTEGER AS y FROM orders)
@@ -500,7 +458,7 @@ def log_digest(spark, sf_dir):
 
 @query("""WITH o AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'd+' WHEN 'signup' THEN 'd-' ELSE 's' END AS kind,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
-SELECT 'journal-' || user_id AS file, (n // 10)::INTEGER AS block_idx, (n % 10)::INTEGER AS op_idx, kind, event_id::VARCHAR AS a,
+SELECT 'journal-' || user_id || '-' || n // 10000 AS file, (n // 10 % 1000)::INTEGER AS block_idx, (n % 10)::INTEGER AS op_idx, kind, event_id::VARCHAR AS a,
   CASE WHEN kind IN ('c', 's') THEN 'é' || chr(128512) || event_id END AS b FROM o""")
 def journal_decode(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -520,9 +478,9 @@ def journal_decode(spark, sf_dir):
     blocks = rows.withColumn("op", F.hex(op)).groupBy("user_id", F.floor(F.col("n") / 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "op"))).alias("ops"))
     whole = F.array_join(F.transform("ops", lambda o: o["op"]), "")
     blocks = blocks.select("user_id", "block", F.concat(F.lit("74"), F.lpad(F.hex("block"), 8, "0"), F.lpad(F.hex((F.length(whole) / 2).cast("long")), 8, "0"), whole).alias("hex"))
-    files = blocks.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("block", "hex"))).alias("b"))
+    files = blocks.groupBy("user_id", F.floor(F.col("block") / 1000).alias("part")).agg(F.sort_array(F.collect_list(F.struct("block", "hex"))).alias("b"))
     content = F.unhex(F.concat(F.lit("475A5A30" + "0" * 24), F.array_join(F.transform("b", lambda x: x["hex"]), "")))
-    ops = journal.operations(files.select(F.concat(F.lit("journal-"), F.col("user_id")).alias("file"), content.alias("content")))
+    ops = journal.operations(files.select(F.concat(F.lit("journal-"), F.col("user_id"), F.lit("-"), F.col("part")).alias("file"), content.alias("content")))
     return ops.select("file", "block_idx", "op_idx", "kind", "a", "b")
 
 
@@ -564,19 +522,10 @@ def _quoted_spans(docs: DataFrame) -> DataFrame:
     return transcripts.extract_spans(transcripts.spans(docs.select(F.concat(F.lit("link-"), F.col("doc_id")).alias("file"), stanza.alias("text"))), sources)
 
 
-@query("""SELECT 'link-' || doc_id AS file, endset::INTEGER AS endset, 1 AS span, 10 * endset::BIGINT AS start, 40::BIGINT AS length, CASE WHEN endset = 2 AND doc_id % 5 = 0 THEN NULL ELSE substr(text, 10 * endset + 1, 40) END AS quoted,
-  CASE WHEN endset = 2 AND doc_id % 5 = 0 THEN 'source not found' END AS problem
-FROM documents, (SELECT unnest([1, 2]) AS endset) WHERE strlen(text) = length(text) AND length(text) >= 60""")
-def span_quotes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter((F.octet_length("text") == F.length("text")) & (F.length("text") >= 60)).select("doc_id", "text")
-    found = _quoted_spans(docs)
-    return found.select("file", "endset", "span", "start", "length", F.decode("bytes", "UTF-8").alias("quoted"), "problem")
-
-
 @query("""WITH s AS (SELECT doc_id, text, endset, CASE WHEN text IS NULL OR endset = 2 AND doc_id % 5 = 0 THEN 'source not found' WHEN 10 * endset + 40 > strlen(text) THEN 'span outside source' END AS problem
 FROM documents, (SELECT unnest([1, 2]) AS endset))
 SELECT 'link-' || doc_id AS file, endset::INTEGER AS endset, 1 AS span, 10 * endset::BIGINT AS start, 40::BIGINT AS length, CASE WHEN problem IS NULL THEN substr(hex(encode(text)), 20 * endset + 1, 80) END AS quoted, problem FROM s""")
-def span_quotes_whole(spark, sf_dir):
+def span_quotes(spark, sf_dir):
     """Of every document, as hex; short ones give their problem."""
     found = _quoted_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("file", "endset", "span", "start", "length", F.hex("bytes").alias("quoted"), "problem")
@@ -611,23 +560,13 @@ def _section_numbers(lines: DataFrame) -> DataFrame:
     return islands.number_heads(heads, ["l_orderkey"], "seq", "level", 3).select("l_orderkey", "seq", "number")
 
 
-@query("""WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_quantity::INTEGER % 3 AS raw FROM lineitem WHERE l_orderkey % 10 = 0),
-l AS (SELECT *, CASE WHEN seq = 1 THEN 0 ELSE raw END AS level FROM h),
-a AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY l_orderkey ORDER BY seq) AS n0 FROM l),
-b AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY l_orderkey, n0 ORDER BY seq) AS n1 FROM a),
-c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY l_orderkey, n0, n1 ORDER BY seq) AS n2 FROM b)
-SELECT l_orderkey, seq::BIGINT AS seq, CASE level WHEN 0 THEN n0::VARCHAR WHEN 1 THEN n0 || '.' || n1 ELSE n0 || '.' || n1 || '.' || n2 END AS number FROM c""")
-def section_numbers(spark, sf_dir):
-    return _section_numbers(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
-
-
 @query("""WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_quantity::INTEGER % 3 AS raw FROM lineitem),
 l AS (SELECT *, CASE WHEN seq = 1 THEN 0 ELSE raw END AS level FROM h),
 a AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY l_orderkey ORDER BY seq) AS n0 FROM l),
 b AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY l_orderkey, n0 ORDER BY seq) AS n1 FROM a),
 c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY l_orderkey, n0, n1 ORDER BY seq) AS n2 FROM b)
 SELECT l_orderkey, seq::BIGINT AS seq, CASE level WHEN 0 THEN n0::VARCHAR WHEN 1 THEN n0 || '.' || n1 ELSE n0 || '.' || n1 || '.' || n2 END AS number FROM c""")
-def section_numbers_whole(spark, sf_dir):
+def section_numbers(spark, sf_dir):
     """The heads of every order."""
     return _section_numbers(table(spark, sf_dir, "lineitem"))
 
@@ -646,14 +585,14 @@ def note_pairs_fifo(spark, sf_dir):
 @query(f"WITH {_NOTES} SELECT user_id, min(pitch) AS lowest, max(pitch) AS highest, count(*) AS n_notes FROM n WHERE is_on GROUP BY user_id")
 def note_ranges(spark, sf_dir):
     rows = events(spark, sf_dir, "click").select("user_id", (F.floor("value").cast("long") % 12).alias("pitch"))
-    return rows.groupBy("user_id").agg(F.min("pitch").alias("lowest"), F.max("pitch").alias("highest"), F.count("*").alias("n_notes"))
+    return notes.ranges(rows, ["user_id"], "pitch")
 
 
 @query("""WITH t AS (SELECT event_id, user_id, ts, event_id % 97 AS delta FROM events)
 SELECT event_id, user_id, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS tick FROM t""")
 def absolute_ticks(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events(spark, sf_dir).select("event_id", "user_id", F.sum(F.col("event_id") % 97).over(w).alias("tick"))
+    rows = events(spark, sf_dir).withColumn("delta", F.col("event_id") % 97)
+    return notes.ticks(rows, ["user_id"], ["ts", "event_id"], "delta").select("event_id", "user_id", "tick")
 
 
 @query("""WITH o AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'd+' WHEN 'signup' THEN 'd-' ELSE 's' END AS kind, user_id AS a,
@@ -710,10 +649,7 @@ b AS (SELECT *, coalesce(sum(rate * d) OVER (PARTITION BY user_id ORDER BY tick
       FROM (SELECT *, lead(tick) OVER (PARTITION BY user_id ORDER BY tick) - tick AS d FROM t))
 SELECT e.event_id, e.user_id, (base + (e.event_id - tick) * rate)::BIGINT AS at FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN b ON b.user_id = e.user_id AND e.event_id >= b.tick""")
 def tempo_map(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    marks = events(spark, sf_dir, "signup").select("user_id", "event_id", (F.floor("value").cast("long") % 100).alias("rate"), (F.lead("event_id").over(w) - F.col("event_id")).alias("d"))
-    base = F.coalesce(F.sum(F.col("rate") * F.col("d")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marks = marks.select("user_id", "event_id", "rate", base.alias("base"), F.col("event_id").alias("tick"))
-    notes = events(spark, sf_dir, "click").select("user_id", "event_id", F.col("event_id").alias("note"))
-    joined = asof(notes, marks, ["user_id"], "event_id", {"rate": "rate", "base": "base", "tick": "tick"}, "event_id")
-    return joined.select("event_id", "user_id", (F.col("base") + (F.col("event_id") - F.col("tick")) * F.col("rate")).alias("at"))
+    rate = (F.floor("value").cast("long") % 100).alias("rate")
+    marks = notes.tempo_map(events(spark, sf_dir, "signup").select("user_id", "event_id", rate, F.col("event_id").alias("tick")), ["user_id"], "tick", "rate")
+    clicks = events(spark, sf_dir, "click").select("user_id", "event_id", F.col("event_id").alias("tick"))
+    return notes.at_times(clicks, marks, ["user_id"], "tick", "rate", "event_id").select("event_id", "user_id", "at")
