@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.asof import asof
-from loomline.storage import materialise
+from loomline.storage import discard, materialise
 
 
 def replay(ops: DataFrame, seq: str = "seq") -> DataFrame:
@@ -36,48 +36,34 @@ def broken(edges: DataFrame) -> DataFrame:
     return sides[0].union(sides[1])
 
 
-def ranks(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def ranks(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, head, pos, is_circular) for chains and rings; ``nodes`` adds nodes without links.
 
     Each round doubles how far back a node has looked, so chains of n nodes take log2(n) rounds; every round is written
-    to the shared folder. A ring's head is its greatest node by text. Raises if the rounds don't suffice.
+    to the shared folder. A ring's head is its greatest node by text. A round that finishes no node leaves rings only,
+    which are done once the look reaches over all of them.
     """
     named = edges.select("src").union(edges.select("dst")).toDF("node")
     named = (named if nodes is None else named.union(nodes.select("node"))).distinct()
     state = named.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("back")), "node", "left")
-    state = state.select("node", "back", F.lit(1).cast("long").alias("span"), F.col("node").alias("best"), F.lit(0).cast("long").alias("best_at"))
-    total = named.count()
-    reach = 1
-    for _ in range(max_rounds):
-        state = materialise(state, "ranks")
-        if reach >= total or not state.filter("back IS NOT NULL").head(1):
-            break
-        past = state.select(F.col("node").alias("back"), F.col("back").alias("back2"), F.col("span").alias("span2"), F.col("best").alias("best2"), F.col("best_at").alias("at2"))
+    state = state.select("node", "back", F.coalesce("back", "node").alias("far"), F.lit(1).cast("long").alias("span"), F.col("node").alias("best"), F.lit(0).cast("long").alias("best_at"))
+    state, reach, before = materialise(state, "ranks"), 1, -1
+    while (left := state.filter("back IS NOT NULL").count()) and (left != before or reach < left):
+        past = state.select(F.col("node").alias("back"), F.col("back").alias("back2"), F.col("far").alias("far2"), F.col("span").alias("span2"), F.col("best").alias("best2"), F.col("best_at").alias("at2"))
         greater = F.coalesce(F.col("best2").cast("string") > F.col("best").cast("string"), F.lit(False))
-        state = state.join(past, "back", "left").select(
+        further = state.join(past, "back", "left").select(
             "node",
             F.col("back2").alias("back"),
+            F.coalesce("far2", "far").alias("far"),
             (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"),
             F.when(greater, F.col("best2")).otherwise(F.col("best")).alias("best"),
             F.when(greater, F.col("span") + F.col("at2")).otherwise(F.col("best_at")).alias("best_at"),
         )
-        reach *= 2
-    else:
-        raise RuntimeError(f"chains are longer than 2^{max_rounds}")
-    chains = state.filter("back IS NULL").select("node", (F.col("span") - 1).alias("pos"))
-    rings = state.filter("back IS NOT NULL").select("node", F.col("best").alias("head"), F.col("best_at").alias("pos"), F.lit(True).alias("is_circular"))
-    return _heads(chains, edges, state).unionByName(rings)
-
-
-def _heads(chains: DataFrame, edges: DataFrame, state: DataFrame) -> DataFrame:
-    """Chain heads by a second doubling over (node, farthest): the farthest node back of each chain node."""
-    far = chains.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left").select("node", "pos", F.coalesce("up", "node").alias("up"))
-    while True:
-        far = materialise(far, "heads")
-        above = far.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        if not far.join(above, "up").filter("up <> up2").head(1):
-            return far.select("node", F.col("up").alias("head"), "pos", F.lit(False).alias("is_circular"))
-        far = far.join(above, "up").select("node", "pos", F.col("up2").alias("up"))
+        old, state = state, materialise(further, "ranks")
+        discard(old)
+        before, reach = left, reach * 2
+    ring = F.col("back").isNotNull()
+    return state.select("node", F.when(ring, F.col("best")).otherwise(F.col("far")).alias("head"), F.when(ring, F.col("best_at")).otherwise(F.col("span") - 1).alias("pos"), ring.alias("is_circular"))
 
 
 def lengths(ranked: DataFrame) -> DataFrame:

@@ -1,63 +1,78 @@
-"""Containment, threads and grid views: frontier loops of joins that write every round to the shared folder."""
+"""Containment, threads and grid views: rounds of joins, each written once to the shared folder; none is cut off."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.storage import materialise
+from loomline.storage import discard, materialise
 
 
-def closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """All (container, thing) of edges (container, thing), cycles included; a container on a cycle contains itself.
 
-    Semi-naive: only pairs that are new go on, so cycles end. Raises when the rounds don't suffice, never cuts off.
+    A round joins what is new with all that was found, on either side, so lengths double and n levels take log2(n)
+    rounds. Only pairs that weren't found yet go on, each is written once, and it ends when there are none.
     """
-    edges = materialise(edges.select("container", "thing").distinct(), "edges")
-    found, fresh = edges, edges
-    for _ in range(max_rounds):
-        step = fresh.join(edges.toDF("thing", "next"), "thing").select("container", F.col("next").alias("thing")).distinct()
-        fresh = materialise(step.join(found, ["container", "thing"], "left_anti"), "fresh")
-        if not fresh.head(1):
-            return found
-        found = materialise(found.union(fresh), "found")
-    raise RuntimeError(f"the closure needs more than {max_rounds} rounds")
+    parts = [materialise(edges.select("container", "thing").distinct(), "pairs")]
+    while True:
+        fresh, found = parts[-1], _all(parts)
+        ahead = fresh.join(found.toDF("thing", "next"), "thing").select("container", F.col("next").alias("thing"))
+        behind = found.join(fresh.toDF("thing", "next"), "thing").select("container", F.col("next").alias("thing"))
+        step = ahead.union(behind).distinct().join(found, ["container", "thing"], "left_anti")
+        parts.append(materialise(step, "pairs"))
+        if not parts[-1].head(1):
+            discard(parts.pop())
+            return _all(parts)
 
 
-def preorder(nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def preorder(nodes: DataFrame) -> DataFrame:
     """(id, root, depth, path) of nodes (id, parent, sort): the array of (sort, id) from the root orders each thread.
 
-    Nodes whose parent is null or not there are roots; those on a reply cycle are reached from no root and come with
-    null root, depth and path instead of vanishing.
+    Nodes whose parent is null or not there are roots; those on a reply cycle, or below one, are reached from no root and
+    come with null root, depth and path instead of vanishing.
+
+    Every node looks up to an ancestor and holds the path below it; a round puts the ancestor's own path before it, so
+    depths double. A round that brings no node to its root leaves cycles only.
     """
     known = nodes.select(F.col("id").alias("parent")).distinct()
     linked = nodes.join(known.withColumn("_there", F.lit(True)), "parent", "left")
-    step = F.array(F.struct("sort", "id"))
-    level = materialise(linked.filter("_there IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), step.alias("path")), "level")
-    inner = materialise(linked.filter("_there").select("id", "parent", "sort"), "inner")
-    out = level
-    for _ in range(max_rounds):
-        above = level.select(F.col("id").alias("parent"), "root", "depth", F.col("path").alias("up"))
-        level = materialise(inner.join(above, "parent").select("id", "root", (F.col("depth") + 1).alias("depth"), F.concat("up", step).alias("path")), "level")
-        if not level.head(1):
-            lost = nodes.select("id").join(out, "id", "left_anti").select("id", *[F.lit(None).cast(t).alias(c) for c, t in out.dtypes[1:]])
-            return out.union(lost)
-        out = out.union(level)
-    raise RuntimeError(f"threads are deeper than {max_rounds}")
+    state = linked.select("id", F.when(F.col("_there"), F.col("parent")).alias("up"), F.array(F.struct("sort", "id")).alias("path"))
+    state = materialise(state, "threads")
+    done, open_ = [state.filter("up IS NULL")], state.filter("up IS NOT NULL")
+    while open_.head(1):
+        above = _all([*done, open_]).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("above"))
+        state = materialise(open_.join(above, "up").select("id", F.col("up2").alias("up"), F.concat("above", "path").alias("path")), "threads")
+        if not state.filter("up IS NULL").head(1):
+            break
+        done.append(state.filter("up IS NULL"))
+        open_ = state.filter("up IS NOT NULL")
+    found = _all(done).select("id", F.element_at("path", 1)["id"].alias("root"), (F.size("path") - 1).alias("depth"), "path")
+    lost = open_.select("id", *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]])
+    return found.union(lost)
 
 
-def grid_view(start: DataFrame, edges: DataFrame, cells: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def grid_view(start: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Breadth-first placement (cell, x, y, z) from ``start`` (cell) along edges (axis 0-2, src, dst).
 
     The first placement wins. First-in-first-out order is the order of step codes (axis by axis, posward before
     negward) along the path, so frontiers are compared by their path arrays instead of a global queue. A neighbour
-    without a cell row takes its place but is neither shown nor expanded.
+    without a cell row takes its place but is neither shown nor expanded. A round for every step away from the start;
+    it ends when no cell is new.
     """
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), (2 * F.col("axis")).alias("code")).union(edges.select("dst", "src", 2 * F.col("axis") + 1))
     both = materialise(both, "steps")
     level = materialise(start.select(F.col("cell").alias("cell"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.array().cast("array<int>").alias("path")), "level")
-    placed = level
-    for _ in range(max_rounds):
+    parts = [level]
+    while True:
+        placed = _all(parts)
         shown = level.join(cells.select("cell"), "cell", "left_semi")
         moved = shown.join(both, F.col("cell") == F.col("at"))
         sign = F.when(F.col("code") % 2 == 0, 1).otherwise(-1)
@@ -68,5 +83,4 @@ def grid_view(start: DataFrame, edges: DataFrame, cells: DataFrame, max_rounds:
         level = materialise(first.select("cell", "p.*"), "level")
         if not level.head(1):
             return placed.join(cells.select("cell"), "cell", "left_semi").select("cell", "x", "y", "z")
-        placed = materialise(placed.union(level), "placed")
-    raise RuntimeError(f"the view is wider than {max_rounds} rounds")
+        parts.append(level)
