@@ -14,8 +14,8 @@ the same joins run by a shuffle.
 Words are runs of digits, A-Z lower-cased, a-z and non-ASCII characters. Defined cases: null, empty and wordless texts
 have n_words 0 and no hits; an item with fewer words than a window, but not none, is one window; items without words
 never occur; repeated rows are reported each, with equal results; equal item_ids are one item name with several texts;
-empty tables give no rows, or no hits; a row is known by a hash of doc_id and text, so null and repeated doc_ids do no
-harm; columns other than doc_id, text and item_id are not read.
+empty tables give no rows, or no hits; a row is known by a 64-bit hash of doc_id and text, so null and repeated doc_ids
+do no harm (of 10^10 different rows two or three pairs are expected to share one, and would be reported together); columns other than doc_id, text and item_id are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.shared import ascii_lower, row_hash
-from loomline.storage import materialise
+from loomline.storage import discard, materialise
 
 WINDOW = 10
 RARE = 2
 BROADCAST_ROWS = 1_000_000
-#: Row keys of documents with an alignment are broadcast to pick out their texts up to this number; beyond, by a shuffle.
+#: Up to so many rows of documents (with an alignment, with a hit) are broadcast; beyond, the same joins run by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Everything between words, before and after A-Z is lower-cased.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -151,7 +151,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         _covered(F.sort_array(F.collect_set(F.struct("first", "last")))).cast("long").alias("n_hit"),
         F.sort_array(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("items"),
     )
-    out = rows.join(told, "rk", "left")
+    told = materialise(told, "hits")  # from here on nothing reads the postings
+    discard(postings)
+    out = rows.join(F.broadcast(told) if told.count() <= BROADCAST_KEYS else told, "rk", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "rk", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
