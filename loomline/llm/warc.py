@@ -215,7 +215,12 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     small = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size")).filter(F.col("size") >= least_bytes).drop("size")
     kept = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL").drop("n")
-    return small.join(kept, "digest").filter("NOT page_id <=> refers_to").distinct()
+    return small.join(_sized(materialise(kept, "kept")), "digest").filter("NOT page_id <=> refers_to").distinct()
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, which was written before, to be broadcast where its counted rows allow it: then no key is shuffled, however frequent."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def pages_to_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -224,7 +229,7 @@ def pages_to_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     again = again.select(F.struct("page_id", "digest").alias("same"), "refers_to")
     marked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     marked = marked.withColumn("mine", F.struct("page_id", F.sha1(F.col("html").cast("binary")).alias("digest")))
-    marked = marked.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, F.col("mine").eqNullSafe(F.col("same")), "left")
+    marked = marked.join(_sized(again), F.col("mine").eqNullSafe(F.col("same")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -283,8 +288,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to (a page): revisits take both from their response."""
     records = materialise(records.select("record_id", "record_type", "page_id", "refers_to_id", "payload_digest", "payload_bytes"), "records")
     responses = records.filter("record_type = 'response'")
-    kept = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("bytes"))
-    again = records.filter("record_type = 'revisit'").join(kept, "refers_to_id", "left")
+    again = records.filter("record_type = 'revisit'")
+    asked = again.select(F.col("refers_to_id").alias("record_id")).distinct()
+    kept = responses.join(asked, "record_id").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("bytes"))
+    again = again.join(_sized(materialise(kept, "kept")), "refers_to_id", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).union(again.withColumn("payload_bytes", F.col("bytes")).select(columns))
 
