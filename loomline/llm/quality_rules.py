@@ -43,6 +43,7 @@ RULES = (
     Rule(4, "repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule(5, "short_words", "word_chars < 2 * n_words"),
     Rule(6, "long_words", "word_chars > 20 * n_words"),
+    Rule(7, "more_symbols_than_words", "n_symbols > n_words"),
 )
 
 
@@ -59,8 +60,11 @@ class Policy:
 
 
 BASE = Policy("base", ("few_words", "repeated_trigrams"))
-POLICIES = {p.version: p for p in (BASE, Policy("v1", BASE.rules + ("symbol_heavy", "repeated_lines")), Policy("v2", tuple(r.name for r in RULES)))}
-CURRENT = "v2"
+#: v3 keeps texts with a table's column marks, which v2 rejected as symbol-heavy.
+V2 = (*BASE.rules, "symbol_heavy", "bang_heavy", "repeated_lines", "short_words", "long_words")
+V3 = (*(name for name in V2 if name != "symbol_heavy"), "more_symbols_than_words")
+POLICIES = {p.version: p for p in (BASE, Policy("v1", BASE.rules + ("symbol_heavy", "repeated_lines")), Policy("v2", V2), Policy("v3", V3))}
+CURRENT = "v3"
 
 
 def _per_row(flags: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -46,3 +46,10 @@ def test_a_threshold_itself_passes(spark):
     words = [f"u{k}" for k in range(50)]
     text = " ".join(words)
     assert q.ledger(docs(spark, [(1, text), (2, " ".join(words[:49]))])).select("doc_id", (F.col("fail_bits") % 2).alias("b")).sort("doc_id").collect() == [(1, 0), (2, 1)]
+
+
+def test_tables_stay_and_runs_of_symbols_go(spark):
+    row = " | ".join(f"cell{k}" for k in range(60))
+    rows = q.ledger(docs(spark, [(1, row), (2, "###$$$ word " * 60 + prose(1, 60))]))
+    kept = {version: {r["doc_id"] for r in q.apply_policy(rows, policy).filter("kept").collect()} for version, policy in q.POLICIES.items()}
+    assert kept["v3"] == {1} and kept["v2"] == set()
