@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.asof import asof
-from loomline.storage import discard, materialise
+from loomline.storage import materialise
 
 
 def replay(ops: DataFrame, seq: str = "seq") -> DataFrame:
@@ -39,8 +39,8 @@ def broken(edges: DataFrame) -> DataFrame:
 def ranks(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, head, pos, is_circular) for chains and rings; ``nodes`` adds nodes without links.
 
-    Each round doubles how far back a node has looked, so chains of n nodes take log2(n) rounds; every round is written
-    to the shared folder. A ring's head is its greatest node by text. A round that finishes no node leaves rings only,
+    Each round doubles how far back a node has looked, so chains of n nodes take log2(n) rounds; every round writes the
+    nodes that haven't seen their head yet. A ring's head is its greatest node by text. A round that finishes no node leaves rings only,
     which are done once the look reaches over all of them.
     """
     named = edges.select("src").union(edges.select("dst")).toDF("node")
@@ -48,20 +48,27 @@ def ranks(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     state = named.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("back")), "node", "left")
     state = state.select("node", "back", F.coalesce("back", "node").alias("far"), F.lit(1).cast("long").alias("span"), F.col("node").alias("best"), F.lit(0).cast("long").alias("best_at"))
     state, reach, before = materialise(state, "ranks"), 1, -1
-    while (left := state.filter("back IS NOT NULL").count()) and (left != before or reach < left):
-        past = state.select(F.col("node").alias("back"), F.col("back").alias("back2"), F.col("far").alias("far2"), F.col("span").alias("span2"), F.col("best").alias("best2"), F.col("best_at").alias("at2"))
+    parts, open_ = [state.filter("back IS NULL")], state.filter("back IS NOT NULL")
+    while (left := open_.count()) and (left != before or reach < left):
+        seen = open_
+        for part in parts:
+            seen = seen.union(part)
+        past = seen.select(F.col("node").alias("back"), F.col("back").alias("back2"), F.col("far").alias("far2"), F.col("span").alias("span2"), F.col("best").alias("best2"), F.col("best_at").alias("at2"))
         greater = F.coalesce(F.col("best2").cast("string") > F.col("best").cast("string"), F.lit(False))
-        further = state.join(past, "back", "left").select(
+        further = open_.join(past, "back").select(
             "node",
             F.col("back2").alias("back"),
-            F.coalesce("far2", "far").alias("far"),
-            (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"),
+            F.col("far2").alias("far"),
+            (F.col("span") + F.col("span2")).alias("span"),
             F.when(greater, F.col("best2")).otherwise(F.col("best")).alias("best"),
             F.when(greater, F.col("span") + F.col("at2")).otherwise(F.col("best_at")).alias("best_at"),
         )
-        old, state = state, materialise(further, "ranks")
-        discard(old)
-        before, reach = left, reach * 2
+        state = materialise(further, "ranks")
+        parts.append(state.filter("back IS NULL"))
+        open_, before, reach = state.filter("back IS NOT NULL"), left, reach * 2
+    state = open_
+    for part in parts:
+        state = state.union(part)
     ring = F.col("back").isNotNull()
     return state.select("node", F.when(ring, F.col("best")).otherwise(F.col("far")).alias("head"), F.when(ring, F.col("best_at")).otherwise(F.col("span") - 1).alias("pos"), ring.alias("is_circular"))
 
