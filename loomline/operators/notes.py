@@ -83,6 +83,21 @@ def ranges(notes: DataFrame, by: Sequence[str], pitch: str) -> DataFrame:
     return notes.groupBy(*by).agg(F.min(pitch).alias("lowest"), F.max(pitch).alias("highest"), F.count("*").alias("n_notes"))
 
 
+def meta_summary(events: DataFrame, by: Sequence[str], kind: str, text: str, order: Sequence[str]) -> DataFrame:
+    """By file: the texts of track names, markers and lyrics in order, and the first tempo, time signature and key."""
+
+    def told(name: str) -> Column:
+        rows = F.sort_array(F.collect_list(F.when(F.col(kind) == name, F.struct(*order, F.col(text).alias("_text")))))
+        return F.transform(rows, lambda r: r["_text"])
+
+    def first(name: str) -> Column:
+        return F.min_by(F.when(F.col(kind) == name, F.col(text)), F.when(F.col(kind) == name, F.struct(*order)))
+
+    lists = {"track_names": "track-name", "markers": "marker", "lyrics": "lyric"}
+    firsts = {"initial_tempo": "tempo", "initial_time": "time-signature", "initial_key": "key-signature"}
+    return events.groupBy(*by).agg(*[told(k).alias(n) for n, k in lists.items()], *[first(k).alias(n) for n, k in firsts.items()])
+
+
 # Stateless transforms of rows (kind: note or control or pressure, channel, number, value); they work on streams as well
 
 

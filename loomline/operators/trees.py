@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.storage import discard, materialise
@@ -84,3 +84,11 @@ def grid_view(start: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame
         if not level.head(1):
             return placed.join(cells.select("cell"), "cell", "left_semi").select("cell", "x", "y", "z")
         parts.append(level)
+
+
+def outline(nodes: DataFrame, depth: int, keep: Column | None = None) -> DataFrame:
+    """(id, root, depth, path, hidden) of a forest's nodes down to ``depth``: those ``keep`` (of depth and path) names, and how many lie below each."""
+    placed = preorder(nodes).filter("root IS NOT NULL")
+    below = placed.filter(F.col("depth") > depth).groupBy("root", F.slice("path", 1, depth + 1).alias("path")).agg(F.count("*").alias("hidden"))
+    shown = placed.filter((F.col("depth") <= depth) & (F.lit(True) if keep is None else keep))
+    return shown.join(below, ["root", "path"], "left").select("id", "root", "depth", "path", F.coalesce("hidden", F.lit(0)).alias("hidden"))

@@ -74,3 +74,12 @@ def stale_content(spark, sf_dir):
 def retention_audit(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return usage.expire(orders, "o_orderkey", F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS"), F.lit("2000-01-01").cast("timestamp"))[1]
+
+
+@query("""WITH m AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'marker' WHEN 'view' THEN 'lyric' WHEN 'error' THEN 'tempo' ELSE 'other' END AS kind FROM events)
+SELECT user_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) FILTER (kind = 'marker'), '') AS markers, count(*) FILTER (kind = 'lyric') AS n_lyrics, arg_min(event_id::VARCHAR, (ts, event_id)) FILTER (kind = 'tempo') AS initial_tempo FROM m GROUP BY user_id""")
+def meta_summaries(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "marker").when(F.col("event_type") == "view", "lyric").when(F.col("event_type") == "error", "tempo").otherwise("other")
+    rows = events(spark, sf_dir).select("user_id", "ts", "event_id", kind.alias("kind"), F.col("event_id").cast("string").alias("text"))
+    told = notes.meta_summary(rows, ["user_id"], "kind", "text", ["ts", "event_id"])
+    return told.select("user_id", F.array_join("markers", ",").alias("markers"), F.size("lyrics").cast("long").alias("n_lyrics"), "initial_tempo")

@@ -240,3 +240,23 @@ def included_files(spark, sf_dir):
     whole = checks.expand_includes(rows, keep=F.substring("name", 2, 20).try_cast("long") % 5 == 4)
     parts = F.sort_array(F.collect_list(F.struct("path", "line")))
     return whole.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("""WITH c AS (SELECT conv_id, string_split(coalesce(text, ''), ' ') AS l FROM conversations), e AS (SELECT conv_id, unnest(range(len(l))) AS k, l FROM c)
+SELECT conv_id, k::INTEGER AS col, max(length(l[k + 1]))::INTEGER AS width FROM e GROUP BY conv_id, k""")
+def column_widths(spark, sf_dir):
+    """Every conversation as a table, a row for each turn and a column for each word."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.split(F.coalesce("text", F.lit("")), " ").alias("cells"))
+    return fn.column_widths(rows, ["conv_id"], "cells").select("conv_id", F.col("column").alias("col"), "width")
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 4 THEN p_partkey // 4 END AS parent FROM part),
+r AS (SELECT id, id AS root, 0 AS depth, id AS top FROM n WHERE parent IS NULL UNION ALL SELECT n.id, r.root, r.depth + 1, CASE WHEN r.depth < 2 THEN n.id ELSE r.top END FROM r JOIN n ON n.parent = r.id),
+h AS (SELECT top, count(*) AS hidden FROM r WHERE depth > 2 GROUP BY top)
+SELECT id, root, depth, coalesce(hidden, 0) AS hidden FROM r LEFT JOIN h ON h.top = r.id WHERE depth <= 2""")
+def outline_levels(spark, sf_dir):
+    """Three levels of a forest of parts, each with how many lie below what is shown."""
+    from loomline.operators import trees
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey >= 4 THEN p_partkey div 4 END").alias("parent"), F.col("p_partkey").alias("sort"))
+    return trees.outline(part, 2).select("id", "root", "depth", "hidden")

@@ -19,8 +19,10 @@ SNAPSHOT = (
 
 
 def read_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cells, dimensions and connections of snapshot files, each with owner and revision."""
-    rows = spark.read.schema(SNAPSHOT).json(path, multiLine=True)
+    """cells, dimensions and connections of snapshot files, each with owner and revision; no rows where there is no file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    rows = spark.read.schema(SNAPSHOT).json(path, multiLine=True) if there else spark.createDataFrame([], SNAPSHOT)
     return {part: rows.select("ownerId", "revision", F.inline(part)) if part == "connections" else rows.select(F.col("ownerId").alias("owner"), "revision", F.inline(part)) for part in ("cells", "dimensions", "connections")}
 
 
@@ -37,6 +39,20 @@ def snapshot_json(cells: DataFrame, dimensions: DataFrame, connections: DataFram
     return out.select("ownerId", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "ownerId", "revision", *empty)).alias("json"))
 
 
+def write_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Rows (ownerId, json) to ``path``, a folder for each owner; the job's commit makes them appear as a whole."""
+    snapshots.select(F.col("ownerId").alias("owner"), F.col("json").alias("value")).write.mode("overwrite").partitionBy("owner").text(path)
+
+
+USERS = "users array<struct<id:string,displayName:string,handle:string,dataFile:string>>"
+
+
+def users(files: DataFrame) -> DataFrame:
+    """(id, displayName, handle, dataFile) of user files (file, text); of several rows with one id the last of the last file counts."""
+    rows = files.select("file", F.from_json("text", USERS).alias("u")).select("file", F.posexplode("u.users").alias("place", "user"))
+    return rows.groupBy(F.col("user.id").alias("id")).agg(F.max_by("user", F.struct("file", "place")).alias("user")).select("id", "user.displayName", "user.handle", "user.dataFile")
+
+
 def mirrored(connections: DataFrame) -> DataFrame:
     """(owner, dim, src, dst) once, from connection records that store every link at both ends."""
     a = connections.filter("poswardId IS NOT NULL").select(F.col("ownerId").alias("owner"), F.col("dimensionId").alias("dim"), F.col("cellId").alias("src"), F.col("poswardId").alias("dst"))

@@ -116,3 +116,19 @@ def test_streamed_logs(spark):
     assert len(seen) == 4
     with pytest.raises(ValueError):
         log.open_log(spark, "pigeon", base, "x int")
+
+
+def test_snapshots_users_and_folders(spark, tmp_path):
+    from loomline.sources import documents as d
+    from loomline.sources import transcripts as t
+
+    assert all(df.collect() == [] for df in d.read_snapshots(spark, str(tmp_path / "none.json")).values())
+    told = spark.createDataFrame([("u", '{"schemaVersion": 1, "ownerId": "u", "revision": 3, "cells": [{"id": "k"}], "dimensions": [], "connections": []}')], "ownerId string, json string")
+    d.write_snapshots(told, str(tmp_path / "out"))
+    back = d.read_snapshots(spark, str(tmp_path / "out" / "owner=u" / "*"))["cells"].collect()
+    assert [(r["owner"], r["revision"], r["id"]) for r in back] == [("u", 3, "k")]
+    files = spark.createDataFrame([("a", '{"users": [{"id": "1", "handle": "x"}, {"id": "1", "handle": "y"}, {"id": "2"}]}'), ("b", '{"users": [{"id": "2", "handle": "z"}]}'), ("c", "no json")], "file string, text string")
+    assert {r["id"]: r["handle"] for r in d.users(files).collect()} == {"1": "y", "2": "z"}
+    spans = spark.createDataFrame([("f", "t", 1, "http://h/A.txt", 1, 0, 1, None), ("f", "t", 1, "b.txt", 2, 0, 1, None)], "file string, link_type string, endset int, source string, span int, start long, length long, error string")
+    sources = spark.createDataFrame([("A.txt", bytearray(b"1"), 2), ("A.txt", bytearray(b"2"), 1), ("B.txt", bytearray(b"3"), 2)], "name string, content binary, priority int")
+    assert {r["source"]: bytes(r["bytes"]) for r in t.extract_spans(spans, sources).collect()} == {"http://h/A.txt": b"2", "b.txt": b"3"}
