@@ -114,3 +114,10 @@ def verified(content: DataFrame, expected: DataFrame, key: str, text: str, diges
     """(key, state): verified, corrupted or new, by SHA-256."""
     rows = content.select(key, F.sha2(text, 256).alias("_is")).join(expected.select(key, F.col(digest).alias("_should")), key, "left")
     return rows.select(key, F.when(F.col("_should").isNull(), "new").when(F.col("_is") == F.col("_should"), "verified").otherwise("corrupted").alias("state"))
+
+
+def label_refs(refs: DataFrame, labels: DataFrame, ref: str) -> tuple[DataFrame, DataFrame]:
+    """References with the ``number`` their label (label, number) has, ``?`` where there is none; and the unresolved ones (ref, n)."""
+    told = refs.join(labels.select(F.col("label").alias(ref), F.col("number").alias("_number")), ref, "left")
+    missing = told.filter("_number IS NULL").groupBy(ref).agg(F.count("*").alias("n"))
+    return told.withColumn("number", F.coalesce("_number", F.lit("?"))).drop("_number"), missing

@@ -44,15 +44,27 @@ def number_sessions(df: DataFrame, by: Sequence[str], ts: str, tie: str, gap_sec
     return number_after(df, by, [ts, tie], before.isNull() | (gap > gap_seconds * 1_000_000), name, keep_markers=True)
 
 
-def number_heads(df: DataFrame, by: Sequence[str], order: str, level: str, levels: int) -> DataFrame:
-    """``number`` of nested heads (1, 1.1, 1.2, 2, …): each level counts within its ancestors and begins anew under the next."""
-    out, within = df, list(by)
+def number_heads(df: DataFrame, by: Sequence[str], order: str, level: str, levels: int, starred: Column | None = None, appendix: Column | None = None) -> DataFrame:
+    """``number`` of nested heads (1, 1.1, 1.2, 2, …): each level counts within its ancestors and begins anew under the next.
+
+    ``starred`` heads have no number and count for none. From the first row that ``appendix`` marks on, outermost heads
+    count anew, as letters (after Z as A27 and so on).
+    """
+    counted = F.lit(True) if starred is None else ~F.coalesce(starred, F.lit(False))
+    out, within = df.withColumn("_counted", counted), list(by)
+    if appendix is not None:
+        out = out.withColumn("_late", F.max(F.coalesce(appendix, F.lit(False))).over(_running(by, [order])))
+        within.append("_late")
     for k in range(levels):
         w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_n{k}", F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(w))
+        out = out.withColumn(f"_n{k}", F.sum(F.when((F.col(level) == k) & F.col("_counted"), 1).otherwise(0)).over(w))
         within.append(f"_n{k}")
-    number = F.concat_ws(".", *[F.when(F.col(level) >= k, F.col(f"_n{k}").cast("string")) for k in range(levels)])
-    return out.withColumn("number", number).drop(*[f"_n{k}" for k in range(levels)])
+    names = [F.col(f"_n{k}").cast("string") for k in range(levels)]
+    if appendix is not None:
+        letter = F.when(F.col("_n0") <= 26, F.char(64 + F.col("_n0"))).otherwise(F.concat(F.lit("A"), names[0]))
+        names[0] = F.when(F.col("_late"), letter).otherwise(names[0])
+    number = F.concat_ws(".", *[F.when(F.col(level) >= k, names[k]) for k in range(levels)])
+    return out.withColumn("number", F.when(F.col("_counted"), number)).drop("_counted", "_late", *[f"_n{k}" for k in range(levels)])
 
 
 def pair_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column, key: str, open_name: str, close_name: str) -> DataFrame:

@@ -134,3 +134,22 @@ def test_bodies_and_purposes(spark):
     assert one(spark, checks.included(F.col("l")), l="#include 'a\"b' rest") == 'a"b' and one(spark, checks.included(F.col("l")), l='#include "a') is None
     with pytest.raises(ValueError):
         usage.for_purpose(spark.range(1), "spying", ("research",), ["id"], "id", 2)
+
+
+def test_a_transcript_with_its_chats(spark):
+    turns = spark.createDataFrame([("f", 0, 0.0, "hello"), ("f", 1, 3700.0, "late")], "file string, turn int, start_s double, text string")
+    chats = spark.createDataFrame([("f", 0, 2, 9.0, "Bo", "second"), ("f", 0, 1, 5.0, "Al", "first"), ("f", None, 1, 1.0, "No", "turn")], "file string, turn long, place int, at_s double, sender string, text string")
+    (page,) = transcripts.markdown(turns, chats).collect()
+    assert page["text"] == "# Transcript\n\n- **[00:00]** hello\n    - \U0001f4ac [00:05] **Al:** first\n    - \U0001f4ac [00:09] **Bo:** second\n- **[1:01:40]** late\n"
+
+
+def test_heads_with_stars_and_an_appendix(spark):
+    from loomline.operators import facts, islands
+
+    heads = [(0, 0, False, False), (1, 1, False, False), (2, 0, True, False), (3, 1, False, False), (4, 0, False, True), (5, 1, False, False), (6, 0, False, False)]
+    rows = spark.createDataFrame([("f", *h) for h in heads], "f string, k int, level int, star boolean, app boolean")
+    got = islands.number_heads(rows, ["f"], "k", "level", 2, starred=F.col("star"), appendix=F.col("app"))
+    numbers = {r["k"]: r["number"] for r in got.collect()}
+    assert numbers == {0: "1", 1: "1.1", 2: None, 3: "1.2", 4: "A", 5: "A.1", 6: "B"}
+    told, missing = facts.label_refs(spark.createDataFrame([("x",), ("y",), ("y",)], "ref string"), spark.createDataFrame([("x", "1.2")], "label string, number string"), "ref")
+    assert sorted(map(tuple, told.collect())) == [("x", "1.2"), ("y", "?"), ("y", "?")] and [tuple(r) for r in missing.collect()] == [("y", 2)]
