@@ -84,7 +84,7 @@ JOIN_4_85 = ngram_join.Join(width=4, num=85, den=100)
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by Jaccard similarity of their four-word shingles, 85 hundredths or more."""
-    return ngram_join.join_components(table(spark, sf_dir, "documents"), JOIN_4_85)
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), JOIN_4_85).select("doc_id", "n_shingles", "component_id")
 
 
 OP2_SQL = """
