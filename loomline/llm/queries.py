@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_counts, url_filter, warc
+from loomline.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_align, token_counts, url_filter, warc
 from loomline.storage import materialise, shared_path
 
 
@@ -174,6 +174,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under both tokenizers in groups, and its links scored by the corpus-wide counts."""
+    aligned = materialise(token_align.align(table(spark, sf_dir, "documents")), "aligned")
+    counts = materialise(token_align.pair_counts(aligned), "counts")
+    return token_align.score_links(aligned, counts)
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p),
@@ -196,5 +203,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_token_alignment": op11_token_alignment,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}

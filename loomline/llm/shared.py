@@ -36,14 +36,14 @@ def row_hash(doc_id: Column, text: Column) -> Column:
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most SLICE_ROWS rows and, but for a single longer text, SLICE_BYTES bytes of column ``text``."""
+def slices(batch: pa.RecordBatch, text: int, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``most_rows`` rows and, but for a single longer text, ``most_bytes`` bytes of column ``text``."""
     column = batch.column(text)
     size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(size), 0
     while at < batch.num_rows:
         before = ends[at] - size[at]
-        stop = max(at + 1, min(int(np.searchsorted(ends, before + SLICE_BYTES, side="right")), at + SLICE_ROWS))
+        stop = max(at + 1, min(int(np.searchsorted(ends, before + most_bytes, side="right")), at + most_rows))
         yield batch.slice(at, stop - at)
         at = stop
 
