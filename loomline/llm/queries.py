@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_align, token_counts, url_filter, warc
+from loomline.llm import chat_format, collocations, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_align, token_counts, url_filter, warc
 from loomline.storage import materialise, shared_path
 
 
@@ -181,6 +181,30 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.score_links(aligned, counts)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's 2,000 best-scored phrases of two to four words."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT DISTINCT lang, a AS m, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+          FROM (SELECT lang, a, ws, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c WHERE cut = 1 AND k > 2))),
+longest AS (SELECT lang, phrase, max(m) AS m FROM parts GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN longest t ON t.lang = b.lang AND t.phrase = b.phrase
+WHERE t.m IS NULL OR 100::HUGEINT * t.m < 80::HUGEINT * a QUALIFY rank <= 2000
+"""
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p),
@@ -204,5 +228,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
     "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op12_collocations": OP12_SQL}

@@ -83,6 +83,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return _mix(a * _ROLL + b)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, eight bytes a round, only over words that still have bytes."""
     lengths = ends - starts
