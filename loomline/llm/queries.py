@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import chat_format, collocations, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_align, token_counts, url_filter, warc
+from loomline.llm import chat_format, collocations, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, sharding, token_align, token_counts, url_filter, warc
 from loomline.storage import materialise, shared_path
 
 
@@ -205,6 +205,11 @@ WHERE t.m IS NULL OR 100::HUGEINT * t.m < 80::HUGEINT * a QUALIFY rank <= 2000
 """
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 16 and slot there, by a ring whose loads are at most one apart."""
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p),
@@ -229,5 +234,6 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_token_alignment": op11_token_alignment,
     "op12_collocations": op12_collocations,
+    "op13_sharding": op13_sharding,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op3_warc": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op12_collocations": OP12_SQL}

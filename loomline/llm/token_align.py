@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,9 @@ PAIRS = 2_000_000
 #: Salts of the shuffle join beyond that.
 SALTS = 32
 #: Text that goes through DuckDB at a time.
-STEP_BYTES, STEP_ROWS = 16 << 20, 16384
+STEP_BYTES, STEP_ROWS = 8 << 20, 8192
+#: Segments that are encoded at a time.
+ENCODED = 20_000
 #: Bytes beside which a single space is a cut, with the two-byte characters from U+00C0 to U+027F.
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
@@ -66,9 +68,17 @@ class Side:
     def __init__(self, encode: Callable[[list[str]], list], parts: list[bytes], separable: bool = True):
         self.encode, self.parts, self.separable = encode, parts, separable
         self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(parts), np.uint8)
         self.names = {end: np.array([f"{k}{end}" for k in range(len(parts))], object) for end in ",|;"}
 
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens back to back."""
+        sizes = self.sizes[ids]
+        stops = np.cumsum(sizes)
+        return self.data[np.repeat(self.starts[ids] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
+
+
 @lru_cache(maxsize=2)
 def byte_level(vocabulary: str = BYTE_BPE, location: str | None = None) -> Side:
     """The byte-level BPE, which reads a text with a space before it."""
@@ -133,29 +143,37 @@ def _segments(texts: pa.Array, separable: bool) -> tuple[pa.Array, np.ndarray, n
 
 def _encoded(named: pa.Array, a: Side, b: Side) -> tuple[dict, dict, np.ndarray]:
     """Token intervals of all segments on both sides, and which segments have tokens that make up their bytes."""
-    texts = pc.utf8_slice_codeunits(named, 1).to_pylist()
-    ids_a, ids_b = a.encode(texts), b.encode(texts)
+    texts = pc.utf8_slice_codeunits(named, 1)
+    (ids_a, count_a), (ids_b, count_b) = _ids(texts, a), _ids(texts, b)
     data, ends = text_bytes(named)
-    flat = list(chain.from_iterable(ids_b))
-    told = np.frombuffer(b"".join(map(b.parts.__getitem__, flat)), np.uint8)
-    fin = np.concatenate([[0], np.cumsum(b.sizes[flat])])[np.concatenate([[0], np.cumsum([len(x) for x in ids_b], dtype=np.int64)])]
-    good = np.diff(fin) == np.diff(ends)
+    fin = np.concatenate([[0], np.cumsum(b.sizes[ids_b])])
+    good = np.diff(fin[np.concatenate([[0], np.cumsum(count_b)])]) == np.diff(ends)
+    told = b.bytes_of(ids_b)
     if good.all():  # then a byte that differs tells its segment
         good[np.searchsorted(ends, np.flatnonzero(told != data), side="right") - 1] = False
     else:
-        wholes = named.to_pylist()
-        good = np.array([g and b"".join(map(b.parts.__getitem__, ids_b[k])) == wholes[k].encode() for k, g in enumerate(good)])
-    for k in np.flatnonzero(~good):
-        ids_a[k], ids_b[k] = [], []
-    return _intervals(ids_a, a), _intervals(ids_b, b), good
+        stops = fin[np.concatenate([[0], np.cumsum(count_b)])]
+        good &= np.array([np.array_equal(told[stops[k] : stops[k + 1]], data[ends[k] : ends[k + 1]]) for k in range(len(good))])
+    return _intervals(ids_a, count_a, good, a), _intervals(ids_b, count_b, good, b), good
+
+
+def _ids(texts: pa.Array, side: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts back to back, and their number for each."""
+    flat, counts = array("i"), array("q")
+    for at in range(0, len(texts), ENCODED):
+        for ids in side.encode(texts.slice(at, ENCODED).to_pylist()):
+            flat.extend(ids)
+            counts.append(len(ids))
+    return np.array(flat, np.int32), np.array(counts, np.int64)
 
 
-def _intervals(ids: list, side: Side) -> dict[str, np.ndarray]:
-    """pos, seg, id, lo and fin of all tokens, on one byte axis."""
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, counts.sum())
-    fin = np.cumsum(side.sizes[flat])
-    return {"pos": np.arange(len(flat), dtype=np.int32), "seg": np.repeat(np.arange(len(ids), dtype=np.int32), counts), "id": flat, "lo": fin - side.sizes[flat], "fin": fin}
+def _intervals(ids: np.ndarray, counts: np.ndarray, good: np.ndarray, side: Side) -> dict[str, np.ndarray]:
+    """pos, seg, id, lo and fin of the good segments' tokens, on one byte axis."""
+    seg = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    kept = good[seg]
+    ids, seg = ids[kept], seg[kept]
+    fin = np.cumsum(side.sizes[ids])
+    return {"pos": np.arange(len(ids), dtype=np.int32), "seg": seg, "id": ids, "lo": fin - side.sizes[ids], "fin": fin}
 
 
 def _told(a: dict, b: dict, grp_a: np.ndarray, grp_b: np.ndarray, n_segments: int, sides: tuple[Side, Side]) -> list[str]:
@@ -186,6 +204,8 @@ def _rows(con, texts: pa.Array, sides: tuple[Side, Side], separable: bool = True
     pairs = con.execute(PAIRS_OF_DOCS).fetchnumpy()
     met = con.execute("SELECT seg, sum(met)::BIGINT AS n FROM pairs GROUP BY seg").fetchnumpy()
     grp_a, grp_b = (con.execute(f"SELECT grp FROM {x}_groups ORDER BY pos").fetchnumpy()["grp"] for x in "ab")
+    for name in ("a_groups", "b_groups", "pairs"):
+        con.execute(f"DROP TABLE {name}")
     told = _told(a, b, grp_a, grp_b, len(named), sides)
 
     def per_doc(of_segment: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ def test_native_queries_run_no_python(spark):
     import contextlib
     import io
 
-    for name in ("op1_chat_format", "op7_decontamination", "op8_url_filter"):
+    for name in ("op1_chat_format", "op7_decontamination", "op8_url_filter", "op13_sharding"):
         with contextlib.redirect_stdout(io.StringIO()) as plan:
             q.QUERIES[name](spark, SF).explain("formatted")
         assert "Python" not in plan.getvalue() and "Arrow" not in plan.getvalue() and "Pandas" not in plan.getvalue()
