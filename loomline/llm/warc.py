@@ -4,19 +4,25 @@ An ARC file opens with a version block that says which fields its header lines h
 declared number of bytes, and a line feed. The converter parses both versions by the declared fields and lengths and
 synthesises what ARC lacks: record identifiers (named by digest and page), ISO timestamps, record types, and SHA-1
 digests in base 32. Records whose payload another record keeps become revisits that refer to it and carry only the HTTP
-header. Archives are written by Spark as gzip-compressed files of bounded size and read back with ``binaryFile``.
+header. Archives are written by Spark as files of bounded size, each record a gzip member of its own (so that other readers can
+seek), and read back with ``binaryFile``. Archives from elsewhere may have one member for all records, one a record, or
+none; their headers are read as far as they make sense and never end a job.
 
 Defined cases: a null html is an empty payload; a null url is ``-``, and white space in urls is percent-encoded; very
 long payloads get an archive of their own; of equal payloads the largest page_id keeps the response (a null page_id is
 smaller than any other; rows that tie on the largest page_id are all responses); an empty table gives no archives and no
 rows; a record that is cut off is read as far as it goes and flagged (WARC-Truncated); one whose header line is short, has
-no length or isn't finished, and a file without its opening, give a record with its WARC-Problem; columns other than page_id, url and html are not
-read.
+no length or isn't finished, and a file without its opening, give a record with its WARC-Problem. A gzip file that is
+cut off or damaged is read up to there, and a row without type has the ``problem``. Reading WARC, bytes that aren't UTF-8 are
+replaced; a missing field is null; an X-Page-Id that isn't a number of 64 bits is no page_id, and its row has the
+``problem``; so has a record without a length (it takes the rest), one that the file ends in, and bytes between records that are
+no record (a row without type). Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -34,6 +40,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Up to so many revisits are broadcast to mark the pages; beyond, the pages are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 END = b"\r\n\r\n"
+#: Bytes that are unpacked at a time, and the level of compression.
+CHUNK, LEVEL = 1 << 20, 6
 
 # Fixed values of the formats: the fields of ARC header lines by version, and the profile of revisits by digest.
 ARC_FIELDS = {
@@ -92,23 +100,24 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     an empty block; a block that it ends in is cut off.
     """
     line_end = data.find(b"\n")
-    opening = data[: max(line_end, 0)].split(b" ")
-    if not data.startswith(b"filedesc://") or not opening[-1].isdigit():
+    opening = data[: max(line_end, 0)].decode("utf-8", "replace").rstrip("\r").split(" ")
+    length = whole_number(opening[-1])
+    if not data.startswith(b"filedesc://") or length is None or length < 0:
         yield ArcRecord(0, "-", "-", "", "-", data, problem="no filedesc record opens the file")
         return
-    at = line_end + 1 + int(opening[-1])
-    lines = data[line_end + 1 : at].split(b"\n")
-    number, fields = lines[0].split(b" ")[0], lines[1].decode("utf-8", "replace").split(" ") if len(lines) > 1 else []
+    at = line_end + 1 + length
+    lines = data[line_end + 1 : at].decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    fields = lines[1].split(" ") if len(lines) > 1 else []
     if "Archive-length" not in fields:
         yield ArcRecord(0, "-", "-", "", "-", data[line_end + 1 :], problem="the version block has no list of fields")
         return
-    version = int(number) if number.isdigit() else 0
+    version = whole_number(lines[0].split(" ")[0]) or 0
     while at < len(data):
         line_end = data.find(b"\n", at)
-        if line_end == at:  # an empty line between records
-            at += 1
+        head = data[at : line_end if line_end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        if line_end >= 0 and not head:  # an empty line between records
+            at = line_end + 1
             continue
-        head = data[at : line_end if line_end >= 0 else len(data)].decode("utf-8", "replace")
         line = head.split(" ")
         if len(line) > len(fields):  # blanks in the URL, which comes first
             line = [" ".join(line[: len(line) - len(fields) + 1]), *line[len(line) - len(fields) + 1 :]]
@@ -117,10 +126,10 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if line_end < 0:
             yield ArcRecord(*common, b"", True, "the file ends in a header line")
             return
-        if not told.get("Archive-length", "").isdecimal():
+        length = whole_number(told.get("Archive-length"))
+        if length is None or length < 0:
             yield ArcRecord(*common, data[line_end + 1 :], problem=f"no length in the header line {head[:200]!r}")
             return
-        length = int(told["Archive-length"])
         block = data[line_end + 1 : line_end + 1 + length]
         yield ArcRecord(*common, block, len(block) < length)
         at = line_end + 1 + length + 1
@@ -140,10 +149,17 @@ def iso_date(date: str) -> str:
 def http_field(header: bytes, name: bytes) -> str | None:
     for line in header.split(b"\r\n"):
         if line.lower().startswith(name.lower() + b":"):
-            return line.split(b":", 1)[1].strip().decode()
+            return line.split(b":", 1)[1].strip().decode("utf-8", "replace")
     return None
 
 
+def whole_number(text: str | None) -> int | None:
+    """A decimal number of 64 bits, else None."""
+    if text is None or not text.isascii() or not text.removeprefix("-").isdecimal() or len(text) > 20 or not -(1 << 63) <= int(text) < 1 << 63:
+        return None
+    return int(text)
+
+
 def warc_record(arc: ArcRecord, refers_to: str | None) -> bytes:
     """The equivalent WARC record without its last four bytes; with ``refers_to`` (a page) it is a revisit."""
     header, payload = arc.parts
@@ -169,33 +185,70 @@ def warc_record(arc: ArcRecord, refers_to: str | None) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
 
 
+def _named(head: bytes) -> dict[str, str]:
+    """Fields of a header's lines after the first, by lower-case name; a line that begins with a blank continues the one before."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        elif colon:
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Named fields (lower case) and block of every record."""
+    """Named fields (lower case) and block of every record, with ``problem`` where something is amiss; never raises."""
     at = 0
-    while data.startswith(b"WARC/", at):
-        stop = data.index(END, at)
-        fields = {k.lower(): v.strip() for k, v in (line.split(":", 1) for line in data[at:stop].decode().split("\r\n")[1:])}
-        length = int(fields["content-length"])
-        yield fields, data[stop + 4 : stop + 4 + length]
-        at = stop + 4 + length + 4
+    while at < len(data):
+        if data[at : at + 1] in b"\r\n":
+            at += 1
+            continue
+        if not data.startswith(b"WARC/", at):
+            stop = data.find(b"\nWARC/", at)
+            stop = len(data) if stop < 0 else stop + 1
+            yield {"problem": "no record begins here"}, data[at:stop]
+            at = stop
+            continue
+        stop = data.find(END, at)
+        if stop < 0:
+            yield _named(data[at:]) | {"problem": "the file ends in a header"}, b""
+            return
+        fields = _named(data[at:stop])
+        length = whole_number(fields.get("content-length"))
+        if length is None or length < 0:
+            yield fields | {"problem": "no length in the header"}, data[stop + 4 :]
+            return
+        block = data[stop + 4 : stop + 4 + length]
+        yield (fields if len(block) == length else fields | {"problem": "the file ends in a record"}), block
+        at = stop + 4 + length
 
 
 def _archives(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    """Records to archives of about ARCHIVE_BYTES, one row each, without the last four bytes (the writer's line end)."""
+    """Records to archives of about ARCHIVE_BYTES, one row each; every record is a gzip member, and the last byte of a row is zero."""
+
+    def row(members: list[bytes]) -> pa.RecordBatch:
+        if members[-1][-1]:  # a member ends in its length, whose highest byte is zero but for records of 16 MB
+            members.append(gzip.compress(b"", mtime=0))
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["content"])
+
     held, size = [], 0
     for record in records:
         if held and size + len(record) > ARCHIVE_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["content"])
+            yield row(held)
             held, size = [], 0
-        held.append(record)
+        held.append(gzip.compress(record + END, LEVEL, mtime=0))
         size += len(record) + 4
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["content"])
+        yield row(held)
 
 
 def write_archives(archives: DataFrame, path: str) -> None:
-    """Each row becomes one gzip-compressed file under ``path``."""
-    archives.select(F.col("content").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
+    """Each row becomes one file under ``path``. The row's last byte, a zero, is written as the line's end."""
+    content = F.expr("substring(content, 1, octet_length(content) - 1)").cast("string").alias("value")
+    archives.select(content).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def _page_arc(batch: pa.RecordBatch, number: int) -> bytes:
@@ -249,38 +302,84 @@ def convert_arc(spark: SparkSession, source: str, path: str) -> None:
     """ARC files (plain or gzip) under ``source`` to WARC archives under ``path``, all as responses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _archives(warc_record(arc, None) for batch in batches for content in batch.column(0) for arc in parse_arc(_plain(content.as_py())))
+        return _archives(record for batch in batches for content in batch.column(0) for record in _converted(content.as_py()))
 
     write_archives(spark.read.format("binaryFile").load(source).select("content").mapInArrow(run, "content binary"), path)
 
 
-def _plain(content: bytes) -> bytes:
-    return zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
+def unpack(content: bytes) -> tuple[bytes, str | None]:
+    """A file's bytes, all gzip members unpacked one after the other, and what ended that early; zeros behind the last member are padding."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    out, rest = [], memoryview(content)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(rest), CHUNK):
+                out.append(member.decompress(rest[at : at + CHUNK]))
+                if member.eof:
+                    break
+        except zlib.error:
+            return b"".join(out), "the gzip file is damaged"
+        if not member.eof:
+            return b"".join(out), "the gzip file is cut off"
+        rest = rest[min(at + CHUNK, len(rest)) - len(member.unused_data) :]
+        if len(rest) and bytes(rest[:2]) != b"\x1f\x8b":
+            return b"".join(out), None if not bytes(rest).strip(b"\0") else "bytes behind the last gzip member"
+    return b"".join(out), None
+
+
+def _converted(content: bytes) -> Iterator[bytes]:
+    """The WARC records of an ARC file; what ended its unpacking is told by its last one."""
+    data, amiss = unpack(content)
+    before = None
+    for arc in parse_arc(data):
+        if before:
+            yield warc_record(before, None)
+        before = arc
+    if before or amiss:
+        before = before or ArcRecord(0, "-", "-", "", "-", b"")
+        before.problem = "; ".join(x for x in (before.problem, amiss) if x) or None
+        yield warc_record(before, None)
+
+
+READ = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to_id string, payload_digest string, payload_bytes long, problem string, payload binary"
+
+
+def _read(content: bytes, with_payload: bool) -> Iterator[tuple]:
+    """Rows of READ of one archive."""
+    data, amiss = unpack(content)
+    rows = []
+    for fields, block in parse_warc(data):
+        at = block.find(END)
+        header, payload = (block[: at + 4], block[at + 4 :]) if block.startswith(b"HTTP/") and at >= 0 else (b"", block)
+        told, kind = http_field(header, b"X-Page-Id"), fields.get("warc-type")
+        page, again = whole_number(told), kind == "revisit"
+        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None if again else digest32(payload)
+        problem = fields.get("problem") or fields.get("warc-problem") or ("X-Page-Id is no number" if told is not None and page is None else None)
+        named = (fields.get(k) for k in ("warc-record-id", "warc-type", "warc-target-uri", "warc-date"))
+        rows.append((*named, page, fields.get("warc-refers-to"), digest, None if again else len(payload), problem, payload if with_payload else None))
+    if amiss:
+        rows.append((None,) * 8 + (amiss, None))
+    return iter(rows)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """record_id, record_type, target_uri, date, page_id, refers_to_id, payload_digest and payload_bytes of every record.
+    """record_id, record_type, target_uri, date, page_id, refers_to_id, payload_digest, payload_bytes and problem of every record.
 
     Digest and length of a response are those of the payload that was read; a revisit has its digest from the record
     and no length. ``with_payload`` adds the payload itself.
     """
+    names = [c.split()[0] for c in READ.split(", ")]
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for fields, block in parse_warc(_plain(content.as_py())):
-                    at = block.find(END)
-                    header, payload = (block[: at + 4], block[at + 4 :]) if block.startswith(b"HTTP/") and at >= 0 else (b"", block)
-                    page, again = http_field(header, b"X-Page-Id"), fields["warc-type"] == "revisit"
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:") if again else digest32(payload)
-                    rows.append((fields["warc-record-id"], fields["warc-type"], fields["warc-target-uri"], fields["warc-date"], None if page is None else int(page), fields.get("warc-refers-to"), digest, None if again else len(payload), payload if with_payload else None))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-                kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record_id", "record_type", "target_uri", "date", "page_id", "refers_to_id", "payload_digest", "payload_bytes", "payload"])
-
-    schema = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to_id string, payload_digest string, payload_bytes long, payload binary"
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+                columns = list(zip(*_read(content.as_py(), with_payload), strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
     return rows if with_payload else rows.drop("payload")
 
 

@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import zlib
 
 import pytest
 
@@ -55,8 +57,6 @@ def test_ties_nulls_small_payloads_and_empty_table(spark):
 
 
 def test_arc_files_are_converted(spark, tmp_path):
-    import gzip
-
     data = w.arc_open(2, "a.arc", "2001") + w.arc_record(2, "http://a/", "20010203040506", b"HTTP/1.0 200 OK\r\n\r\nhello", 0, "a.arc")
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.arc.gz").write_bytes(gzip.compress(data))
@@ -88,3 +88,95 @@ def test_malformed_headers_are_flagged(spark, tmp_path):
     w.convert_arc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     got = w.read_warc(spark, str(tmp_path / "out")).collect()
     assert sorted(r["target_uri"] for r in got) == ["http://a/"] * 4 + ["http://b/"] * 4
+
+
+def five(tmp_path, compress):
+    """An ARC file of five records, packed by ``compress`` from its parts."""
+    parts = [w.arc_open(1, "a.arc", "2001")] + [w.arc_record(1, f"http://a/{k}", "20010203040506", f"HTTP/1.0 200 OK\r\n\r\nbody {k}".encode(), 0, "a.arc") for k in range(5)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.arc.gz").write_bytes(compress(parts))
+
+
+def converted(spark, tmp_path):
+    w.convert_arc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    return w.read_warc(spark, str(tmp_path / "out"), with_payload=True).collect()
+
+
+@pytest.mark.parametrize("padding", [b"", b"\0" * 700])
+def test_one_gzip_member_a_record(spark, tmp_path, padding):
+    five(tmp_path, lambda parts: b"".join(map(gzip.compress, parts)) + padding)
+    got = converted(spark, tmp_path)
+    assert sorted(bytes(r["payload"]) for r in got) == [f"body {k}".encode() for k in range(5)] and {r["problem"] for r in got} == {None}
+
+
+@pytest.mark.parametrize("cut, told", [(-9, "the gzip file is cut off"), (-40, "the gzip file is cut off")])
+def test_truncated_member_keeps_what_is_before(spark, tmp_path, cut, told):
+    five(tmp_path, lambda parts: b"".join(map(gzip.compress, parts))[:cut])
+    got = {r["target_uri"]: r for r in converted(spark, tmp_path)}
+    assert [bytes(got[f"http://a/{k}"]["payload"]) for k in range(4)] == [f"body {k}".encode() for k in range(4)]
+    assert any(told in (r["problem"] or "") for r in got.values())
+
+
+def test_damaged_and_foreign_bytes_behind_members(spark, tmp_path):
+    five(tmp_path, lambda parts: b"".join(map(gzip.compress, parts)) + b"garbage")
+    assert [r["problem"] for r in converted(spark, tmp_path) if r["problem"]] == ["bytes behind the last gzip member"]
+    broken = bytearray(gzip.compress(b"x" * 100 + bytes(range(256)) * 20))
+    broken[60:90] = b"\xff" * 30
+    assert w.unpack(bytes(broken))[1] in ("the gzip file is damaged", "the gzip file is cut off")
+    assert w.unpack(b"") == (b"", None) and w.unpack(b"plain") == (b"plain", None)
+    assert w.unpack(gzip.compress(b"a" * (3 << 20)) + gzip.compress(b"") + gzip.compress(b"b")) == (b"a" * (3 << 20) + b"b", None)
+
+
+def test_written_archives_have_a_member_a_record(spark, tmp_path):
+    big = "".join(hashlib.sha1(str(k).encode()).hexdigest() for k in range(450_000))  # 18 MB: its member doesn't end in a zero
+    rows = [(k, f"http://a/{k}", "é" * k) for k in range(6)] + [(7, "u", big)]
+    w.pages_to_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "out"))
+    (path,) = (tmp_path / "out").glob("part*")
+    rest, members = path.read_bytes(), []
+    while rest:
+        one = zlib.decompressobj(31)
+        members.append(one.decompress(rest))
+        assert one.eof
+        rest = one.unused_data
+    records = [m for m in members if m]
+    assert len(records) == 7 and all(m.startswith(b"WARC/1.0\r\n") and m.endswith(w.END) and len(list(w.parse_warc(m))) == 1 for m in records)
+    assert w.read_warc(spark, str(tmp_path / "out")).filter("page_id = 7").collect()[0]["payload_bytes"] == len(big)
+
+
+def foreign(spark, tmp_path, data):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(data)
+    return w.read_warc(spark, str(tmp_path / "w"), with_payload=True).collect()
+
+
+def record(block, *lines):
+    return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode("latin-1") + w.END + block + w.END
+
+
+def test_foreign_headers_never_end_a_job(spark, tmp_path):
+    http = b"HTTP/1.1 200 \xff\xfe\r\nX-Page-Id: not-a-number\r\nX-Other\r\n\r\nhi"
+    data = record(b"software: x\r\n", "WARC-Type: warcinfo", "WARC-Filename: \xe9", "broken line", "Folded: a", " b")
+    data += record(http, "WARC-Type: response", "WARC-Target-URI: http://x/")
+    data += record(http.replace(b"not-a-number", b"9" * 30), "WARC-Type: response") + record(http.replace(b"not-a-number", b"-12"), "WARC-Type: response")
+    data += record(b"", "WARC-Type: revisit") + b"??? no record\r\n" + record(b"last", "WARC-Type: resource")
+    got = foreign(spark, tmp_path, data)
+    assert [r["record_type"] for r in got] == ["warcinfo", "response", "response", "response", "revisit", None, "resource"]
+    assert [r["page_id"] for r in got] == [None, None, None, -12, None, None, None]
+    assert [r["problem"] for r in got] == [None, "X-Page-Id is no number", "X-Page-Id is no number", None, None, "no record begins here", None]
+    assert bytes(got[1]["payload"]) == b"hi" and bytes(got[6]["payload"]) == b"last" and got[4]["payload_digest"] is None
+
+
+@pytest.mark.parametrize("tail, told", [(b"WARC/1.0\r\nWARC-Type: res", "the file ends in a header"), (record(b"whole", "WARC-Type: resource")[:-7], "the file ends in a record"), (b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: many\r\n\r\nrest", "no length in the header")])
+def test_a_record_that_is_cut_off(spark, tmp_path, tail, told):
+    got = foreign(spark, tmp_path, record(b"first", "WARC-Type: resource") + tail)
+    assert bytes(got[0]["payload"]) == b"first" and [r["problem"] for r in got] == [None, told]
+
+
+def test_foreign_arc_lines(spark, tmp_path):
+    for data in (w.arc_open(1, "a", "1").replace(b"\n", b"\r\n", 1), b"filedesc://a 0.0.0.0 1999 text/plain " + b"9" * 5000 + b"\nx"):
+        assert len(list(w.parse_arc(data))) <= 1
+    data = w.arc_open(1, "a.arc", "1999") + b"http://x/\xff 0.0.0.0 19990101 text/html 2\r\nhi\n\r\nhttp://y/ 0.0.0.0 19990101 text/html 2\nho\n"
+    assert [(r.block, r.problem) for r in w.parse_arc(data)] == [(b"hi", None), (b"ho", None)]
+    arc = next(w.parse_arc(data))
+    arc.block = b"HTTP/1.0 200 OK\r\nX-Page-Id: x\xff\r\n\r\nbody"
+    assert next(w.parse_warc(w.warc_record(arc, None) + w.END))[0]["warc-type"] == "response"
