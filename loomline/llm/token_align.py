@@ -42,7 +42,7 @@ PAIRS = 2_000_000
 #: Salts of the shuffle join beyond that.
 SALTS = 32
 #: Text that goes through DuckDB at a time.
-STEP_BYTES, STEP_ROWS = 8 << 20, 8192
+STEP_BYTES, STEP_ROWS = 3 << 20, 8192
 #: Segments that are encoded at a time.
 ENCODED = 20_000
 #: Bytes beside which a single space is a cut, with the two-byte characters from U+00C0 to U+027F.
@@ -252,6 +252,7 @@ def align(docs: DataFrame, with_groups: bool = False, location: str | None = Non
                 columns += [pa.array(digests, pa.string()), pa.array(out["groups"] if with_groups else [None] * n, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "groups_sha256", "groups", "pairs"])
                 row += n
+                pa.default_memory_pool().release_unused()
         con.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ALIGNED)
