@@ -82,7 +82,7 @@ def markdown(comments: DataFrame) -> DataFrame:
     """
     key = F.struct("file", "id")
     nodes = comments.select(key.alias("id"), F.when(F.coalesce("parent", F.lit("")) != "", F.struct("file", F.col("parent").alias("id"))).alias("parent"), F.struct("created", "place").alias("sort"))
-    placed = trees.preorder(nodes).select("id.file", "id.id", "root", F.coalesce("depth", F.lit(0)).alias("depth"), "path")
+    placed = trees.preorder(nodes).select("id.file", "id.id", "root", F.coalesce("depth", F.lit(0)).alias("depth"), F.when(F.col("root").isNotNull(), F.struct("root_sort", "root", "pos")).alias("path"))
     time = F.when(F.col("created") == "", "unknown time").otherwise(iso_minute(F.col("created")))
     head = F.array(F.concat(F.lit("**"), F.col("author"), F.lit("** · "), time), F.lit(""))
     rows = comments.join(placed, ["file", "id"]).withColumn("lines", quoted_lines(F.concat(head, body_lines(F.col("blocks")), F.array(F.lit(""))), F.col("depth")))

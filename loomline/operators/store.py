@@ -51,52 +51,189 @@ def dimensions_present(dimensions: DataFrame, connections: DataFrame, include_un
     return connections.select("owner", "cell", "dim").distinct().join(dimensions.select("owner", "dim").distinct(), ["owner", "dim"], "left_semi").select("owner", "cell", "dim")
 
 
-def link(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Requests (owner, seq, dim, a, b) with ``status``: ok, or the first check that failed.
+def link(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links: DataFrame) -> DataFrame:
+    """Requests (owner, seq, dim, a, b) with ``status``; see ``apply_links``, which also gives the links."""
+    return apply_links(requests, cells, dimensions, links)[0]
 
-    The checks: self_link_forbidden, unknown_cell, unknown_dimension, restriction_r_violation (a has another posward
-    neighbour, or b another negward one, from before or from an earlier request). Linking what is linked is ok.
 
-    Within the batch, a round accepts what no earlier pending request competes with and rejects what competes with it,
-    so the rounds follow the longest chain of competing requests, not their number. Every round is written; raises when
-    they don't suffice.
+def apply_links(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (owner, seq, dim, a, b) with ``status``, and the links after them, as if one request came after the other.
+
+    Requests may have booleans ``splice`` and ``allow_self_ring`` (null or no such column: false). The checks, the first
+    that fails is the status: self_link_forbidden (a is b without ``allow_self_ring``), unknown_cell, unknown_dimension;
+    linking what is linked just then is ok and changes nothing. Then a's posward and b's negward side must be free, else
+    restriction_r_violation. With ``splice`` b may be put between a and what follows a, but only while both sides of b are
+    free, else already_linked: no request moves a cell that is linked, so Restriction R holds after each.
+
+    ``seq`` (a whole number) tells an owner's requests apart; null seqs, owners or cells are unknown_cell. Repeated requests,
+    cells, dimensions and links count once. An empty batch leaves the links as they are.
     """
+    extra = [c for c in ("splice", "allow_self_ring") if c in requests.columns]
+    rows = requests.select("owner", "seq", "dim", "a", "b", *[F.coalesce(c, F.lit(False)).alias(c) if c in extra else F.lit(False).alias(c) for c in ("splice", "allow_self_ring")]).distinct()
+    links = links.select(*LINK).distinct()
     known = cells.select("owner", "cell").distinct()
-    rows = requests.select("owner", "seq", "dim", "a", "b")
     for side in "ab":
         rows = rows.join(known.select("owner", F.col("cell").alias(side), F.lit(True).alias(f"_{side}")), ["owner", side], "left")
     rows = rows.join(dimensions.select("owner", "dim", F.lit(True).alias("_dim")).distinct(), ["owner", "dim"], "left")
     rows = rows.join(links.select("owner", "dim", F.col("src").alias("a"), F.col("dst").alias("_next")), ["owner", "dim", "a"], "left")
     rows = rows.join(links.select("owner", "dim", F.col("dst").alias("b"), F.col("src").alias("_prev")), ["owner", "dim", "b"], "left")
-    first = (
-        F.when(F.col("a") == F.col("b"), "self_link_forbidden")
-        .when(F.col("_a").isNull() | F.col("_b").isNull(), "unknown_cell")
+    rows = rows.join(links.select("owner", "dim", F.col("src").alias("b"), F.lit(True).alias("_after")), ["owner", "dim", "b"], "left")
+    early = (
+        F.when((F.col("a") == F.col("b")) & ~F.col("allow_self_ring"), "self_link_forbidden")
+        .when(F.col("_a").isNull() | F.col("_b").isNull() | F.col("seq").isNull(), "unknown_cell")
         .when(F.col("_dim").isNull(), "unknown_dimension")
-        .when((F.col("_next") != F.col("b")) | (F.col("_prev") != F.col("a")), "restriction_r_violation")
     )
-    checked = materialise(rows.select("owner", "seq", "dim", "a", "b", first.alias("status")), "checked")
-    pair = ["owner", "dim", "a", "b"]
-    pending = materialise(checked.filter("status IS NULL").groupBy(*pair).agg(F.min("seq").alias("seq")), "pending")
-    decided = []
-    sides = [Window.partitionBy("owner", "dim", side) for side in "ab"]
-    for _ in range(max_rounds):
-        if not pending.head(1):
+    taken = {"a_taken": F.col("_next").isNotNull(), "b_taken": F.coalesce("_after", F.lit(False)), "m_taken": F.col("_prev").isNotNull()}
+    checked = materialise(rows.select("owner", "dim", "seq", "a", "b", "splice", early.alias("early"), "_next", *[c.alias(n) for n, c in taken.items()]), "checked")
+    done = materialise(_decide(checked.filter("early IS NULL")), "decided")
+
+    told = checked.join(done.filter("won").select("owner", "dim", "seq", F.lit(True).alias("won")), ["owner", "dim", "seq"], "left")
+    after = _spliced(links, done.filter("won"))
+    lost = materialise(told.filter("early IS NULL AND won IS NULL"), "lost")
+    same = _linked_then(lost, done.filter("won"), after).withColumn("_same", F.lit(True))
+    told = told.join(same, ["owner", "dim", "seq"], "left")
+    refused = F.when(F.col("splice"), "already_linked").otherwise("restriction_r_violation")
+    told = told.select("owner", "seq", "dim", "a", "b", F.coalesce("early", F.when(F.col("won") | F.col("_same"), "ok").otherwise(refused)).alias("status"))
+    return told, after.filter("dst IS NOT NULL").select(*LINK)
+
+
+#: Requests of one component that one task decides in their order; larger components go through more rounds.
+COMPONENT = 200_000
+
+
+def _decide(rows: DataFrame) -> DataFrame:
+    """(owner, dim, seq, a, b, won, spliced): which requests take their slots, and by putting b before what followed a.
+
+    A request takes b's negward slot and a's posward one; spliced in before another cell, also b's posward slot. Slots are
+    never given back, so a request is decided as soon as no earlier undecided request may take a slot that matters to it.
+    Two rounds decide nearly all. What is left hangs together by slots; components of such requests are small and decided
+    one by one, each in one task; those that are larger go through more rounds, until they fall apart.
+    """
+    free = "NOT m_taken AND (NOT a_taken OR (splice AND NOT b_taken))"
+    pending = materialise(rows.filter(free).select("owner", "dim", "seq", "a", "b", "splice", "a_taken", "b_taken", F.lit(False).alias("won")), "pending")
+    none = pending.limit(0)
+    held = materialise(none.select("owner", "dim", F.lit("p").alias("side"), F.col("a").alias("x"), F.col("seq").alias("since")), "held")
+    done, rounds = [], 0
+    while pending.head(1):
+        rounds += 1
+        told = materialise(_round(pending, held), "round")
+        out = told.filter("lost OR (now AND spliced IS NOT NULL)")
+        done.append(out.select("owner", "dim", "seq", "a", "b", F.col("now").alias("won"), "spliced"))
+        here = [told.filter("now AND NOT won").select("owner", "dim", F.lit(s).alias("side"), F.col(c).alias("x"), F.col("seq").alias("since")) for s, c in (("p", "a"), ("m", "b"))]
+        here.append(told.filter("now AND spliced").select("owner", "dim", F.lit("p"), "b", "seq"))
+        held = materialise(held.union(here[0]).union(here[1]).union(here[2]).groupBy("owner", "dim", "side", "x").agg(F.min("since").alias("since")), "held")
+        pending = materialise(told.filter("NOT lost AND NOT (now AND spliced IS NOT NULL)").select("owner", "dim", "seq", "a", "b", "splice", "a_taken", "b_taken", F.col("now").alias("won")), "pending")
+        if rounds >= 2 and pending.head(1):
+            one_by_one, pending = _by_component(pending, held)
+            done.append(one_by_one)
+    out = none.select("owner", "dim", "seq", "a", "b", F.lit(False).alias("won"), F.lit(False).alias("spliced"))
+    for part in done:
+        out = out.union(part)
+    return out
+
+
+def _slots(pending: DataFrame) -> DataFrame:
+    """(owner, dim, side, x, seq): the slots that pending requests may take."""
+    each = F.array(
+        F.when(~F.col("won"), F.struct(F.lit("p").alias("side"), F.col("a").alias("x"))),
+        F.when(~F.col("won"), F.struct(F.lit("m").alias("side"), F.col("b").alias("x"))),
+        F.when(F.col("splice"), F.struct(F.lit("p").alias("side"), F.col("b").alias("x"))),
+    )
+    return pending.select("owner", "dim", "seq", F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s")).select("owner", "dim", "s.side", "s.x", "seq")
+
+
+def _round(pending: DataFrame, held: DataFrame) -> DataFrame:
+    """``pending`` with ``lost``, ``now`` (takes its slots) and ``spliced`` (null: not known yet)."""
+    slots = _slots(pending).select("owner", "dim", "side", "x", "seq", F.lit(None).cast("long").alias("since"))
+    slots = slots.union(held.select("owner", "dim", "side", "x", F.lit(None), "since")).groupBy("owner", "dim", "side", "x").agg(F.min("seq").alias("first"), F.min("since").alias("since"))
+    rows = pending
+    for name, side, cell in (("pa", "p", "a"), ("pb", "p", "b"), ("mb", "m", "b")):
+        found = slots.filter(F.col("side") == side).select("owner", "dim", F.col("x").alias(cell), F.col("first").alias(f"{name}_first"), F.col("since").alias(f"{name}_since"))
+        rows = rows.join(found, ["owner", "dim", cell], "left")
+
+    def earlier(column: str) -> Column:
+        return F.coalesce(F.col(column) < F.col("seq"), F.lit(False))
+
+    full = {"a": F.col("a_taken") | earlier("pa_since"), "b": F.col("b_taken") | earlier("pb_since")}
+    free = {"a": ~full["a"] & ~earlier("pa_first"), "b": ~full["b"] & ~earlier("pb_first")}
+    lost = ~F.col("won") & (F.col("mb_since").isNotNull() | (full["a"] & (~F.col("splice") | full["b"])))
+    turn = F.col("mb_since").isNull() & ~earlier("mb_first")
+    now = F.col("won") | (~lost & turn & (free["a"] | (F.col("splice") & free["b"])))
+    spliced = F.when(full["a"], True).when(free["a"], False)
+    return rows.select(*pending.columns, lost.alias("lost"), now.alias("now"), spliced.alias("spliced"), full["a"].alias("a_full"), full["b"].alias("b_full"))
+
+
+def _by_component(pending: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions of the requests whose component is small enough, and the others."""
+    request = F.struct("owner", "dim", "seq")
+    slots = materialise(_slots(pending.withColumn("won", F.lit(False))).select(request.alias("r"), F.struct("owner", "dim", "side", "x").alias("slot")).distinct(), "slots")
+    label = materialise(slots.groupBy("r").agg(F.min("r.seq").alias("c")), "labels")
+    while True:  # the least seq that is reached through common slots, two steps and then the label's own label
+        by_slot = slots.join(label, "r").groupBy("slot").agg(F.min("c").alias("c"))
+        near = slots.join(by_slot, "slot").groupBy("r").agg(F.min("c").alias("c"))
+        owner = F.struct("r.owner", "r.dim", F.col("c").alias("seq"))
+        far = near.select(F.col("r").alias("q"), F.col("c").alias("c2"))
+        step = near.withColumn("q", owner).join(far, "q", "left").select("r", F.least("c", F.coalesce("c2", "c")).alias("c"))
+        before, label = label, materialise(step, "labels")
+        if not label.join(before.select("r", F.col("c").alias("was")), "r").filter("c <> was").head(1):
             break
-        now = pending.withColumn("_ok", (F.col("seq") == F.min("seq").over(sides[0])) & (F.col("seq") == F.min("seq").over(sides[1])))
-        taken = F.bool_or("_ok").over(sides[0]) | F.bool_or("_ok").over(sides[1])
-        before, now = pending, materialise(now.withColumn("_taken", taken), "round")
-        decided.append(now.filter("_taken").select(*pair, F.when(F.col("_ok"), "ok").otherwise("restriction_r_violation").alias("_status")))
-        pending = materialise(now.filter("NOT _taken").select(*pair, "seq"), "pending")
         discard(before)
-    else:
-        raise RuntimeError(f"the requests compete over more than {max_rounds} rounds")
-    told = checked.withColumn("_status", F.lit(None).cast("string"))
-    if decided:
-        found = decided[0]
-        for part in decided[1:]:
-            found = found.union(part)
-        told = checked.join(found, pair, "left")
-    return told.select("owner", "seq", "dim", "a", "b", F.coalesce("status", "_status").alias("status"))
+    full = _round(pending, held).select("owner", "dim", "seq", "a_full", "b_full", F.col("lost"))
+    rows = pending.join(full, ["owner", "dim", "seq"]).join(label.select("r.owner", "r.dim", "r.seq", "c"), ["owner", "dim", "seq"])
+    sizes = rows.groupBy("owner", "dim", "c").agg(F.count("*").alias("n"))
+    rows = materialise(rows.join(sizes, ["owner", "dim", "c"]), "components")
+    fits = rows.filter(F.col("n") <= COMPONENT)
+
+    def run(part):
+        part, taken, out = part.sort_values("seq"), set(), []
+        for r in part.itertuples():
+            a, b = r.a_full or ("p", r.a) in taken, r.b_full or ("p", r.b) in taken
+            won = r.won or (not r.lost and ("m", r.b) not in taken and (not a or (r.splice and not b)))
+            if won:
+                taken |= {("p", r.a), ("m", r.b)} | ({("p", r.b)} if a else set())
+            out.append((won, won and a))
+        part["won"], part["spliced"] = [w for w, _ in out], [s for _, s in out]
+        return part[["owner", "dim", "seq", "a", "b", "won", "spliced"]]
+
+    kinds = ", ".join(f"{c} {t}" for c, t in pending.select("owner", "dim", "seq", "a", "b").dtypes)
+    told = materialise(fits.groupBy("owner", "dim", "c").applyInPandas(run, f"{kinds}, won boolean, spliced boolean"), "decided")
+    return told, materialise(rows.filter(F.col("n") > COMPONENT).select(*pending.columns), "pending")
+
+
+def _spliced(links: DataFrame, won: DataFrame) -> DataFrame:
+    """All links after the won requests: (owner, dim, src, dst), and for what was spliced in also when (``seq``) and what followed it then (``then``).
+
+    What is spliced in later comes first, also after cells that the batch itself put there: the chain behind a cell is the
+    tree of its inserts in preorder, newest child first, and then what followed it before.
+    """
+    base = links.select("owner", "dim", "src", "dst", F.lit(None).cast("long").alias("seq")).union(won.filter("NOT spliced").select("owner", "dim", "a", "b", "seq"))
+    inserts = won.filter("spliced")
+    new = inserts.select(F.struct("owner", "dim", F.col("b").alias("cell")).alias("id"), F.struct("owner", "dim", F.col("a").alias("cell")).alias("parent"), (-F.col("seq")).alias("sort"))
+    anchors = new.select(F.col("parent").alias("id")).distinct().join(new.select("id"), "id", "left_anti")
+    nodes = anchors.select("id", F.lit(None).cast(new.schema["parent"].dataType).alias("parent"), F.lit(0).cast(new.schema["sort"].dataType).alias("sort")).union(new)
+    placed = materialise(trees.preorder(nodes).filter("root IS NOT NULL"), "placed")
+    along = placed.select("root", "pos", F.col("id.cell").alias("dst"))
+    follows = placed.select("id", "root", "size", (F.col("pos") + 1).alias("pos"), F.col("pos").alias("at"))
+    behind = placed.select("id", "root", F.col("pos").alias("at"), (F.col("pos") + F.col("size")).alias("pos"))
+    now, then = (t.join(along, ["root", "pos"], "left").select("id", "root", "at", F.col("dst").alias(n)) for t, n in ((follows, "next"), (behind, "past")))
+    spliced = now.join(then.select("id", "past"), "id").select("root.owner", "root.dim", F.col("root.cell").alias("src"), "id", "at", "next", "past")
+    spliced = spliced.join(base.select("owner", "dim", "src", "dst"), ["owner", "dim", "src"], "left")
+    times = inserts.select(F.struct("owner", "dim", F.col("b").alias("cell")).alias("id"), "seq")
+    spliced = spliced.join(times, "id", "left").select("owner", "dim", F.col("id.cell").alias("src"), F.coalesce("next", "dst").alias("dst"), "seq", F.when(F.col("at") > 0, F.coalesce("past", "dst")).alias("then"))
+    changed = spliced.select("owner", "dim", "src")
+    kept = base.join(changed, ["owner", "dim", "src"], "left_anti")
+    return materialise(kept.select(*LINK, "seq", F.lit(None).cast(dict(links.dtypes)["dst"]).alias("then")).union(spliced.select(*LINK, "seq", "then")), "links")
+
+
+def _linked_then(lost: DataFrame, won: DataFrame, after: DataFrame) -> DataFrame:
+    """(owner, dim, seq) of the lost requests that ask for what was linked at their time: the last thing put behind a before it."""
+    puts = won.select("owner", "dim", "a", F.col("seq").alias("at"), F.col("b").alias("dst"))
+    puts = puts.union(after.filter("then IS NOT NULL").select("owner", "dim", "src", "seq", "then"))
+    first = lost.filter("_next IS NOT NULL").select("owner", "dim", "a", F.lit(None).cast("long").alias("at"), F.col("_next").alias("dst"))
+    seen = lost.select("owner", "dim", "a", F.col("seq").alias("at"), F.lit(None).cast(dict(won.dtypes)["b"]).alias("dst"), "b")
+    both = seen.unionByName(puts.union(first.distinct()).withColumn("b", F.lit(None)), allowMissingColumns=True)
+    order = Window.partitionBy("owner", "dim", "a").orderBy(F.asc_nulls_first("at"), F.col("b").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_now", F.last("dst", ignorenulls=True).over(order)).filter("b IS NOT NULL AND _now = b").select("owner", "dim", F.col("at").alias("seq"))
 
 
 def unlink(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,37 +246,31 @@ def unlink(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return told, links.join(gone, LINK, "left_anti").select(*LINK)
 
 
-def splice(links: DataFrame, inserts: DataFrame) -> DataFrame:
-    """The links after unlinked cells ``b`` were put right after ``a``, one request (owner, dim, seq, a, b) after the other.
+def splice(links: DataFrame, inserts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inserts (owner, dim, seq, a, b) with ``status``, and the links after ``b`` was put right behind ``a``, one after the other.
 
-    What is inserted later comes first, also after cells that the batch itself inserted: the chain behind a cell is the
-    tree of its inserts in preorder, newest child first, and then what followed it before.
+    The statuses are those of ``apply_links``; all cells and dimensions named in ``inserts`` are taken to exist.
     """
-    inserts = inserts.select("owner", "dim", "seq", "a", "b")
-    here = F.struct("owner", "dim", F.col("b").alias("cell"))
-    behind = F.struct("owner", "dim", F.col("a").alias("cell"))
-    new = inserts.select(here.alias("id"), behind.alias("parent"), (-F.col("seq")).alias("sort"))
-    anchors = new.select(F.col("parent").alias("id")).distinct().join(new.select("id"), "id", "left_anti")
-    nodes = anchors.select("id", F.lit(None).cast(new.schema["parent"].dataType).alias("parent"), F.lit(0).cast(new.schema["sort"].dataType).alias("sort")).union(new)
-    order = Window.partitionBy("root").orderBy("path")
-    placed = trees.preorder(nodes).filter("root IS NOT NULL").select("root", F.col("id.cell").alias("cell"), F.lead("id.cell").over(order).alias("next"))
-    placed = placed.select(F.col("root.owner").alias("owner"), F.col("root.dim").alias("dim"), F.col("root.cell").alias("root"), "cell", "next")
-    after = links.select("owner", "dim", F.col("src").alias("root"), F.col("dst").alias("_old"))
-    spliced = placed.join(after, ["owner", "dim", "root"], "left").select("owner", "dim", F.col("cell").alias("src"), F.coalesce("next", "_old").alias("dst"))
-    moved = anchors.select(F.col("id.owner").alias("owner"), F.col("id.dim").alias("dim"), F.col("id.cell").alias("src"))
-    return links.join(moved, ["owner", "dim", "src"], "left_anti").select(*LINK).union(spliced.filter("dst IS NOT NULL"))
+    cells = inserts.select("owner", F.explode(F.array("a", "b")).alias("cell"))
+    return apply_links(inserts.select("owner", "seq", "dim", "a", "b", F.lit(True).alias("splice")), cells, inserts.select("owner", "dim"), links)
 
 
 def make_clones(requests: DataFrame, cells: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests (owner, seq, of, clone) with ``status`` (ok or unknown_cell), the new cells, and the links with them.
+    """Requests (owner, seq, of, clone) with ``status`` (ok, unknown_cell or already_linked), the new cells, and the links with them.
 
-    A cell's clones follow it on the clones' dimension, newest first.
+    A cell's clones follow it on the clones' dimension, newest first. What is cloned must be there before the batch; a
+    clone that is there already, or made before in the batch, is already_linked.
     """
-    known = cells.select("owner", F.col("cell").alias("of"), F.lit(True).alias("_there")).distinct()
-    told = requests.join(known, ["owner", "of"], "left").select(*requests.columns, F.when(F.col("_there"), "ok").otherwise("unknown_cell").alias("status"))
-    made = told.filter("status = 'ok'")
-    new = made.select("owner", F.col("clone").alias("cell"), F.lit("clone").alias("kind"), "of")
-    return told, new, splice(links, made.select("owner", F.lit(CLONES).alias("dim"), "seq", F.col("of").alias("a"), F.col("clone").alias("b")))
+    there = cells.select("owner", "cell").distinct()
+    known = there.select("owner", F.col("cell").alias("of"), F.lit(True).alias("_there"))
+    rows = requests.join(known, ["owner", "of"], "left")
+    again = there.select("owner", F.col("cell").alias("clone"), F.lit(True).alias("_again"))
+    rows = rows.join(again, ["owner", "clone"], "left").select(*requests.columns, F.when(F.col("_again"), "already_linked").when(F.col("_there"), "ok").otherwise("unknown_cell").alias("_early"))
+    rows = materialise(rows, "clones")
+    told, after = splice(links, rows.filter("_early = 'ok'").select("owner", F.lit(CLONES).alias("dim"), "seq", F.col("of").alias("a"), F.col("clone").alias("b")))
+    told = rows.join(told.select("owner", "seq", "status"), ["owner", "seq"], "left").select(*requests.columns, F.coalesce("status", "_early").alias("status"))
+    new = told.filter("status = 'ok'").select("owner", F.col("clone").alias("cell"), F.lit("clone").alias("kind"), "of")
+    return told, new, after
 
 
 def add_dimensions(requests: DataFrame, dimensions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

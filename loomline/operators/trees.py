@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.scans import Split, scan
 from loomline.storage import discard, materialise
 
 
@@ -33,30 +34,44 @@ def closure(edges: DataFrame) -> DataFrame:
             return _all(parts)
 
 
-def preorder(nodes: DataFrame) -> DataFrame:
-    """(id, root, depth, path) of nodes (id, parent, sort): the array of (sort, id) from the root orders each thread.
+def preorder(nodes: DataFrame, split: Split = None) -> DataFrame:
+    """(id, root, root_sort, depth, pos, size) of nodes (id, parent, sort): ``pos`` is the place in its thread from 0,
+    parents before children and siblings by (sort, id); ``size`` counts the node and all below it.
 
     Nodes whose parent is null or not there are roots; those on a reply cycle, or below one, are reached from no root and
-    come with null root, depth and path instead of vanishing.
+    come with nulls instead of vanishing. Of rows with one id that of the least (sort, parent) counts.
 
-    Every node looks up to an ancestor and holds the path below it; a round puts the ancestor's own path before it, so
-    depths double. A round that brings no node to its root leaves cycles only.
+    No node holds its path. Going up, every node looks to the ancestor 2, 4, 8, … above it and hands it what it has
+    counted, so sizes of n levels take log2(n) rounds; a node's place among its siblings follows from their sizes (one
+    running sum, cut by ``split`` where a node may have very many children), and the same jumps add these offsets up from
+    the root. A round that brings no node to its root leaves cycles only.
     """
-    known = nodes.select(F.col("id").alias("parent")).distinct()
-    linked = nodes.join(known.withColumn("_there", F.lit(True)), "parent", "left")
-    state = linked.select("id", F.when(F.col("_there"), F.col("parent")).alias("up"), F.array(F.struct("sort", "id")).alias("path"))
-    state = materialise(state, "threads")
-    done, open_ = [state.filter("up IS NULL")], state.filter("up IS NOT NULL")
-    while open_.head(1):
-        above = _all([*done, open_]).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("above"))
-        state = materialise(open_.join(above, "up").select("id", F.col("up2").alias("up"), F.concat("above", "path").alias("path")), "threads")
-        if not state.filter("up IS NULL").head(1):
+    rows = nodes.groupBy("id").agg(F.min(F.struct("sort", "parent")).alias("n")).select("id", "n.sort", "n.parent")
+    known = rows.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
+    rows = rows.withColumn("up", F.col("parent")).join(known, "up", "left").select("id", "sort", F.when(F.col("_there"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("size"))
+    jumps = [materialise(rows, "threads")]
+    rooted = jumps[0].filter("up IS NULL").count()
+    while jumps[-1].filter("up IS NOT NULL").head(1):
+        now = jumps[-1]
+        below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("below"))
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        step = now.join(below, "id", "left").join(above, "up", "left")
+        jumps.append(materialise(step.select("id", F.col("up2").alias("up"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), "threads"))
+        before, rooted = rooted, jumps[-1].filter("up IS NULL").count()
+        if rooted == before:
             break
-        done.append(state.filter("up IS NULL"))
-        open_ = state.filter("up IS NOT NULL")
-    found = _all(done).select("id", F.element_at("path", 1)["id"].alias("root"), (F.size("path") - 1).alias("depth"), "path")
-    lost = open_.select("id", *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]])
-    return found.union(lost)
+    sized = jumps[0].drop("size").join(jumps[-1].select("id", "size"), "id")
+    offsets = scan(sized, ["up"], ["sort", "id"], sums={"_ahead": F.col("size")}, split=split)
+    offset = F.when(F.col("up").isNull(), 0).otherwise(F.col("_ahead") - F.col("size") + 1)
+    told = materialise(offsets.select("id", "size", offset.alias("pos"), F.when(F.col("up").isNull(), F.struct("id", "sort")).alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), "places")
+    for jump in jumps[:-1]:
+        at = told.select(F.col("id").alias("up"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        step = told.join(jump.filter("up IS NOT NULL").select("id", "up"), "id", "left").join(at, "up", "left")
+        before, told = told, materialise(step.select("id", "size", (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.coalesce("root", "root2").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "places")
+        discard(before)
+    discard(*jumps)
+    lost = F.col("root").isNull()
+    return told.select("id", F.col("root.id").alias("root"), F.col("root.sort").alias("root_sort"), *[F.when(~lost, F.col(c)).alias(c) for c in ("depth", "pos", "size")])
 
 
 def grid_view(start: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -86,9 +101,7 @@ def grid_view(start: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame
         parts.append(level)
 
 
-def outline(nodes: DataFrame, depth: int, keep: Column | None = None) -> DataFrame:
-    """(id, root, depth, path, hidden) of a forest's nodes down to ``depth``: those ``keep`` (of depth and path) names, and how many lie below each."""
-    placed = preorder(nodes).filter("root IS NOT NULL")
-    below = placed.filter(F.col("depth") > depth).groupBy("root", F.slice("path", 1, depth + 1).alias("path")).agg(F.count("*").alias("hidden"))
-    shown = placed.filter((F.col("depth") <= depth) & (F.lit(True) if keep is None else keep))
-    return shown.join(below, ["root", "path"], "left").select("id", "root", "depth", "path", F.coalesce("hidden", F.lit(0)).alias("hidden"))
+def outline(nodes: DataFrame, depth: int) -> DataFrame:
+    """(id, root, depth, pos, hidden) of a forest's nodes down to ``depth``, and how many lie below each of the last level."""
+    shown = preorder(nodes).filter(F.col("depth") <= depth)
+    return shown.select("id", "root", "depth", "pos", F.when(F.col("depth") == depth, F.col("size") - 1).otherwise(0).alias("hidden"))

@@ -165,8 +165,7 @@ r AS (SELECT id, id AS root, 0 AS depth, [{'s': s, 'id': id}] AS path FROM n WHE
 SELECT id, root, depth, row_number() OVER (PARTITION BY root ORDER BY path)::BIGINT AS place FROM r""")
 def thread_preorder(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey >= 10 THEN p_partkey div 10 END").alias("parent"), F.col("p_retailprice").alias("sort"))
-    rows = trees.preorder(part)
-    return rows.select("id", "root", "depth", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("place"))
+    return trees.preorder(part).select("id", "root", "depth", (F.col("pos") + 1).alias("place"))
 
 
 @query("""WITH RECURSIVE g AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),

@@ -79,7 +79,7 @@ def clone_chains(spark, sf_dir):
     after = F.coalesce(F.concat(F.lit("o"), F.col("before")), F.concat(F.lit("c"), F.col("o_custkey")))
     inserts = orders.select(F.col("o_custkey").alias("owner"), F.lit(store.CLONES).alias("dim"), F.col("o_orderkey").alias("seq"), after.alias("a"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("b"))
     there = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.lit(store.CLONES).alias("dim"), F.concat(F.lit("c"), F.col("c_custkey")).alias("src"), F.concat(F.lit("old"), F.col("c_custkey")).alias("dst"))
-    return store.splice(there, inserts).select("owner", "src", "dst")
+    return store.splice(there, inserts)[1].select("owner", "src", "dst")
 
 
 @query(f"""WITH {_FRESH}, q AS (SELECT n_regionkey::VARCHAR AS owner, n_nationkey AS seq, 'n' || n_nationkey % 2 AS ns, substr(n_name, 1, 1) AS name FROM nation),

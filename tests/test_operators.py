@@ -69,7 +69,7 @@ def test_containers(spark):
 
 def test_threads(spark):
     rows = [("a", None, "2"), ("b", "a", "3"), ("c", "a", "1"), ("d", "b", "0"), ("e", "gone", "1"), ("p", "q", "1"), ("q", "p", "1")]
-    got = trees.preorder(spark.createDataFrame(rows, "id string, parent string, sort string")).orderBy("path").collect()
+    got = trees.preorder(spark.createDataFrame(rows, "id string, parent string, sort string")).orderBy("root_sort", "root", "pos").collect()
     assert [(r["id"], r["depth"]) for r in got if r["root"]] == [("e", 0), ("a", 0), ("c", 1), ("b", 1), ("d", 2)]
     assert {r["id"] for r in got if r["root"] is None} == {"p", "q"}
 

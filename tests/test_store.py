@@ -59,8 +59,79 @@ def test_a_long_chain_of_competing_links(spark):
     cells, dims = {("u", str(k)) for k in range(40)}, {("u", "x")}
     got = store.link(spark.createDataFrame(requests, "owner string, seq long, dim string, a string, b string"), spark.createDataFrame(list(cells), "owner string, cell string"), spark.createDataFrame(list(dims), "owner string, dim string"), spark.createDataFrame([], "owner string, dim string, src string, dst string"))
     assert {r["seq"]: r["status"] for r in got.collect()} == sequential(requests, cells, dims, [])
-    with pytest.raises(RuntimeError):
-        store.link(spark.createDataFrame(requests, "owner string, seq long, dim string, a string, b string"), spark.createDataFrame(list(cells), "owner string, cell string"), spark.createDataFrame(list(dims), "owner string, dim string"), spark.createDataFrame([], "owner string, dim string, src string, dst string"), max_rounds=0)
+
+
+def one_after_the_other(requests, cells, dims, there):
+    """Statuses and links by replaying requests (owner, seq, dim, a, b, splice, ring) on two maps."""
+    nxt, prv, out = {}, {}, {}
+    for o, d, a, b in there:
+        nxt[o, d, a], prv[o, d, b] = b, a
+    for o, seq, d, a, b, splice, ring in sorted(set(requests), key=lambda r: (r[1] is None, r[1])):
+        p, m, q = (o, d, a), (o, d, b), (o, d, b)
+        if a == b and not ring:
+            out[o, seq] = "self_link_forbidden"
+        elif (o, a) not in cells or (o, b) not in cells:
+            out[o, seq] = "unknown_cell"
+        elif (o, d) not in dims:
+            out[o, seq] = "unknown_dimension"
+        elif nxt.get(p) == b and p in nxt:
+            out[o, seq] = "ok"
+        elif m in prv or (p in nxt and (not splice or q in nxt)):
+            out[o, seq] = "already_linked" if splice else "restriction_r_violation"
+        else:
+            if p in nxt:
+                nxt[q] = nxt[p]
+                prv[o, d, nxt[p]] = b
+            nxt[p], prv[m], out[o, seq] = b, a, "ok"
+    return out, {(o, d, a, b) for (o, d, a), b in nxt.items()}
+
+
+ASKED = "owner string, seq long, dim string, a string, b string, splice boolean, allow_self_ring boolean"
+LINKS = "owner string, dim string, src string, dst string"
+
+
+def applied(spark, requests, cells, dims, there):
+    told, after = store.apply_links(spark.createDataFrame(requests, ASKED).repartition(3), spark.createDataFrame(list(cells), "owner string, cell string"), spark.createDataFrame(list(dims), "owner string, dim string"), spark.createDataFrame(there, LINKS))
+    return {(r["owner"], r["seq"]): r["status"] for r in told.collect()}, [tuple(r[c] for c in ("owner", "dim", "src", "dst")) for r in after.collect()]
+
+
+@pytest.mark.parametrize("seed, component", [(0, 200_000), (1, 200_000), (2, 0), (3, 200_000)])
+def test_batches_equal_requests_one_after_the_other(spark, seed, component, monkeypatch):
+    monkeypatch.setattr(store, "COMPONENT", component)
+    rng = random.Random(seed)
+    names = [str(k) for k in range(rng.choice([6, 14, 30]))]
+    cells = {(o, c) for o in "uv" for c in names}
+    there = [("u", "x", "0", "1"), ("u", "x", "1", "2"), ("v", "x", "3", "3"), ("v", "y", "2", "0")]
+    dims = {("u", "x"), ("u", "y"), ("v", "x"), ("v", "y")}
+    requests = [(rng.choice("uv"), k, rng.choice("xxyz"), rng.choice([*names, "gone"]), rng.choice(names), rng.random() < 0.7, rng.random() < 0.5) for k in range(160)]
+    requests += requests[:3]
+    expected, links = one_after_the_other(requests, cells, dims, there)
+    told, after = applied(spark, requests, cells, dims, there)
+    assert told == expected and sorted(after) == sorted(links)
+    assert len({r[:3] for r in after}) == len({(o, d, b) for o, d, _, b in after}) == len(after)  # Restriction R
+    assert {"ok", "already_linked", "restriction_r_violation"} <= set(told.values())
+
+
+def test_splice_moves_no_cell_that_is_linked(spark):
+    there = [("u", "d", "x", "b"), ("u", "d", "a", "c")]
+    rows = spark.createDataFrame([("u", "d", 1, "a", "b"), ("u", "d", 2, "a", "n"), ("u", "d", 3, "a", "n"), ("u", "d", 4, "a", "m"), ("u", "d", 5, "a", "n")], "owner string, dim string, seq long, a string, b string")
+    told, after = store.splice(spark.createDataFrame(there, LINKS), rows)
+    assert [r["status"] for r in told.orderBy("seq").collect()] == ["already_linked", "ok", "ok", "ok", "already_linked"]
+    assert {(r["src"], r["dst"]) for r in after.collect()} == {("x", "b"), ("a", "m"), ("m", "n"), ("n", "c")}
+
+
+def test_an_empty_batch_and_nulls(spark):
+    there = [("u", "d", "x", "b")]
+    assert applied(spark, [], [("u", "x")], [("u", "d")], there) == ({}, there)
+    told, after = applied(spark, [("u", 1, "d", None, "b", True, None), (None, 2, "d", "x", "b", None, None), ("u", 3, "d", "b", "x", None, None)], [("u", "x"), ("u", "b")], [("u", "d")], there)
+    assert told == {("u", 1): "unknown_cell", (None, 2): "unknown_cell", ("u", 3): "ok"} and sorted(after) == [("u", "d", "b", "x"), *there]
+
+
+def test_a_chain_of_100_000_splices(spark):
+    asked = spark.range(100_000).select(F.lit("u").alias("owner"), F.lit("d").alias("dim"), F.col("id").alias("seq"), F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b"))
+    told, after = store.splice(spark.createDataFrame([("u", "d", "0", "end")], LINKS), asked)
+    assert told.filter("status <> 'ok'").count() == 0
+    assert after.filter("dst <> CASE WHEN src = '100000' THEN 'end' ELSE cast(cast(src AS int) + 1 AS string) END").count() == 0 and after.count() == 100_001
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -71,7 +142,7 @@ def test_splices_are_inserts_one_after_the_other(spark, seed):
         after = rng.choice(chain[:-1])
         inserts.append(("u", "d", k, after, f"n{k}"))
         chain.insert(chain.index(after) + 1, f"n{k}")
-    got = store.splice(spark.createDataFrame([("u", "d", "a", "z"), ("v", "d", "a", "z")], "owner string, dim string, src string, dst string"), spark.createDataFrame(inserts, "owner string, dim string, seq long, a string, b string").repartition(2))
+    got = store.splice(spark.createDataFrame([("u", "d", "a", "z"), ("v", "d", "a", "z")], "owner string, dim string, src string, dst string"), spark.createDataFrame(inserts, "owner string, dim string, seq long, a string, b string").repartition(2))[1]
     assert {(r["src"], r["dst"]) for r in got.filter("owner = 'u'").collect()} == set(zip(chain, chain[1:], strict=False))
     assert [(r["src"], r["dst"]) for r in got.filter("owner = 'v'").collect()] == [("a", "z")]
 

@@ -76,7 +76,7 @@ def test_a_page_of_comments(spark):
 def test_deep_threads_and_cycles(spark):
     chain = [(str(k), str(k - 1) if k else None, str(k % 3)) for k in range(150)] + [("x", "y", "0"), ("y", "z", "0"), ("z", "x", "0"), ("below", "x", "0")]
     got = {r["id"]: r for r in trees.preorder(spark.createDataFrame(chain, "id string, parent string, sort string")).collect()}
-    assert all(got[str(k)]["depth"] == k and len(got[str(k)]["path"]) == k + 1 and got[str(k)]["root"] == "0" for k in range(150))
+    assert all((got[str(k)]["depth"], got[str(k)]["pos"], got[str(k)]["size"], got[str(k)]["root"]) == (k, k, 150 - k, "0") for k in range(150))
     assert {k for k, r in got.items() if r["root"] is None} == {"x", "y", "z", "below"}
     assert trees.preorder(spark.createDataFrame([], "id string, parent string, sort string")).collect() == []
 
