@@ -123,7 +123,10 @@ def _decide(rows: DataFrame) -> DataFrame:
         here.append(told.filter("now AND spliced").select("owner", "dim", F.lit("p"), "b", "seq"))
         held = materialise(held.union(here[0]).union(here[1]).union(here[2]).groupBy("owner", "dim", "side", "x").agg(F.min("since").alias("since")), "held")
         pending = materialise(told.filter("NOT lost AND NOT (now AND spliced IS NOT NULL)").select("owner", "dim", "seq", "a", "b", "splice", "a_taken", "b_taken", F.col("now").alias("won")), "pending")
-        if rounds >= 2 and pending.head(1):
+        if not pending.filter("NOT won").head(1):
+            done.append(_spliced_or_not(pending, held))
+            break
+        if rounds >= 2:
             one_by_one, pending = _by_component(pending, held)
             done.append(one_by_one)
     out = none.select("owner", "dim", "seq", "a", "b", F.lit(False).alias("won"), F.lit(False).alias("spliced"))
@@ -132,6 +135,25 @@ def _decide(rows: DataFrame) -> DataFrame:
     return out
 
 
+def _spliced_or_not(won: DataFrame, held: DataFrame) -> DataFrame:
+    """Decisions of requests that all take their slots, once it is known whether something followed ``a`` then.
+
+    That was so before the batch or by an earlier request, or else if the request that put ``a`` where it is was a splice
+    before: so each looks up to that one, and then to where that one looks, so that chains of n take log2(n) rounds.
+    """
+    since = held.filter("side = 'p'").select("owner", "dim", F.col("x").alias("a"), "since")
+    rows = won.join(since, ["owner", "dim", "a"], "left").withColumn("full", F.col("a_taken") | F.coalesce(F.col("since") < F.col("seq"), F.lit(False)))
+    above = won.select("owner", "dim", F.col("b").alias("a"), F.col("seq").alias("put"), F.col("b").alias("up"))
+    rows = rows.join(above, ["owner", "dim", "a"], "left").withColumn("up", F.when(~F.col("full") & (F.col("put") < F.col("seq")), F.col("up")))
+    state = materialise(rows.select("owner", "dim", "seq", "a", "b", "up", F.when(F.col("full") | F.col("up").isNull(), F.col("full")).alias("spliced")), "splices")
+    while state.filter("spliced IS NULL").head(1):
+        above = state.select("owner", "dim", F.col("b").alias("up"), F.col("up").alias("up2"), F.col("spliced").alias("found"))
+        step = state.join(above, ["owner", "dim", "up"], "left").select("owner", "dim", "seq", "a", "b", F.col("up2").alias("up"), F.coalesce("spliced", "found").alias("spliced"))
+        before, state = state, materialise(step, "splices")
+        discard(before)
+    return state.select("owner", "dim", "seq", "a", "b", F.lit(True).alias("won"), "spliced")
+
+
 def _slots(pending: DataFrame) -> DataFrame:
     """(owner, dim, side, x, seq): the slots that pending requests may take."""
     each = F.array(

@@ -82,6 +82,33 @@ def clone_chains(spark, sf_dir):
     return store.splice(there, inserts)[1].select("owner", "src", "dst")
 
 
+@query("""WITH RECURSIVE q AS (SELECT o_custkey AS owner, o_orderkey AS seq, o_orderkey % 7 AS a, o_orderkey // 7 % 7 AS b, o_orderkey % 3 > 0 AS splice, o_orderkey % 2 = 0 AS ring FROM orders),
+c AS (SELECT *, CASE WHEN a = b AND NOT ring THEN 'self_link_forbidden' WHEN a = 6 OR b = 6 THEN 'unknown_cell' END AS early FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY seq) AS k FROM c WHERE early IS NULL),
+s(owner, k, links, seq, status) AS (SELECT DISTINCT owner, 0::BIGINT, [{'s': 0::BIGINT, 'd': 1::BIGINT}], NULL::BIGINT, NULL::VARCHAR FROM n
+  UNION ALL SELECT s.owner, n.k,
+    CASE WHEN same OR NOT free THEN links WHEN nxt IS NULL THEN list_append(links, {'s': n.a, 'd': n.b})
+         ELSE list_concat(list_filter(links, lambda x: x.s <> n.a), [{'s': n.a, 'd': n.b}, {'s': n.b, 'd': nxt}]) END,
+    n.seq, CASE WHEN same OR free THEN 'ok' WHEN n.splice THEN 'already_linked' ELSE 'restriction_r_violation' END
+  FROM s JOIN n ON n.owner = s.owner AND n.k = s.k + 1,
+    LATERAL (SELECT list_filter(links, lambda x: x.s = n.a)[1].d AS nxt, len(list_filter(links, lambda x: x.d = n.b)) AS before, len(list_filter(links, lambda x: x.s = n.b)) AS behind),
+    LATERAL (SELECT coalesce(nxt = n.b, false) AS same, before = 0 AND (nxt IS NULL OR (n.splice AND behind = 0)) AS free)),
+e AS (SELECT owner, arg_max(links, k) AS links FROM s GROUP BY owner)
+SELECT owner, seq, early AS status, NULL::BIGINT AS src, NULL::BIGINT AS dst FROM c WHERE early IS NOT NULL
+UNION ALL SELECT owner, seq, status, NULL, NULL FROM s WHERE seq IS NOT NULL UNION ALL SELECT owner, NULL, NULL, x.s, x.d FROM (SELECT owner, unnest(links) AS x FROM e)""")
+def splice_requests(spark, sf_dir):
+    """Every order asks its customer's structure for a link between two of six cells (two in three as a splice, half with self-rings), and the links in the end."""
+    key = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), key.alias("seq"), F.lit("d").alias("dim"), (key % 7).alias("a"), (F.floor(key / 7) % 7).alias("b"), (key % 3 > 0).alias("splice"), (key % 2 == 0).alias("allow_self_ring"))
+    owners = asked.select("owner").distinct()
+    cells = owners.select("owner", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("cell"))
+    known = asked.filter(~((F.col("a") == F.col("b")) & ~F.col("allow_self_ring")) & (F.col("a") < 6) & (F.col("b") < 6)).select("owner").distinct()
+    there = known.select("owner", F.lit("d").alias("dim"), F.lit(0).cast("long").alias("src"), F.lit(1).cast("long").alias("dst"))
+    told, after = store.apply_links(asked, cells, owners.select("owner", F.lit("d").alias("dim")), there)
+    none = F.lit(None)
+    return told.select("owner", "seq", "status", none.cast("long").alias("src"), none.cast("long").alias("dst")).union(after.select("owner", none.cast("long"), none.cast("string"), "src", "dst"))
+
+
 @query(f"""WITH {_FRESH}, q AS (SELECT n_regionkey::VARCHAR AS owner, n_nationkey AS seq, 'n' || n_nationkey % 2 AS ns, substr(n_name, 1, 1) AS name FROM nation),
 g AS (SELECT *, 'cell:' || ns || '.' || name AS cell FROM q QUALIFY row_number() OVER (PARTITION BY owner, ns, name ORDER BY seq) = 1),
 r AS (SELECT owner, cell, lag(cell) OVER (PARTITION BY owner ORDER BY seq) AS prev, lead(cell) OVER (PARTITION BY owner ORDER BY seq) AS next, lag(cell) OVER (PARTITION BY owner, ns ORDER BY seq) AS sibling, ns FROM g)
