@@ -4,10 +4,14 @@ Features, rules and the trees are DataFrame expressions. The trees are fitted on
 different labelled URLs (about ``sample_rows``, drawn by URL hash), of which only binned numbers and labels are
 collected. Suffix statistics count all different labelled URLs and stay a table.
 
-Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the trees;
+A suffix's statistic is how far its share of blocked labels, smoothed towards all labels' share by ``PSEUDO`` labels, lies
+from that share in log-odds. What has no labels stands at 0 and is marked as unseen; so that the trees know what to do
+with it, the fit hides the suffix of one URL in ``HIDDEN``, and so an unseen suffix is judged as URLs at large are.
+
+Defined cases: a null URL, or one without host (``://``), has empty host and path, fits no rule and scores the prior;
 very long URLs are measured whole; repeated rows are judged alike, and a URL counts once for the model however often it
 is there; an empty table gives no rows; without labelled rows, or with labels of one kind only, the model is that label's
-prior and with none at all allows; a suffix without labels, or with labels of one kind only, is neutral. Columns that the
+prior and with none at all allows; a suffix without labels is unseen. Columns that the
 caller wants along are named in ``keep``, so other columns, whatever their names, do no harm. Of rules that fit, the
 longest wins (host and path together), of equally long ones the last; of rules for one host and path the first counts.
 """
@@ -30,6 +34,10 @@ COMPILED_RULES = 500
 BROADCAST_ROWS = 500_000
 
 
+#: Labels at the overall share that a suffix's own are mixed with, and one URL in so many that is fitted as if its suffix had none.
+PSEUDO, HIDDEN = 4.0, 5
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -50,7 +58,7 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 
-FEATURES = ("url_length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_odds")
+FEATURES = ("url_length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_odds", "suffix_seen")
 
 
 def _rest(url: Column) -> Column:
@@ -194,9 +202,10 @@ def boost(values: np.ndarray, blocked: np.ndarray, n_trees: int = 12, depth: int
     return prior, tuple(trees)
 
 
-def _odds(blocked: Column, n: Column) -> Column:
-    """Log-odds of a suffix's labels; labels of one kind only tell what is labelled, not what the suffix is like."""
-    return F.when((blocked > 0) & (blocked < n), F.round(F.log((blocked + 1) / (n - blocked + 1)), 6)).otherwise(0.0)
+def _odds(blocked: Column, n: Column, share: float) -> Column:
+    """How far a suffix's smoothed log-odds are from those of all labels; null where it has none."""
+    odds = F.log((blocked + PSEUDO * share) / (n - blocked + PSEUDO * (1 - share)))
+    return F.when(n > 0, F.round(odds - float(np.log(share / (1 - share))), 6))
 
 
 def train(labelled: DataFrame, sample_rows: int = 20_000, **options) -> Model:
@@ -213,13 +222,15 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, **options) -> Model:
     total = counts.agg(*[F.coalesce(F.sum(F.col(f"{n}0") + F.col(f"{n}1")), F.lit(0)).alias(n) for n in "bn"]).first()
     if total["b"] in (0, total["n"]):
         return Model(None, -1.0 if total["b"] == 0 else 1.0, ())
-    b, n = F.col("b0") + F.col("b1"), F.col("n0") + F.col("n1")
-    suffixes = counts.select("suffix", _odds(b, n).alias("odds")).filter("odds <> 0")
-    apart = counts.select("suffix", *[_odds(F.col(f"b{h}"), F.col(f"n{h}")).alias(f"o{h}") for h in (0, 1)])
-    drawn = urls.filter(F.col("draw") < sample_rows / total["n"] * (1 << 20)).join(apart, "suffix")
-    drawn = drawn.select("blocked", F.when(F.col("half") == 0, F.col("o1")).otherwise(F.col("o0")).alias("suffix_odds"), "url", host_of(url).alias("host"), path_of(url).alias("path"), letters_of(url).alias("letters"))
-    features = lexical(url, F.col("host"), F.col("path"), F.col("letters"))
-    rows = drawn.select("blocked", "suffix_odds", *[c.alias(k) for k, c in features.items()]).collect()
+    share = total["b"] / total["n"]
+    suffixes = counts.filter("suffix <> ''").select("suffix", _odds(F.col("b0") + F.col("b1"), F.col("n0") + F.col("n1"), share).alias("odds"))
+    apart = counts.select("suffix", *[_odds(F.col(f"b{h}"), F.col(f"n{h}"), share).alias(f"o{h}") for h in (0, 1)])
+    drawn = urls.filter((F.col("draw") < sample_rows / total["n"] * (1 << 20)) & (F.col("suffix") != "")).join(apart, "suffix")
+    hidden = F.pmod(F.xxhash64("url", F.lit("hidden")), F.lit(HIDDEN)) == 0
+    told = F.when(~hidden, F.when(F.col("half") == 0, F.col("o1")).otherwise(F.col("o0")))
+    drawn = drawn.select("blocked", told.alias("told"), "url", host_of(url).alias("host"), path_of(url).alias("path"), letters_of(url).alias("letters"))
+    features = lexical(url, F.col("host"), F.col("path"), F.col("letters")) | suffix_features(F.col("told"))
+    rows = drawn.select("blocked", *[c.alias(k) for k, c in features.items()]).collect()
     labels = np.array([r["blocked"] for r in rows], float)
     if len(set(labels)) < 2:
         return Model(suffixes, float(np.log((total["b"] + 1) / (total["n"] - total["b"] + 1))), ())
@@ -227,6 +238,11 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, **options) -> Model:
     return Model(suffixes, prior, trees)
 
 
+def suffix_features(odds: Column) -> dict[str, Column]:
+    """The two features of a suffix's odds, null where it has no labels."""
+    return {"suffix_odds": F.coalesce(odds, F.lit(0.0)), "suffix_seen": odds.isNotNull().cast("double")}
+
+
 def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """``keep``, then host, path, rule, block_score and verdict of every row: the rule's verdict, else the trees'."""
     url = F.col("url").cast("string")
@@ -234,11 +250,12 @@ def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = RULES, keep: S
     features = lexical(F.col("_url"), F.col("host"), F.col("path"), F.col("_letters"))
     used = with_rule(parts.withColumns({f"_{k}": c for k, c in features.items()} | {"suffix": suffix_of(F.col("host"))}).drop("_url", "_letters"), rules)
     if model.suffixes is None:
-        used = used.withColumn("odds", F.lit(0.0))
+        used = used.withColumn("odds", F.lit(None).cast("double"))
     else:
         known = materialise(model.suffixes, "odds")
         used = used.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "suffix", "left")
-    score = model.score({k: F.col(f"_{k}") for k in features} | {"suffix_odds": F.coalesce("odds", F.lit(0.0))})
+    score = model.score({k: F.col(f"_{k}") for k in features} | suffix_features(F.col("odds")))
+    score = F.when(F.col("host") == "", F.lit(float(model.prior))).otherwise(score)
     scored = used.select("_keep.*", "host", "path", "rule", score.alias("block_score"), "said")
     return scored.select(*keep, "host", "path", "rule", "block_score", F.coalesce("said", F.when(F.col("block_score") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 

@@ -89,10 +89,56 @@ def test_the_sample_is_bounded_and_suffixes_count_everything(spark):
         u.boost = real
     assert 400 < seen[0] < 600
     n = [(sum(k % 3 == 0 for k in range(4000) if (k % 4 == 0) == com), sum((k % 4 == 0) == com for k in range(4000))) for com in (True, False)]
-    want = {s: round(math.log((b + 1) / (t - b + 1)), 6) for s, (b, t) in zip(("com", "org"), n, strict=True)}
+    share = sum(b for b, _ in n) / 4000
+    want = {s: round(math.log((b + 4 * share) / (t - b + 4 * (1 - share))) - math.log(share / (1 - share)), 6) for s, (b, t) in zip(("com", "org"), n, strict=True)}
     assert {r["suffix"]: r["odds"] for r in model.suffixes.collect()} == want
 
 
+def labels_by_suffix():
+    """Suffixes whose labels are all of one kind, one of both kinds by depth, and one of both by chance; 46 % are blocked."""
+    rng = np.random.default_rng(5)
+    out = []
+    for k in range(3000):
+        suffix, depth = ("aa", "bb", "cc", "dd")[k % 4], int(rng.integers(0, 8))
+        blocked = {"aa": True, "bb": False, "cc": depth > 4, "dd": bool(rng.random() < 0.5)}[suffix]
+        out.append((f"http://site{rng.integers(10**5)}.{suffix}/{'x/' * depth}{rng.integers(10**6)}", blocked))
+    return out
+
+
+def test_suffixes_of_one_kind_are_told_and_unseen_ones_get_the_prior(spark):
+    rows = labels_by_suffix()
+    model = u.train(spark.createDataFrame(rows, "url string, blocked boolean"))
+    asked = [(k, url.replace(".aa/", f".{s}/")) for k, (url, _) in enumerate(rows[:800]) if ".aa/" in url for s in ("aa", "bb", "zz")] + [(-1, None), (-2, "no host here"), (-3, "http:///path")]
+    got = u.judge(spark.createDataFrame(asked, "page_id long, url string"), model, rules=()).collect()
+    scores = {s: [r["block_score"] for r in got if r["host"].endswith(s)] for s in (".aa", ".bb", ".zz")}
+    share = sum(b for _, b in rows) / len(rows)
+    assert abs(model.prior - math.log(share / (1 - share))) < 0.2
+    assert min(scores[".aa"]) > 1 and max(scores[".bb"]) < -1
+    assert abs(np.mean(scores[".zz"]) - model.prior) < 0.6 and max(scores[".bb"]) < np.mean(scores[".zz"]) < min(scores[".aa"])
+    assert {r["block_score"] for r in got if r["host"] == ""} == {model.prior}
+
+
+def test_held_out_urls_beat_the_majority_where_features_tell(spark):
+    """No constant verdict by suffix can reach this: depth decides within one suffix."""
+    rows = spark.createDataFrame(labels_by_suffix(), "url string, blocked boolean").withColumn("fold", F.pmod(F.crc32("url"), F.lit(3)))
+    model = u.train(rows.filter("fold > 0"))
+    got = u.judge(rows.filter("fold = 0"), model, rules=(), keep=("blocked",)).collect()
+    for suffix, least in ((".aa", 0.99), (".bb", 0.99), (".cc", 0.95)):
+        told = [(r["verdict"] == "block") == r["blocked"] for r in got if r["host"].endswith(suffix)]
+        share = np.mean([r["blocked"] for r in got if r["host"].endswith(suffix)])
+        assert np.mean(told) >= least and (suffix != ".cc" or np.mean(told) > max(share, 1 - share) + 0.2)
+
+
+def test_suffixes_without_labels_on_the_pages(spark):
+    """.org has no labels there: its URLs are judged about as URLs at large, far from those of .net, all of whose labels are blocked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    model = u.train(u.labelled_by_rules(pages))
+    scores = u.judge(pages, model).withColumn("suffix", u.suffix_of(F.col("host"))).groupBy("suffix").agg(F.avg("block_score").alias("s"), F.countDistinct("block_score").alias("n")).collect()
+    told = {r["suffix"]: r["s"] for r in scores}
+    print(told, model.prior)
+    assert abs(told["org"] - model.prior) < 0.3 and told["net"] > told["org"] + 1
+
+
 def plain_tree(values, grad, hess, rows, cuts, depth, rate):
     """The split of largest gain by trying every feature and cut on plain lists."""
     g, h = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
