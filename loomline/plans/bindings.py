@@ -267,27 +267,31 @@ def restriction_r(spark, sf_dir):
 
 # Versions
 
-_STATE = "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts < TIMESTAMP '2024-01-{day} 00:00:00' GROUP BY user_id, event_type"
+_STATE = "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events {until} GROUP BY user_id, event_type"
+_FIRST, _LAST = _STATE.format(until="WHERE ts < TIMESTAMP '2024-01-06 00:00:00'"), _STATE.format(until="")
 
 
-def _state(spark, sf_dir, day: str) -> DataFrame:
-    rows = events(spark, sf_dir).filter(F.col("ts") < F.lit(f"2024-01-{day} 00:00:00").cast("timestamp"))
+def _state(spark, sf_dir, day: str | None = None) -> DataFrame:
+    """Each user's last value of each type: now, or before a day."""
+    rows = events(spark, sf_dir)
+    if day:
+        rows = rows.filter(F.col("ts") < F.lit(f"2024-01-{day} 00:00:00").cast("timestamp"))
     return facts.latest(rows, ["user_id", "event_type"], "value", ["ts", "event_id"])
 
 
-@query(f"""WITH a AS ({_STATE.format(day='04')}), b AS ({_STATE.format(day='06')})
+@query(f"""WITH a AS ({_FIRST}), b AS ({_LAST})
 SELECT user_id, event_type, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'deleted' ELSE 'modified' END AS change
 FROM a FULL JOIN b USING (user_id, event_type) WHERE a.value IS DISTINCT FROM b.value""")
 def version_diff(spark, sf_dir):
-    return versions.diff(_state(spark, sf_dir, "04"), _state(spark, sf_dir, "06"), ["user_id", "event_type"], "value")
+    return versions.diff(_state(spark, sf_dir, "06"), _state(spark, sf_dir), ["user_id", "event_type"], "value")
 
 
-@query(f"""WITH a AS ({_STATE.format(day='04')}), b AS ({_STATE.format(day='06')})
+@query(f"""WITH a AS ({_FIRST}), b AS ({_LAST})
 SELECT user_id, event_type, sha256(floor(value)::BIGINT::VARCHAR) AS content_hash FROM b
 WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.event_type = b.event_type AND floor(a.value) = floor(b.value))""")
 def mirror_changed(spark, sf_dir):
     content = F.floor("value").cast("long").cast("string")
-    out = versions.to_mirror(_state(spark, sf_dir, "06"), _state(spark, sf_dir, "04"), ["user_id", "event_type"], content)
+    out = versions.to_mirror(_state(spark, sf_dir), _state(spark, sf_dir, "06"), ["user_id", "event_type"], content)
     return out.select("user_id", "event_type", "content_hash")
 
 

@@ -77,7 +77,7 @@ def comments(files: DataFrame) -> DataFrame:
     """One row per comment of exports (file, text): ids, parent, author's name (else 12 characters of the id), created, blocks.
 
     ``created`` is the text of the instant, empty if missing, so that comments sort by it as text and then by place.
-    A file that is no JSON gives no comments.
+    A file that is no JSON, is damaged or nested more than about 500 replies deep gives no comments; ``unreadable`` names it.
     """
     parsed = files.select("file", F.from_json("text", COMMENTS, {"mode": "PERMISSIVE"}).alias("e"))
     rows = parsed.select("file", F.col("e.authors").alias("authors"), F.posexplode("e.comments").alias("place", "c"))
@@ -87,16 +87,35 @@ def comments(files: DataFrame) -> DataFrame:
     )
 
 
-def _walk(nodes, depth: int = 0) -> Iterator[tuple]:
-    for node in nodes or []:
-        block = node.get("block") or {}
-        yield depth, block.get("type"), block.get("id"), block.get("text")
-        yield from _walk(node.get("children"), depth + 1)
+def _rows_of(content: str | None) -> str | None:
+    """The blocks of recursive content as JSON rows [depth, type, id, text], parents before children."""
+    if not content:
+        return None
+    rows, waiting = [], [(0, iter(json.loads(content) or ()))]
+    while waiting:
+        depth, level = waiting[-1]
+        node = next(level, None)
+        if node is None:
+            waiting.pop()
+            continue
+        held = node.get("block") or {}
+        rows.append([depth, *map(held.get, ("type", "id", "text"))])
+        if below := node.get("children"):
+            waiting.append((depth + 1, iter(below)))
+    return json.dumps(rows)
 
 
 @F.pandas_udf(StringType())
 def _flat(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: json.dumps(list(_walk(json.loads(t)))) if t else None)
+    return pd.Series([_rows_of(c) for c in content], dtype=object)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(file, problem) of the exports (file, text) that ``comments`` gives no rows for."""
+    parsed = files.select("file", "text", F.from_json("text", COMMENTS, {"mode": "PERMISSIVE"}).alias("e"))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    problem = F.when(text == "", "empty").when(F.col("e.comments").isNull() & text.rlike(r"^[{]"), "no comments, damaged, or nested too deep").when(F.col("e.comments").isNull(), "no JSON object")
+    return parsed.select("file", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
 def blocks(rows: DataFrame, content: Column) -> DataFrame:

@@ -132,3 +132,35 @@ def test_snapshots_users_and_folders(spark, tmp_path):
     spans = spark.createDataFrame([("f", "t", 1, "http://h/A.txt", 1, 0, 1, None), ("f", "t", 1, "b.txt", 2, 0, 1, None)], "file string, link_type string, endset int, source string, span int, start long, length long, error string")
     sources = spark.createDataFrame([("A.txt", bytearray(b"1"), 2), ("A.txt", bytearray(b"2"), 1), ("B.txt", bytearray(b"3"), 2)], "name string, content binary, priority int")
     assert {r["source"]: bytes(r["bytes"]) for r in t.extract_spans(spans, sources).collect()} == {"http://h/A.txt": b"2", "b.txt": b"3"}
+
+
+def test_cues_from_100_hours_on(spark):
+    cue = "{0} --> {1}\nold\n{2}<{0}><c> late</c>"
+    text = "WEBVTT\n\n" + "\n\n".join(cue.format(a, b, w) for a, b, w in (("99:59:59.000", "100:00:00.000", "one"), ("100:00:00.000", "100:00:01.000", "two"), ("1000:00:00.000", "1000:00:01.000", "three")))
+    got = [(r["word"], r["ts"]) for r in t.word_timeline(files(spark, a=text)).orderBy("seq").collect()]
+    assert got == [(w, x) for w, x in zip("one late two late three late".split(), [x for x in ("99:59:59.000", "100:00:00.000", "1000:00:00.000") for _ in (0, 1)], strict=True)]
+
+
+def test_overlaps_by_the_prefix_function():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        said, new = ([rng.choice("ab") for _ in range(rng.randrange(9))] for _ in (0, 1))
+        assert t._overlap(said, new) == max(k for k in range(min(len(said), len(new)) + 1) if said[len(said) - k :] == new[:k])
+
+
+def test_exports_that_cannot_be_read_are_named(spark):
+    from loomline.sources import documents
+
+    def deep(n):
+        node = {"block": {"text": "x"}}
+        for _ in range(n):
+            node = {"block": {"text": "x"}, "children": [node]}
+        return json.dumps({"comments": [{"id": "1", "content": [node]}]})
+
+    df = files(spark, ok=deep(3), deep=deep(600), text="plain", empty="", cut=deep(3)[:-5])
+    assert {r["file"]: r["problem"] for r in documents.unreadable(df).collect()} == {"deep": "no comments, damaged, or nested too deep", "cut": "no comments, damaged, or nested too deep", "text": "no JSON object", "empty": "empty"}
+    rows = documents.comments(df)
+    assert [r["file"] for r in rows.collect()] == ["ok"]
+    assert [r["depth"] for r in documents.blocks(rows, F.col("content")).orderBy("seq").collect()] == [0, 1, 2, 3]
