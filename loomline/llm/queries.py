@@ -76,7 +76,7 @@ b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
         + 8 * (10 * n_bangs > 3 * n_words)::BIGINT + 16 * (2 * n_dup_lines > n_lines)::BIGINT
         + 32 * (word_chars < 2 * n_words)::BIGINT + 64 * (word_chars > 20 * n_words)::BIGINT + 128 * (n_symbols > n_words)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  fail_bits & 251 = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b
+  fail_bits & 127 = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b
 """
 
 JOIN_4_85 = ngram_join.Join(width=4, num=85, den=100)
