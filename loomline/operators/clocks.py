@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.storage import materialise
+
 
 def tick(clock: Column, peer: str) -> Column:
     return F.map_concat(F.map_filter(clock, lambda k, _: k != peer), F.create_map(F.lit(peer), F.coalesce(clock[peer], F.lit(0)) + 1))
@@ -28,23 +32,69 @@ def concurrent(a: Column, b: Column) -> Column:
     return ~happens_before(a, b) & ~happens_before(b, a)
 
 
+#: Different clocks of a key that one task takes the front of at a time.
+FRONT = 20_000
+
+
 def survivors(values: DataFrame, by: Sequence[str], clock: Sequence[str]) -> DataFrame:
     """Rows of each key whose clock (integer columns) no other row of the key dominates.
 
     With two counters, one sort of each key's distinct clocks tells: a row survives if its second counter is over all
-    those of greater first ones. With more, the clocks of a key are first reduced to distinct ones, and of those with
-    equal leading counts to the greatest, and these meet each other: the work grows with the square of that front.
+    those of greater first ones. With more, a key's clocks are dealt into parts of about FRONT, each part leaves its own
+    front, and fronts are merged two and two until one is left; no key meets itself. What is merged in one task is what
+    survives of two parts.
+
+    Defined cases: null keys are one key; a null counter counts as less than any number; rows of equal clocks survive
+    together; an empty table gives no rows.
     """
-    lead, last = list(clock[:-1]), clock[-1]
-    front = values.groupBy(*by, *lead).agg(F.max(last).alias(last))
-    if len(clock) == 2:
-        over = F.max(last).over(Window.partitionBy(*by).orderBy(F.desc(lead[0])).rowsBetween(Window.unboundedPreceding, -1))
-        alive = front.withColumn("_over", over).filter(F.col("_over").isNull() | (F.col(last) > F.col("_over"))).drop("_over")
+    keys, counts = [f"k{k}" for k in range(len(by))], [f"c{k}" for k in range(len(clock))]
+    least = F.lit(-(1 << 63))
+    named = values.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[F.coalesce(F.col(c).cast("long"), least).alias(k) for c, k in zip(clock, counts, strict=True)])
+    front = named.groupBy(*keys, *counts[:-1]).agg(F.max(counts[-1]).alias(counts[-1]))
+    if len(clock) == 1:
+        alive = front
+    elif len(clock) == 2:
+        over = F.max("c1").over(Window.partitionBy(*keys).orderBy(F.desc("c0")).rowsBetween(Window.unboundedPreceding, -1))
+        alive = front.withColumn("over", over).filter(F.col("over").isNull() | (F.col("c1") > F.col("over"))).drop("over")
     else:
-        other = front.select(*by, *[F.col(c).alias(f"_{c}") for c in clock])
-        dominated = front.join(other, list(by)).filter(" AND ".join(f"_{c} >= {c}" for c in clock) + " AND (" + " OR ".join(f"_{c} > {c}" for c in clock) + ")")
-        alive = front.join(dominated.select(*by, *clock).distinct(), [*by, *clock], "left_anti")
-    return values.join(alive, [*by, *clock], "left_semi")
+        alive = _merged_fronts(materialise(front, "clocks"), keys, counts)
+    same = F.lit(True)
+    alive = alive.select(*[F.col(c).alias(f"_{c}") for c in (*keys, *counts)])
+    for c, k in (*zip(by, keys, strict=True), *zip(clock, counts, strict=True)):
+        mine = values[c] if k in keys else F.coalesce(values[c].cast("long"), least)
+        same &= mine.eqNullSafe(F.col(f"_{k}"))
+    return values.join(alive, same, "left_semi")
+
+
+def _merged_fronts(front: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """The clocks (distinct rows of keys and counts) that no other clock of their key dominates."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        # a clock is only dominated by one that comes before it in this order
+        part = part.sort_values(counts, ascending=False, kind="stable")
+        points, kept = part[counts].to_numpy(), np.zeros((0, len(counts)), np.int64)
+        alive = np.zeros(len(part), bool)
+        for at, point in enumerate(points):
+            if not (kept >= point).all(axis=1).any():
+                alive[at] = True
+                kept = np.append(kept, point[None], axis=0)
+        return part[alive]
+
+    sizes = materialise(front.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / FRONT)).cast("int")
+    same = F.lit(True)
+    for k in keys:
+        same &= front[k].eqNullSafe(sizes[k])
+    rows = front.join(sizes, same).select(*[front[c] for c in (*keys, *counts)], F.pmod(F.xxhash64(*[front[c] for c in counts]), parts).cast("int").alias("part"))
+    schema = rows.schema
+    left = max(1, -(-most // FRONT))
+    while True:
+        rows = materialise(rows.groupBy(*keys, "part").applyInPandas(run, schema), "fronts")
+        if left == 1:
+            return rows.select(*keys, *counts)
+        left = -(-left // 2)
+        rows = rows.withColumn("part", F.floor(F.col("part") / 2).cast("int"))
 
 
 def log_digest(log: DataFrame, by: Sequence[str], item: str) -> DataFrame:

@@ -1,4 +1,11 @@
-"""Runs, turns, folds and sessions: gaps-and-islands windows over an ordered key."""
+"""Runs, turns, folds and sessions: gaps-and-islands over an ordered key.
+
+All of them are scans (``scans.scan``); ``split`` cuts keys that hold much of the data into parts, with the same result.
+
+Defined cases: null keys are one key; nulls order first; rows that tie in ``order`` come in any order, so it should end
+with a unique column; repeated rows count each for itself; a column named like an output is replaced, all others keep
+their values; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,64 +14,72 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.scans import Split, scan
+
 
 def micros(ts: Column) -> Column:
     """Microseconds of an instant, with or without time zone."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _running(by: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _counted(df: DataFrame, by: Sequence[str], order: Sequence[str], before: Column, begins, name: str, split: Split) -> DataFrame:
+    """``df`` with ``name``: how many rows up to each ``begins`` holds for, a condition on the row (named ``row``) and ``before`` of the row before it."""
+    rows = df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(f"key{k}") for k, c in enumerate([*by, *order])], before.alias("value"))
+    keys, places = [f"key{k}" for k in range(len(by))], [f"key{k}" for k in range(len(by), len(by) + len(order))]
+    rows = scan(rows, keys, places, before={"before": F.col("value")}, split=split)
+    rows = scan(rows, keys, places, sums={"n": F.when(begins, 1).otherwise(0)}, split=split)
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != name], F.col("n").cast("long").alias(name))
 
 
-def number_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str = "run_no") -> DataFrame:
-    """Numbers maximal runs of equal ``value`` from 1."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    changed = F.when(before.isNotNull() & before.eqNullSafe(F.col(value)), 0).otherwise(1)
-    return df.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(_running(by, order)).cast("long")).drop("_changed")
+def number_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str = "run_no", split: Split = None) -> DataFrame:
+    """Numbers maximal runs of equal ``value`` from 1; nulls make runs of their own, one each."""
+    same = F.col("before").isNotNull() & F.col("before").eqNullSafe(F.col("value"))
+    return _counted(df, by, order, F.col(value), ~same, name, split)
 
 
-def number_after(df: DataFrame, by: Sequence[str], order: Sequence[str], marker: Column, name: str, keep_markers: bool) -> DataFrame:
+def number_after(df: DataFrame, by: Sequence[str], order: Sequence[str], marker: Column, name: str, keep_markers: bool, split: Split = None) -> DataFrame:
     """Numbers the stretches that begin at a marker; rows before the first have 0."""
-    out = df.withColumn("_marker", marker).withColumn(name, F.sum(F.when(F.col("_marker"), 1).otherwise(0)).over(_running(by, order)).cast("long"))
-    return (out if keep_markers else out.filter(~F.col("_marker"))).drop("_marker")
+    out = scan(df, by, order, sums={name: F.when(marker, 1).otherwise(0)}, split=split).withColumn(name, F.col(name).cast("long"))
+    return out if keep_markers else out.filter(~F.coalesce(marker, F.lit(False)))
 
 
-def fold_lines(df: DataFrame, by: Sequence[str], order: str, header: Column, text: str, joiner: str = "\n") -> DataFrame:
-    """Header lines with their continuation lines joined; lines before the first header are dropped."""
-    rows = number_after(df, by, [order], header, "fold", keep_markers=True).filter("fold > 0")
+def fold_lines(df: DataFrame, by: Sequence[str], order: str, header: Column, text: str, joiner: str = "\n", split: Split = None) -> DataFrame:
+    """Header lines with their continuation lines joined; lines before the first header are dropped. A fold is one value."""
+    rows = number_after(df, by, [order], header, "fold", keep_markers=True, split=split).filter("fold > 0")
     parts = F.sort_array(F.collect_list(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t"))))
     return rows.groupBy(*by, "fold").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(parts, lambda p: p["t"]), joiner).alias("body"))
 
 
-def number_sessions(df: DataFrame, by: Sequence[str], ts: str, tie: str, gap_seconds: int, name: str = "session_no") -> DataFrame:
+def number_sessions(df: DataFrame, by: Sequence[str], ts: str, tie: str, gap_seconds: int, name: str = "session_no", split: Split = None) -> DataFrame:
     """A new session begins after a gap of more than ``gap_seconds``."""
-    before = F.lag(ts).over(Window.partitionBy(*by).orderBy(ts, tie))
-    gap = micros(F.col(ts)) - micros(before)
-    return number_after(df, by, [ts, tie], before.isNull() | (gap > gap_seconds * 1_000_000), name, keep_markers=True)
+    gap = F.col("value") - F.col("before")
+    return _counted(df, by, [ts, tie], micros(F.col(ts)), F.col("before").isNull() | (gap > gap_seconds * 1_000_000), name, split)
 
 
-def number_heads(df: DataFrame, by: Sequence[str], order: str, level: str, levels: int, starred: Column | None = None, appendix: Column | None = None) -> DataFrame:
+def number_heads(df: DataFrame, by: Sequence[str], order: str, level: str, levels: int, starred: Column | None = None, appendix: Column | None = None, split: Split = None) -> DataFrame:
     """``number`` of nested heads (1, 1.1, 1.2, 2, …): each level counts within its ancestors and begins anew under the next.
 
     ``starred`` heads have no number and count for none. From the first row that ``appendix`` marks on, outermost heads
-    count anew, as letters (after Z as A27 and so on).
+    count anew, as letters (after Z as A27 and so on). A level that is null or not below ``levels`` counts for none.
     """
     counted = F.lit(True) if starred is None else ~F.coalesce(starred, F.lit(False))
-    out, within = df.withColumn("_counted", counted), list(by)
-    if appendix is not None:
-        out = out.withColumn("_late", F.max(F.coalesce(appendix, F.lit(False))).over(_running(by, [order])))
-        within.append("_late")
+    late = F.lit(False) if appendix is None else F.coalesce(appendix, F.lit(False))
+    keys = [f"key{k}" for k in range(len(by))]
+    rows = df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(order).alias("place"), F.col(level).alias("level"), counted.alias("counted"), late.cast("int").alias("marked"))
+    if appendix is None:
+        rows = rows.withColumn("late", F.lit(False))
+    else:
+        rows = scan(rows, keys, ["place"], sums={"late": F.col("marked")}, split=split).withColumn("late", F.col("late") > 0)
+    within = [*keys, "late"]
     for k in range(levels):
-        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_n{k}", F.sum(F.when((F.col(level) == k) & F.col("_counted"), 1).otherwise(0)).over(w))
-        within.append(f"_n{k}")
-    names = [F.col(f"_n{k}").cast("string") for k in range(levels)]
+        rows = scan(rows, within, ["place"], sums={f"n{k}": F.when((F.col("level") == k) & F.col("counted"), 1).otherwise(0)}, split=split)
+        within.append(f"n{k}")
+    names = [F.col(f"n{k}").cast("string") for k in range(levels)]
     if appendix is not None:
-        letter = F.when(F.col("_n0") <= 26, F.char(64 + F.col("_n0"))).otherwise(F.concat(F.lit("A"), names[0]))
-        names[0] = F.when(F.col("_late"), letter).otherwise(names[0])
-    number = F.concat_ws(".", *[F.when(F.col(level) >= k, names[k]) for k in range(levels)])
-    return out.withColumn("number", F.when(F.col("_counted"), number)).drop("_counted", "_late", *[f"_n{k}" for k in range(levels)])
+        letter = F.when(F.col("n0") <= 26, F.char(64 + F.col("n0"))).otherwise(F.concat(F.lit("A"), names[0]))
+        names[0] = F.when(F.col("late"), letter).otherwise(names[0])
+    number = F.concat_ws(".", *[F.when(F.col("level") >= k, names[k]) for k in range(levels)])
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "number"], F.when(F.col("counted"), number).alias("number"))
 
 
 def pair_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column, key: str, open_name: str, close_name: str) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.asof import asof
+from loomline.operators.scans import Split, scan
 
 
-def ticks(events: DataFrame, by: Sequence[str], order: Sequence[str], delta: str, name: str = "tick") -> DataFrame:
-    """Running sums of delta ticks by track."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(name, F.sum(delta).over(w))
+def ticks(events: DataFrame, by: Sequence[str], order: Sequence[str], delta: str, name: str = "tick", split: Split = None) -> DataFrame:
+    """Running sums of delta ticks by track; ``split`` cuts tracks that hold much of the data."""
+    return scan(events, by, order, sums={name: F.col(delta)}, split=split)
 
 
 def tempo_map(changes: DataFrame, by: Sequence[str], tick: str, rate: str) -> DataFrame:

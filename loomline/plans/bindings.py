@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as fn
-from loomline.operators import clocks, facts, islands, links, notes, trees, usage, versions
+from loomline.operators import clocks, facts, islands, links, notes, spans, trees, usage, versions
 from loomline.operators.asof import asof
+from loomline.operators.scans import RANGES
 from loomline.plans.registry import ORACLES, QUERIES, events, query, table  # noqa: F401
 from loomline.sources import documents as nested
 from loomline.sources import journal, transcripts
@@ -355,6 +356,23 @@ def byte_span(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.hex(fn.byte_span(F.col("text"), 100, 50)).alias("span"))
 
 
+@query("""WITH w AS (SELECT l_orderkey AS doc, l_linenumber AS no, l_suppkey % 100 AS source, l_partkey % 300 AS start, l_quantity::BIGINT AS length,
+    sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 100, l_partkey % 300, l_quantity ROWS UNBOUNDED PRECEDING) AS until, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 100, l_partkey % 300, l_quantity) AS place FROM lineitem),
+a AS (SELECT o_orderkey AS id, o_custkey % 80 AS s, o_custkey % 80 + 1 + o_orderkey % 90 AS e FROM orders), t AS (SELECT doc, max(until) AS total FROM w GROUP BY doc),
+p AS (SELECT id, place, row_number() OVER (PARTITION BY id ORDER BY place) AS piece, source, (start + greatest(s, until - length) - (until - length))::BIGINT AS start, (least(e, until) - greatest(s, until - length))::BIGINT AS length, e > total AS cut
+      FROM a JOIN w ON w.doc = a.id AND s < until AND e > until - length JOIN t ON t.doc = a.id)
+SELECT id, piece, start, length::BIGINT AS length, CASE WHEN cut THEN 'cut at the end' END AS problem, substr(hex(encode(text)), (2 * start + 1)::BIGINT, (2 * p.length)::BIGINT) AS bytes FROM p LEFT JOIN documents ON doc_id = p.source
+UNION ALL SELECT id, NULL, NULL, NULL, 'no such place', NULL FROM a LEFT JOIN t ON t.doc = a.id WHERE total IS NULL OR s >= total""")
+def virtual_ranges(spark, sf_dir):
+    """Every order's lines as spans of a hundred documents, and of each such whole one range, as bytes of the documents."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("no"), (F.col("l_suppkey") % 100).alias("source"), (F.col("l_partkey") % 300).alias("start"), F.col("l_quantity").cast("long").alias("length"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 80).alias("start"), (1 + F.col("o_orderkey") % 90).alias("length"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
+    pieces = spans.resolve(asked, spans.placed(lines)).join(texts, "source", "left")
+    span = F.expr("substring(encode(text, 'UTF-8'), CAST(start + 1 AS INT), CAST(length AS INT))")
+    return pieces.select("id", "piece", "start", "length", "problem", F.hex(span).alias("bytes"))
+
+
 @query("""WITH w AS (SELECT page_id, len(regexp_extract_all(html, '[^ \\t\\n\\x0B\\f\\r]+')) AS n_source, len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^ \\t\\n\\x0B\\f\\r]+')) AS n_text FROM pages)
 SELECT page_id, n_source::BIGINT AS n_source, n_text::BIGINT AS n_text, round(n_text / greatest(n_source, 1), 6) AS coverage, n_text / greatest(n_source, 1) < 0.85 AS low FROM w""")
 def coverage_ratio(spark, sf_dir):
@@ -394,6 +412,19 @@ def time_per_node(spark, sf_dir):
     return usage.time_per_node(_sessions(spark, sf_dir), ["user_id", "session_no"], "ts", "event_id", "event_type")
 
 
+@query("""WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS u, event_id, ts, event_type FROM events),
+l AS (SELECT *, lag(ts) OVER w AS p, lag(event_type) OVER w AS b FROM e WINDOW w AS (PARTITION BY u ORDER BY ts, event_id)),
+n AS (SELECT *, sum((p IS NULL OR epoch_us(ts) - epoch_us(p) > 60000000)::INT) OVER w AS session_no, sum((b IS DISTINCT FROM event_type)::INT) OVER w AS run_no FROM l WINDOW w AS (PARTITION BY u ORDER BY ts, event_id))
+SELECT u AS user_id, count(DISTINCT session_no) AS n_sessions, count(DISTINCT run_no) AS n_runs, sum(session_no * event_id)::BIGINT AS sessions_sum, sum(run_no * event_id)::BIGINT AS runs_sum FROM n GROUP BY u""")
+def hot_sessions(spark, sf_dir):
+    """Sessions (a gap of over a minute) and runs where one user has every third event, in parts of a range of the key each."""
+    rows = events(spark, sf_dir).select(F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("user_id"), "event_id", "ts", "event_type")
+    rows = islands.number_sessions(rows, ["user_id"], "ts", "event_id", 60, split=RANGES)
+    rows = islands.number_runs(rows, ["user_id"], ["ts", "event_id"], "event_type", split=lambda ts: F.date_trunc("day", ts))
+    sums = [F.sum(F.col(c) * F.col("event_id")).alias(n) for c, n in (("session_no", "sessions_sum"), ("run_no", "runs_sum"))]
+    return rows.groupBy("user_id").agg(F.countDistinct("session_no").alias("n_sessions"), F.countDistinct("run_no").alias("n_runs"), *sums)
+
+
 @query("SELECT (props->>'$.k')::BIGINT % 5 AS depth, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
 def depth_hist(spark, sf_dir):
     return usage.depth_histogram(events(spark, sf_dir), F.get_json_object("props", "$.k").cast("long") % 5, F.col("event_type") == "view")
@@ -451,6 +482,14 @@ def mvr_survivors(spark, sf_dir):
     return clocks.survivors(rows, ["o_custkey"], ["x", "y"]).select("o_custkey", "x", "y")
 
 
+@query("""WITH c AS (SELECT DISTINCT l_suppkey AS k, l_quantity::BIGINT AS x, (l_discount * 100)::BIGINT AS y, day(l_shipdate) AS z FROM lineitem)
+SELECT k, x, y, z FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.k = c.k AND o.x >= c.x AND o.y >= c.y AND o.z >= c.z AND (o.x > c.x OR o.y > c.y OR o.z > c.z))""")
+def mvr_front(spark, sf_dir):
+    """Every supplier's register under clocks of three peers: what no other write dominates."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").cast("long").alias("x"), F.round(F.col("l_discount") * 100).cast("long").alias("y"), F.dayofmonth("l_shipdate").alias("z"))
+    return clocks.survivors(lines.distinct(), ["k"], ["x", "y", "z"])
+
+
 @query("SELECT user_id, count(*) AS n, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS digest FROM events GROUP BY user_id")
 def log_digest(spark, sf_dir):
     return clocks.log_digest(events(spark, sf_dir), ["user_id"], "event_id")
