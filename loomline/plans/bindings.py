@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as fn
-from loomline.operators import clocks, facts, islands, links, notes, spans, trees, usage, versions
+from loomline.operators import clocks, facts, islands, journal_report, journal_text, links, notes, spans, trees, usage, versions
 from loomline.operators.asof import asof
 from loomline.operators.scans import RANGES
 from loomline.plans.registry import ORACLES, QUERIES, events, query, table  # noqa: F401
 from loomline.sources import documents as nested
 from loomline.sources import journal, transcripts
+from loomline.storage import materialise, shared_path
 from loomline.streaming import log as logs
 
 # As-of joins
@@ -517,13 +518,62 @@ def journal_decode(spark, sf_dir):
     body = F.concat(F.encode(F.lit("é"), "UTF-8"), face, F.encode(tail, "UTF-8"))
     named = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 4, "0")), body)
     op = F.concat(F.encode("kind", "UTF-8"), text(tail), F.when(F.col("kind").isin("c", "s"), named).otherwise(F.unhex(F.lit(""))))
-    blocks = rows.withColumn("op", F.hex(op)).groupBy("user_id", F.floor(F.col("n") / 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "op"))).alias("ops"))
+    return journal.operations(_packed(rows.withColumn("op", F.hex(op)))).select("file", "block_idx", "op_idx", "kind", "a", "b")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(file, content): journals of a thousand blocks of ten operations each, from (user_id, n, op: an operation's bytes as hex)."""
+    blocks = rows.groupBy("user_id", F.floor(F.col("n") / 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "op"))).alias("ops"))
     whole = F.array_join(F.transform("ops", lambda o: o["op"]), "")
     blocks = blocks.select("user_id", "block", F.concat(F.lit("74"), F.lpad(F.hex("block"), 8, "0"), F.lpad(F.hex((F.length(whole) / 2).cast("long")), 8, "0"), whole).alias("hex"))
     files = blocks.groupBy("user_id", F.floor(F.col("block") / 1000).alias("part")).agg(F.sort_array(F.collect_list(F.struct("block", "hex"))).alias("b"))
     content = F.unhex(F.concat(F.lit("475A5A30" + "0" * 24), F.array_join(F.transform("b", lambda x: x["hex"]), "")))
-    ops = journal.operations(files.select(F.concat(F.lit("journal-"), F.col("user_id"), F.lit("-"), F.col("part")).alias("file"), content.alias("content")))
-    return ops.select("file", "block_idx", "op_idx", "kind", "a", "b")
+    return files.select(F.concat(F.lit("journal-"), F.col("user_id"), F.lit("-"), F.col("part")).alias("file"), content.alias("content"))
+
+
+_JOURNALS = """o AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'd+' WHEN 'signup' THEN 'd-' ELSE 's' END AS kind, (event_id % 9)::VARCHAR AS a, (event_id // 9 % 9)::VARCHAR AS b,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+j AS (SELECT 'journal-' || user_id || '-' || n // 10000 AS file, kind, a, b, (n // 10 % 1000) * 100 + CASE kind WHEN 'c' THEN 10 WHEN 's' THEN 20 ELSE 0 END + n % 10 AS seq FROM o),
+p AS (SELECT file, a AS src, arg_max(kind, seq) AS kind, arg_max(b, seq) AS dst, max(seq) AS seq FROM j WHERE kind IN ('c', 'd+') GROUP BY ALL),
+m AS (SELECT file, dst, arg_max(kind, seq) AS kind, max(seq) AS seq FROM (SELECT file, CASE kind WHEN 'c' THEN b ELSE a END AS dst, kind, seq FROM j WHERE kind IN ('c', 'd-')) GROUP BY ALL),
+e AS (SELECT p.file, p.src, p.dst FROM p JOIN m ON m.file = p.file AND m.dst = p.dst AND m.seq = p.seq WHERE p.kind = 'c' AND m.kind = 'c')"""
+
+
+def _journals(spark, sf_dir) -> DataFrame:
+    """Decoded journals of each user over nine cells."""
+    kind = F.when(F.col("event_type") == "click", "c").when(F.col("event_type") == "error", "d+").when(F.col("event_type") == "signup", "d-").otherwise("s")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    names = [(F.col("event_id") % 9).cast("string"), (F.floor(F.col("event_id") / 9) % 9).cast("string")]
+    a, b = (F.concat(F.lit("0001"), F.hex(F.encode(c, "UTF-8"))) for c in names)
+    op = F.concat(F.hex(F.encode("kind", "UTF-8")), a, F.when(F.col("kind").isin("c", "s"), b).otherwise(""))
+    rows = events(spark, sf_dir).withColumn("kind", kind).select("user_id", n.alias("n"), op.alias("op"))
+    return journal.operations(_packed(rows))
+
+
+@query(f"WITH {_JOURNALS} SELECT file, src, dst FROM e")
+def replayed_journals(spark, sf_dir):
+    """Journals decoded, put into the order of a replay, and replayed."""
+    ops = journal.in_order(_journals(spark, sf_dir))
+    cell = [F.struct("file", F.col(c).alias("cell")).alias(c) for c in ("a", "b")]
+    return links.replay(ops.select("kind", *cell, "seq")).select("src.file", F.col("src.cell").alias("src"), F.col("dst.cell").alias("dst"))
+
+
+@query(f"WITH {_JOURNALS} SELECT file, CASE WHEN bool_or(kind = 's') AND bool_or(kind <> 's') THEN 'mixed' WHEN bool_or(kind = 's') THEN 'content' ELSE 'dimension' END AS kind FROM j GROUP BY file")
+def journal_kinds(spark, sf_dir):
+    return journal_report.kinds(_journals(spark, sf_dir), ["file"])
+
+
+@query(f"""WITH {_JOURNALS}, c AS (SELECT file, count(*) AS n, max(seq // 100) AS last, array_to_string(list_filter([CASE WHEN count(*) FILTER (kind = 'c') > 0 THEN 'connect=' || count(*) FILTER (kind = 'c') END,
+    CASE WHEN count(*) FILTER (kind = 'd+') > 0 THEN 'disconnect(+)=' || count(*) FILTER (kind = 'd+') END, CASE WHEN count(*) FILTER (kind = 'd-') > 0 THEN 'disconnect(-)=' || count(*) FILTER (kind = 'd-') END,
+    CASE WHEN count(*) FILTER (kind = 's') > 0 THEN 'set-text=' || count(*) FILTER (kind = 's') END], lambda x: x IS NOT NULL), ', ') AS t FROM j GROUP BY file),
+l AS (SELECT file, 0 AS k, '1. WHAT THIS FILE IS' AS line FROM c UNION ALL SELECT file, 1, 'File        : ' || file FROM c UNION ALL SELECT file, 2, 'Blocks      : ' || last + 1 || '  (stamps 0 to ' || last || ')' FROM c UNION ALL SELECT file, 3, 'Operations  : ' || t FROM c)
+SELECT row_number() OVER (ORDER BY file, k) AS number, line FROM l""")
+def report_lines(spark, sf_dir):
+    """The overviews of all journals, written in order by several tasks and read back."""
+    ops = materialise(_journals(spark, sf_dir), "journals")
+    path = shared_path(spark, "report")
+    journal_text.write_lines(journal_text.overview(ops, ops.select("file")), path)
+    return journal_text.read_lines(spark, path)
 
 
 _FLAT = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"

@@ -164,3 +164,52 @@ def test_exports_that_cannot_be_read_are_named(spark):
     rows = documents.comments(df)
     assert [r["file"] for r in rows.collect()] == ["ok"]
     assert [r["depth"] for r in documents.blocks(rows, F.col("content")).orderBy("seq").collect()] == [0, 1, 2, 3]
+
+
+GOLDEN = """1. WHAT THIS FILE IS
+File        : d.one
+Blocks      : 2  (stamps 5 to 9)
+Operations  : connect=5, disconnect(+)=1, disconnect(-)=1, set-text=4
+2. HISTORY (one block per timestamp, in file order)
+Stamp 5  -  7 operation(s): 1 noop, 3 link, 3 text
+   Unlink #7: it had no - neighbour, so nothing changed
+   Link #1  →  #2
+   Link #2  →  #10
+   Link #9  →  #9
+   Set text of #1 to "a"
+   … and 2 more
+Stamp 9  -  4 operation(s): 1 unlink, 1 link, 1 noop, 1 meta
+   Unlink #1 from its + neighbour #2
+   Link #3  →  #10   (#10's old - neighbour #2 was detached)
+   Link #3  →  #10 (already linked, no change)
+   Save time recorded: 2024-01-01 00:00:00 UTC
+3. CURRENT STATE (after replaying every block)
+Linked cells  : 3
+Ranks         : 2  (1 linear, 1 circular)
+Link records  : 2
+Rank lengths  : 1 rank(s) of 1 cells
+Rank lengths  : 1 rank(s) of 2 cells
+Rank 1 (2 cells): #3  →  #10
+Rank 2 (1 cells, circular): #9
+1. WHAT THIS FILE IS
+File        : e.empty
+Blocks      : 0
+2. HISTORY (one block per timestamp, in file order)
+(no blocks: nothing was ever stored in this file)
+3. CURRENT STATE (after replaying every block)
+No cell is linked on this dimension."""
+
+
+def test_reports_of_journals(spark, tmp_path):
+    from loomline.operators import journal_text
+
+    first = [("c", "1", "2"), ("s", "1", "a"), ("s", "1", "b"), ("c", "2", "10"), ("d-", "7", None), ("c", "9", "9"), ("s", "2", "")]
+    second = [("c", "3", "10"), ("s", "savetime", "1704067200000"), ("d+", "1", None), ("c", "3", "10")]
+    content = spark.createDataFrame([("d.one", j.encode([(5, first), (9, second)]))], "file string, content binary")
+    lines = journal_text.report(j.operations(content), spark.createDataFrame([("e.empty",)], "file string"), most=5)
+    path = str(tmp_path / "report")
+    journal_text.write_lines(lines, path, files=3)
+    got = [r["line"] for r in journal_text.read_lines(spark, path).orderBy("number").collect()]
+    assert got == GOLDEN.split("\n")
+    files = sorted((tmp_path / "report").glob("part*"))
+    assert len(files) > 1 and "".join(f.read_text() for f in files) == GOLDEN + "\n"
