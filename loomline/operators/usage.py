@@ -49,6 +49,19 @@ def shared_level(ts: Column, level: str) -> Column:
     return F.date_trunc(units[level], ts)
 
 
+def report(df: DataFrame, by: Sequence[str], person: str) -> DataFrame:
+    """(by, n_events, n_persons, is_total): one row for each group, and the totals over all in a row whose ``by`` are null."""
+    keys = [F.grouping(c) for c in by]
+    whole = keys[0] if keys else F.lit(1)
+    out = df.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(F.count("*").alias("n_events"), F.countDistinct(person).alias("n_persons"), (whole == 1).alias("is_total"))
+    return out.select(*by, "n_events", "n_persons", "is_total")
+
+
+def at_level(df: DataFrame, ts: str, level: str, person: str) -> DataFrame:
+    """(at, n_events, n_persons): what a sharing level (session, weekly, monthly or raw) tells."""
+    return df.groupBy(shared_level(F.col(ts), level).alias("at")).agg(F.count("*").alias("n_events"), F.countDistinct(person).alias("n_persons"))
+
+
 def depth_histogram(events: DataFrame, depth: Column, opened: Column) -> DataFrame:
     """(depth, n) of the events that open something."""
     return events.filter(opened).groupBy(depth.alias("depth")).agg(F.count("*").alias("n"))

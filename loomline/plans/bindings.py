@@ -386,9 +386,8 @@ def coverage_ratio(spark, sf_dir):
 FROM events GROUP BY user_id, day""")
 def kind_flags(spark, sf_dir):
     """By user and day, for over all days every user is mixed."""
-    text, link = F.bool_or(F.col("event_type") == "signup"), F.bool_or(F.col("event_type") != "signup")
-    days = events(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day"))
-    return days.agg(F.when(text & link, "mixed").when(text, "content").otherwise("dimension").alias("kind"))
+    ops = events(spark, sf_dir).select("user_id", F.col("ts").cast("date").alias("day"), F.when(F.col("event_type") == "signup", "s").otherwise("c").alias("kind"))
+    return journal_report.kinds(ops, ["user_id", "day"])
 
 
 # Reading analytics (designs only, where the operators come from); a session ends after a gap of 30 minutes
@@ -431,9 +430,19 @@ def depth_hist(spark, sf_dir):
     return usage.depth_histogram(events(spark, sf_dir), F.get_json_object("props", "$.k").cast("long") % 5, F.col("event_type") == "view")
 
 
-@query("SELECT hour(ts)::INTEGER AS hour, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
+@query("SELECT hour(ts)::INTEGER AS hour, event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users, grouping(hour(ts)) = 1 AS is_total FROM events GROUP BY GROUPING SETS ((hour(ts), event_type), ())")
 def usage_report(spark, sf_dir):
-    return events(spark, sf_dir).groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
+    """Events and users by hour and kind, and the totals."""
+    rows = events(spark, sf_dir).select(F.hour("ts").alias("hour"), "event_type", "user_id")
+    return usage.report(rows, ["hour", "event_type"], "user_id").withColumnRenamed("n_persons", "n_users")
+
+
+@query("""SELECT level, CASE level WHEN 'session' THEN date_trunc('hour', ts) WHEN 'weekly' THEN date_trunc('week', ts) ELSE date_trunc('month', ts) END::DATE::VARCHAR AS day, hour(CASE level WHEN 'session' THEN ts ELSE date_trunc('day', ts) - INTERVAL 0 HOUR END) * (level = 'session')::INTEGER AS hour,
+  count(*) AS n_events, count(DISTINCT user_id) AS n_persons FROM events, (SELECT unnest(['session', 'weekly', 'monthly']) AS level) GROUP BY ALL""")
+def sharing_levels(spark, sf_dir):
+    """What each sharing level tells of all events."""
+    told = [usage.at_level(events(spark, sf_dir), "ts", level, "user_id").select(F.lit(level).alias("level"), F.date_format("at", "yyyy-MM-dd").alias("day"), F.hour("at").alias("hour"), "n_events", "n_persons") for level in ("session", "weekly", "monthly")]
+    return told[0].union(told[1]).union(told[2])
 
 
 @query(f"""WITH {_SESSIONS}, l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id)) - epoch_us(ts) AS d FROM s)
@@ -642,6 +651,39 @@ def log_stream(spark, sf_dir):
     return logs.lengths(logs.replicated(spark, stream), ["user_id"], "props")
 
 
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_different FROM events GROUP BY 1")
+def log_subscribed(spark, sf_dir):
+    """Every block of the log through a subscriber that files each batch under its number."""
+    schema = table(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ")
+    out = shared_path(spark, "subscribed")
+    logs.subscribe(logs.open_log(spark, "parquet", sf_dir, schema, glob="events.parquet"), lambda blocks, batch: blocks.write.mode("overwrite").parquet(f"{out}/blocks/batch={batch}"), f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/blocks").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_different"))
+
+
+@query("""SELECT s_nationkey::VARCHAR AS owner, count(*) AS revision, s_suppkey::VARCHAR AS cell, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::VARCHAR AS next FROM supplier GROUP BY s_nationkey, s_suppkey""".replace("count(*) AS revision", "sum(count(*)) OVER (PARTITION BY s_nationkey)::BIGINT AS revision"))
+def snapshot_files(spark, sf_dir):
+    """A structure of each nation's suppliers, one file an owner, written and read back."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    names = [F.col("s_suppkey").cast("string").alias("cellId"), F.lit("d1").alias("dimensionId"), F.lag("s_suppkey").over(w).cast("string").alias("negwardId"), F.lead("s_suppkey").over(w).cast("string").alias("poswardId")]
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("ownerId"), *names)
+    cells = rows.select("ownerId", F.col("cellId").alias("id"), F.lit("plain").alias("kind"))
+    dims = rows.select("ownerId", F.lit("d1").alias("id"), F.lit("user").alias("namespace"), F.lit("next").alias("name")).distinct()
+    path = shared_path(spark, "structures")
+    nested.write_snapshots(nested.snapshot_json(cells, dims, rows, rows.groupBy("ownerId").agg(F.count("*").alias("revision"))), path)
+    read = nested.read_snapshots(spark, f"{path}/*/*")["connections"]
+    return read.select(F.col("ownerId").alias("owner"), "revision", F.col("cellId").alias("cell"), F.col("poswardId").alias("next"))
+
+
+@query("""SELECT id, arg_max(c_custkey, c_custkey)::VARCHAR AS handle FROM (SELECT c_custkey, (c_custkey // 3)::VARCHAR AS id FROM customer) GROUP BY id""")
+def last_users(spark, sf_dir):
+    """Every nation's customers as a user file in which three share an id; the last one of the last file counts."""
+    key = F.format_string("%012d", "c_custkey")
+    one = F.struct(F.floor(F.col("c_custkey") / 3).cast("string").alias("id"), F.col("c_custkey").cast("string").alias("handle"))
+    files = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 1000).alias("part")).agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), one.alias("u")))).alias("us"))
+    text = F.to_json(F.struct(F.transform("us", lambda x: x["u"]).alias("users")))
+    return nested.users(files.select(F.format_string("users-%09d", "part").alias("file"), text.alias("text"))).select("id", "handle")
+
+
 # Numbering of nested heads, and sketches of note streams
 
 

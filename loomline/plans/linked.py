@@ -109,6 +109,38 @@ def splice_requests(spark, sf_dir):
     return told.select("owner", "seq", "status", none.cast("long").alias("src"), none.cast("long").alias("dst")).union(after.select("owner", none.cast("long"), none.cast("string"), "src", "dst"))
 
 
+@query("""WITH q AS (SELECT o_custkey AS owner, o_orderkey AS seq, CASE WHEN o_orderpriority = '1-URGENT' THEN 'gone' ELSE 'c' || o_custkey END AS of, 'k' || o_orderkey AS clone FROM orders),
+g AS (SELECT *, lag(clone) OVER (PARTITION BY owner ORDER BY seq) AS before, lead(clone) OVER (PARTITION BY owner ORDER BY seq) AS later FROM q WHERE of <> 'gone')
+SELECT owner, seq, CASE WHEN of = 'gone' THEN 'unknown_cell' ELSE 'ok' END AS status, NULL AS src, NULL AS dst FROM q
+UNION ALL SELECT owner, NULL, NULL, of, clone FROM g WHERE later IS NULL UNION ALL SELECT owner, NULL, NULL, clone, before FROM g WHERE before IS NOT NULL""")
+def made_clones(spark, sf_dir):
+    """Every order asks for a clone of its customer's cell, urgent ones for that of a cell that isn't there."""
+    orders = table(spark, sf_dir, "orders")
+    of = F.when(F.col("o_orderpriority") == "1-URGENT", "gone").otherwise(F.concat(F.lit("c"), F.col("o_custkey")))
+    asked = orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("seq"), of.alias("of"), F.concat(F.lit("k"), F.col("o_orderkey")).alias("clone"))
+    cells = orders.select(F.col("o_custkey").alias("owner"), F.concat(F.lit("c"), F.col("o_custkey")).alias("cell")).distinct()
+    none = spark.createDataFrame([], "owner long, dim string, src string, dst string").select(F.col("owner").cast(dict(asked.dtypes)["owner"]).alias("owner"), "dim", "src", "dst")
+    told, _, after = store.make_clones(asked, cells, none)
+    null = F.lit(None)
+    return told.select("owner", "seq", "status", null.cast("string").alias("src"), null.cast("string").alias("dst")).union(after.select("owner", null.cast("long"), null.cast("string"), "src", "dst"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, coalesce(p_size::VARCHAR, '?') AS number FROM lineitem LEFT JOIN part ON p_partkey + 40 = l_partkey""")
+def label_numbers(spark, sf_dir):
+    """Every line refers to a part by a label; labels are numbered 40 above the parts, so the first have none."""
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_partkey").cast("string").alias("ref"))
+    labels = table(spark, sf_dir, "part").select((F.col("p_partkey") + 40).cast("string").alias("label"), F.col("p_size").cast("string").alias("number"))
+    return facts.label_refs(refs, labels, "ref")[0].select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "number")
+
+
+@query("""SELECT event_id, coalesce(c_mktsegment, CASE WHEN event_type = 'error' THEN 'part of a name' ELSE 'unknown' END) AS meaning FROM events LEFT JOIN customer ON c_custkey = user_id AND event_type <> 'error'""")
+def described_names(spark, sf_dir):
+    """Names of dimensions (every user's), with a colon for errors, and what a glossary of customers says of them."""
+    name = F.when(F.col("event_type") == "error", F.concat(F.lit("n:"), F.col("user_id"))).otherwise(F.concat(F.lit("n"), F.col("user_id")))
+    glossary = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("meaning"))
+    return journal_report.described(events(spark, sf_dir).select("event_id", name.alias("name")), "name", glossary, "part of a name", "unknown").select("event_id", "meaning")
+
+
 @query(f"""WITH {_FRESH}, q AS (SELECT n_regionkey::VARCHAR AS owner, n_nationkey AS seq, 'n' || n_nationkey % 2 AS ns, substr(n_name, 1, 1) AS name FROM nation),
 g AS (SELECT *, 'cell:' || ns || '.' || name AS cell FROM q QUALIFY row_number() OVER (PARTITION BY owner, ns, name ORDER BY seq) = 1),
 r AS (SELECT owner, cell, lag(cell) OVER (PARTITION BY owner ORDER BY seq) AS prev, lead(cell) OVER (PARTITION BY owner ORDER BY seq) AS next, lag(cell) OVER (PARTITION BY owner, ns ORDER BY seq) AS sibling, ns FROM g)
