@@ -108,6 +108,52 @@ def missing(mine: DataFrame, theirs: DataFrame, item: str) -> DataFrame:
     return a.join(b, item, "left_anti").withColumn("missing_in", F.lit("theirs")).union(b.join(a, item, "left_anti").withColumn("missing_in", F.lit("mine")))
 
 
+#: Bits that a level of a digest tree adds to the ranges of the one above.
+FAN = 4
+
+
+def digest_tree(log: DataFrame, item: str, levels: int = 4) -> DataFrame:
+    """(level, range, n, digest): counts and digests of a log's ids by ranges of their hash, 16 times as many on each level.
+
+    A digest is the sum and the exclusive or of the ids' hashes, so it is additive: no id is gathered. Repeated ids count once.
+    """
+    ids = log.select(F.col(item).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
+    ids = ids.select(F.xxhash64("id").alias("h"), F.xxhash64(F.lit("second"), "id").alias("g"))
+    leaf = FAN * levels
+    leaves = materialise(ids.groupBy(F.shiftrightunsigned("h", 64 - leaf).alias("leaf")).agg(F.count("*").alias("n"), F.sum(F.col("g").cast("decimal(38,0)")).alias("s"), F.bit_xor("g").alias("x")), "leaves")
+    each = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("leaf"), (levels - k) * FAN).alias("range")))
+    rows = leaves.select(F.explode(each).alias("at"), "n", "s", "x").groupBy("at.level", "at.range")
+    return rows.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws(":", F.sum("s"), F.bit_xor("x")), 256).alias("digest"))
+
+
+def differing_ranges(mine: DataFrame, theirs: DataFrame, levels: int = 4) -> DataFrame:
+    """(range): the ranges of the last level in which two digest trees differ. Only what lies below a differing range is compared."""
+    open_ = None
+    for level in range(1, levels + 1):
+        sides = []
+        for tree in (mine, theirs):
+            rows = tree.filter(F.col("level") == level).select("range", "n", "digest")
+            if open_ is not None:
+                rows = rows.withColumn("above", F.shiftright("range", FAN)).join(open_.toDF("above"), "above", "left_semi").drop("above")
+            sides.append(rows)
+        a, b = sides[0].toDF("range", "n", "digest"), sides[1].toDF("range", "n2", "digest2")
+        both = a.join(b, "range", "full_outer")
+        open_ = materialise(both.filter(~F.col("digest").eqNullSafe(F.col("digest2"))).select("range"), "differing")
+        if not open_.head(1):
+            break
+    return open_
+
+
+def missing_by_ranges(mine: DataFrame, theirs: DataFrame, item: str, levels: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(item, missing_in) like ``missing``, and the ids (item, side) that had to be exchanged for it: those of differing ranges only."""
+    ranges = differing_ranges(digest_tree(mine, item, levels), digest_tree(theirs, item, levels), levels)
+    place = F.shiftrightunsigned(F.xxhash64(F.col(item).cast("string")), 64 - FAN * levels).alias("range")
+    sent = [df.select(item, place).join(ranges, "range", "left_semi").select(item).distinct() for df in (mine, theirs)]
+    told = materialise(sent[0].withColumn("side", F.lit("mine")).union(sent[1].withColumn("side", F.lit("theirs"))), "exchanged")
+    found = missing(told.filter("side = 'mine'"), told.filter("side = 'theirs'"), item)
+    return found, told
+
+
 def resolve_concurrent(ops: DataFrame, by: Sequence[str], kind: str, peer: str, text: str = "set-text") -> DataFrame:
     """(by, winner, n): of concurrent ops that all set a text, the lowest peer's wins; any other kind makes a conflict, without winner."""
     only = F.bool_and(F.col(kind) == text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators import clocks, facts, journal_report, links, store, versions
+from loomline.operators import chunks, clocks, facts, journal_report, links, store, versions
 from loomline.plans.registry import events, query, table
 
 # Structures
@@ -307,3 +307,27 @@ def clock_orders(spark, sf_dir):
 def concurrent_edits(spark, sf_dir):
     ops = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_linenumber") % 5 == 0, "move").otherwise("set-text").alias("kind"))
     return clocks.resolve_concurrent(ops, ["l_orderkey"], "kind", "l_suppkey")
+
+
+@query("""SELECT event_id, CASE WHEN event_id + 30 <= (SELECT max(event_id) FROM events) THEN NULL ELSE 'theirs' END AS missing_in FROM events WHERE event_id + 30 > (SELECT max(event_id) FROM events)
+UNION ALL SELECT -1 - event_id, 'mine' FROM events WHERE event_id < 3""")
+def missing_ops(spark, sf_dir):
+    """Two logs of all events that differ in a few: one lacks the last thirty, the other has three more. Found by digests of ranges."""
+    mine = events(spark, sf_dir).select("event_id")
+    last = mine.agg(F.max("event_id").alias("last"))
+    theirs = mine.join(F.broadcast(last), F.col("event_id") + 30 <= F.col("last")).select("event_id").union(mine.filter("event_id < 3").select(-1 - F.col("event_id")))
+    return clocks.missing_by_ranges(mine, theirs, "event_id")[0]
+
+
+@query(None)
+def chunked_versions(spark, sf_dir):
+    """Two versions of every document, the second with a sentence before and one in the middle, as shared chunks: sums of each version.
+
+    SQL can't tell chunks; ``tests/test_chunks.py`` reads every version back.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.lit("A new beginning. "), F.substring("text", F.lit(1), half), F.lit(" Something between. "), F.substring("text", half + 1, F.length("text")))
+    rows = docs.select("doc_id", F.lit(1).alias("version"), "text").union(docs.select("doc_id", F.lit(2), edited))
+    pieces = chunks.split(rows, ["doc_id", "version"], "text")
+    return chunks.saving(chunks.manifest(pieces, ["doc_id", "version"]), ["version"])
