@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators import chunks, clocks, facts, journal_report, links, store, versions
+from loomline.operators import chunks, clocks, facts, journal_report, journal_text, links, store, versions
 from loomline.plans.registry import events, query, table
+from loomline.sources import cellstore, documents
+from loomline.storage import materialise, shared_path
 
 # Structures
 
@@ -331,3 +333,26 @@ def chunked_versions(spark, sf_dir):
     rows = docs.select("doc_id", F.lit(1).alias("version"), "text").union(docs.select("doc_id", F.lit(2), edited))
     pieces = chunks.split(rows, ["doc_id", "version"], "text")
     return chunks.saving(chunks.manifest(pieces, ["doc_id", "version"]), ["version"])
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders)
+SELECT o_orderkey || '|orders' AS cell, 'total ' || o_custkey || chr(10) || 'of ' || o_orderkey AS text, NULL AS dst FROM orders UNION ALL SELECT src || '|orders', NULL, dst || '|orders' FROM e WHERE dst IS NOT NULL""")
+def cell_store(spark, sf_dir):
+    """Every order as a cell of a text store, linked with its customer's next, written as lines and read back."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    around = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"))
+
+    def cell(c: str):
+        return F.concat(F.col(c), F.lit("|orders"))
+
+    def record(key, value):
+        return F.when(value.isNotNull(), F.array(F.concat(F.lit(cellstore.KEY), key), F.concat(F.lit(cellstore.VAL), value))).otherwise(F.array().cast("array<string>"))
+
+    text = F.concat(F.lit("total "), F.col("o_custkey"), F.lit("^nof "), F.col("o_orderkey"))
+    here = cell("o_orderkey")
+    lines = F.concat(record(here, text), record(F.concat(here, F.lit("-d.next")), cell("before")), record(F.concat(here, F.lit("+d.next")), cell("after")))
+    path = shared_path(spark, "cells")
+    journal_text.write_lines(around.select("o_orderkey", F.posexplode(lines).alias("k", "line")), path, ["o_orderkey", "k"])
+    now = materialise(cellstore.current(cellstore.read_records(spark, path).withColumn("file", F.lit("store"))), "records")
+    null = F.lit(None).cast("string")
+    return cellstore.cells(now).select("cell", "text", null.alias("dst")).union(documents.mirrored(cellstore.connections(now)).select("src", null, "dst"))
