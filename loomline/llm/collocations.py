@@ -35,7 +35,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Frequent phrases that are sent as sorted hashes (8 bytes each), and bits of the map beyond that (16 MB).
 LIMIT, BITS = 2_000_000, 27
 #: Rows of a level that may be broadcast to the next one's counts.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: Phrases that a task counts before it hands its counts on.
 FLUSH = 2_000_000
 STEP_BYTES, STEP_ROWS = 8 << 20, 8192
