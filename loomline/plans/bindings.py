@@ -14,6 +14,7 @@ from loomline.sources import documents as nested
 from loomline.sources import journal, transcripts
 from loomline.storage import materialise, shared_path
 from loomline.streaming import log as logs
+from loomline.streaming import sessions
 
 # As-of joins
 
@@ -651,6 +652,21 @@ def log_stream(spark, sf_dir):
     return logs.lengths(logs.replicated(spark, stream), ["user_id"], "props")
 
 
+@query("""WITH l AS (SELECT *, lag(ts) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum((p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1800000000)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l)
+SELECT user_id::VARCHAR AS "user", min(event_id) AS first_event, count(*) AS n_events, string_agg(event_type, '>' ORDER BY event_id) AS path FROM n GROUP BY user_id, k
+HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""")
+def session_paths(spark, sf_dir):
+    """Sessions of the events as a stream, with their paths in the order of event ids (the logical clock): those closed an hour before the last event."""
+    schema = table(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ")
+    rows = logs.open_log(spark, "parquet", sf_dir, schema, glob="events.parquet")
+    out = shared_path(spark, "sessions")
+    sessions.follow(rows.select("event_id", F.col("user_id").cast("string").alias("user"), F.concat_ws("|", "event_type", "event_id").alias("node"), F.col("event_id").alias("clock"), F.col("ts").cast("timestamp").alias("at")), f"{out}/sessions", f"{out}/checkpoint")
+    told = spark.read.parquet(f"{out}/sessions")
+    first = F.substring_index(F.get("path", 0), "|", -1).cast("long")
+    return told.select("user", first.alias("first_event"), "n_events", F.array_join(F.transform("path", lambda p: F.substring_index(p, "|", 1)), ">").alias("path"))
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_different FROM events GROUP BY 1")
 def log_subscribed(spark, sf_dir):
     """Every block of the log through a subscriber that files each batch under its number."""
