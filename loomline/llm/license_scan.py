@@ -8,6 +8,12 @@ Where a text repeats a notice, its words aren't unique in the whole text; then w
 template's locally rarest words are aligned instead (so many of them that a coverage over the threshold can't avoid
 them all). A bound that can't lose a match comes first: no alignment covers more than the multiset of common words.
 
+An alignment counts where it stands: one whose words are spread over ``SPREAD`` times its template's length or more is
+no license notice but common words of a long text, and is left out, whatever it covers; so a notice that is cut up by
+as much other text as that isn't found. Windows of templates of ``LONG`` words and more are widened to a grid of an eighth of the
+template, so that near ones are tried once; a widened window holds all of the exact one, but words that occur again in what is
+added are unique no more, which ``cover``'s recursion into gaps makes up for except at the seams.
+
 Templates are of two kinds. Lines, grants and headers are notices: their coverage is of the notice, not of the license it
 names. Those named ``-text`` are whole licenses, from ``license_texts``. The words in ``REQUIRED`` tell a template from
 its relatives (name and version): only an alignment counts that has them side by side. Of whole texts and grants found
@@ -34,6 +40,8 @@ from pyspark.sql import functions as F
 from loomline.llm.shared import ASCII_LOWER, slices, text_bytes, word_hashes, word_spans
 
 THRESHOLD = 0.8
+#: Times its template's length from which on an alignment is spread too far to be a notice.
+SPREAD = 2
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 # Notices of public licenses.
@@ -202,7 +210,7 @@ def cover(template: Sequence, text: Sequence, places: Sequence[int], threshold:
         found = patience(template, text[lo:hi])
         if found and beside(found, lo):
             first, last = places[lo + found[0][1]], places[lo + found[-1][1]]
-            if last - first < 2 * size and (len(found), -first) > (best[0], -best[1]):
+            if last - first < SPREAD * size and (len(found), -first) > (best[0], -best[1]):
                 best = (len(found), first, last)
 
     consider(0, len(text))
