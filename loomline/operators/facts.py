@@ -1,4 +1,13 @@
-"""Facts with history: current values, trails, connections and references."""
+"""Facts with history: current values, trails, connections and references.
+
+Defined cases: null keys are one key where rows are grouped (latest, trail, histories, movements, top rows) and match
+nothing where rows refer (pull, resolve, label_refs, access_status; ``find_or_create`` makes a null key like any other
+that isn't there, ``find_or_create_compound`` finds it); a null value is a value in ``latest`` and histories, and left out
+of ``trail``; of rows that tie in ``order`` any one may count, so it should end with a unique column; repeated rows count
+each, but in sets (both_ways, members, find_or_create) once; a row of ``upsert`` whose fields are null changes nothing;
+empty tables give no rows. Columns whose names begin with an underscore are the operators' own; any other name of a
+caller's is kept, but for one that an output is named like, which is replaced.
+"""
 
 from __future__ import annotations
 
@@ -87,10 +96,17 @@ def first_found(candidates: DataFrame, by: Sequence[str], priority: str, found:
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The first n rows of each group, each with ``hidden``: how many more the group has."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_rn", F.row_number().over(w.orderBy(*order))).withColumn("hidden", F.greatest(F.count("*").over(w) - n, F.lit(0)))
-    return rows.filter(F.col("_rn") <= n).drop("_rn")
+    """The first n rows of each group, each with ``hidden``: how many more the group has.
+
+    Groups are counted by partial sums, and of each group only n rows of every task are shuffled, however large it is.
+    """
+    kept = [c for c in df.columns if c != "hidden"]
+    first = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n)
+    sizes = df.groupBy(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= first[c].eqNullSafe(sizes[f"_by{k}"])
+    return first.join(sizes, same).select(*[first[c] for c in kept], F.greatest(F.col("_n") - n, F.lit(0)).alias("hidden"))
 
 
 def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,11 @@
-"""Note streams: ticks, tempo, pairing, chords, merging and stateless transforms (designs only, where the operators come from)."""
+"""Note streams: ticks, tempo, pairing, chords, merging and stateless transforms (designs only, where the operators come from).
+
+Defined cases: null keys are one key; a null delta adds nothing; of rows that tie in ``order`` any may come first, so it should
+end with a unique column; repeated notes sound, and pair, each for itself; a note that ends where it begins, or before,
+sounds nowhere; a closing row without an open one is dropped, an open one without closing stays with null; a track
+without end has none after merging; transforms leave values they don't name as they are, nulls included; empty tables give no
+rows. Columns whose names begin with an underscore are the operators' own.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,11 @@
-"""Reading analytics: sessions, time per node, reports and their suppression."""
+"""Reading analytics: sessions, time per node, reports and their suppression.
+
+Defined cases: null keys, nodes and levels are groups of their own; null persons are counted in events, not in persons; null
+instants begin no gap and measure nothing; events that tie in time are ordered by the tie column; repeated rows count each, but
+once among different persons, sessions and nodes; a group under k persons is left out whole; a record without purposes
+or expiry is not permitted and stays for ever; empty tables give no rows, nor totals. Columns whose
+names begin with an underscore are the operators' own.
+"""
 
 from __future__ import annotations
 

@@ -120,3 +120,23 @@ def test_sharing_levels(spark):
         usage.shared_level(F.col("ts"), "daily")
     row = spark.sql("SELECT TIMESTAMP '2024-05-16 13:45:01' AS ts").select(*[usage.shared_level(F.col("ts"), k).cast("string") for k in ("raw", "session", "weekly", "monthly")]).first()
     assert [r[:13] for r in row] == ["2024-05-16 13", "2024-05-16 13", "2024-05-13 00", "2024-05-01 00"]
+
+
+def test_defined_cases_of_facts(spark):
+    df = spark.createDataFrame([(None, 1, 5, 9), (None, 2, 6, 9), (None, 3, 7, 9), ("a", 1, None, 9)], "k string, o int, v int, hidden int")
+    got = sorted((r["k"] or "", r["o"], r["hidden"]) for r in facts.top_per_group(df, ["k"], ["o"], 2).collect())
+    assert got == [("", 1, 1), ("", 2, 1), ("a", 1, 0)]
+    assert {r["k"]: r["v"] for r in facts.latest(df, ["k"], "v", ["o"]).collect()} == {None: 7, "a": None}
+    keys = spark.createDataFrame([(None,), ("a",), ("a",)], "k string")
+    assert {r["k"]: r["created"] for r in facts.find_or_create(keys, keys, "k").collect()} == {None: True, "a": False}
+    assert {r["k"]: r["created"] for r in facts.find_or_create_compound(keys, keys, ["k"]).collect()} == {None: False, "a": False}
+    assert facts.top_per_group(df.limit(0), ["k"], ["o"], 2).collect() == []
+
+
+def test_defined_cases_of_reports(spark):
+    from loomline.operators import usage
+
+    df = spark.createDataFrame([(None, "p"), (None, None), (1, "p")], "g int, who string")
+    rows = {(r["g"], r["is_total"]): (r["n_events"], r["n_persons"]) for r in usage.report(df, ["g"], "who").collect()}
+    assert rows == {(None, False): (2, 1), (1, False): (1, 1), (None, True): (3, 1)}
+    assert usage.report(df.limit(0), ["g"], "who").collect() == []
