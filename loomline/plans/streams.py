@@ -27,14 +27,14 @@ def chord_snapshots(spark, sf_dir):
     return notes.chords(rows, ["user_id"], "a", "b", "pitch").select("user_id", "at", F.array_join("pitches", ",").alias("pitches"))
 
 
-@query("""WITH e AS (SELECT user_id % 10 AS file, user_id AS track, event_id, event_id % 1000 AS tick, CASE WHEN event_type = 'error' THEN 'end' ELSE 'note' END AS kind FROM events),
+@query("""WITH e AS (SELECT user_id // 10 AS file, user_id AS track, event_id, event_id % 1000 AS tick, CASE WHEN event_type = 'error' THEN 'end' ELSE 'note' END AS kind FROM events),
 l AS (SELECT * FROM e WHERE kind = 'end' QUALIFY row_number() OVER (PARTITION BY file ORDER BY tick DESC, track DESC, event_id DESC) = 1),
 m AS (SELECT *, 0 AS z FROM e WHERE kind <> 'end' UNION ALL SELECT file, track, event_id, greatest(tick, (SELECT max(tick) FROM e WHERE e.file = l.file AND (kind <> 'end' OR e.event_id = l.event_id))), kind, 1 FROM l)
 SELECT file, event_id, row_number() OVER w AS place, tick - coalesce(lag(tick) OVER w, 0) AS delta FROM m WINDOW w AS (PARTITION BY file ORDER BY z, tick, track, event_id)""")
 def merged_tracks(spark, sf_dir):
-    """Ten files of one track a user; every error ends its track."""
+    """Files of ten tracks, one a user; every error ends its track."""
     kind = F.when(F.col("event_type") == "error", "end").otherwise("note")
-    rows = events(spark, sf_dir).select((F.col("user_id") % 10).alias("file"), F.col("user_id").alias("track"), "event_id", (F.col("event_id") % 1000).alias("tick"), kind.alias("kind"))
+    rows = events(spark, sf_dir).select(F.floor(F.col("user_id") / 10).alias("file"), F.col("user_id").alias("track"), "event_id", (F.col("event_id") % 1000).alias("tick"), kind.alias("kind"))
     return notes.merge_tracks(rows, ["file"], "tick", "track", "event_id", "kind").select("file", "event_id", F.col("place").cast("long").alias("place"), "delta")
 
 
