@@ -732,10 +732,12 @@ def note_pairs_fifo(spark, sf_dir):
     return islands.pair_in_order(rows, ["user_id", "pitch"], ["ts", "event_id"], F.col("is_on"), "event_id", "on_id", "off_id").select("on_id", "off_id", "user_id", "pitch")
 
 
-@query(f"WITH {_NOTES} SELECT user_id, min(pitch) AS lowest, max(pitch) AS highest, count(*) AS n_notes FROM n WHERE is_on GROUP BY user_id")
+@query(f"WITH {_NOTES} SELECT user_id, min(pitch) AS lowest, max(pitch) AS highest, count(*) AS n_notes FROM n WHERE is_on GROUP BY GROUPING SETS ((user_id), ())")
 def note_ranges(spark, sf_dir):
+    """Of every user, and over all."""
     rows = events(spark, sf_dir, "click").select("user_id", (F.floor("value").cast("long") % 12).alias("pitch"))
-    return notes.ranges(rows, ["user_id"], "pitch")
+    whole = notes.ranges(rows, [], "pitch").select(F.lit(None).cast(dict(rows.dtypes)["user_id"]).alias("user_id"), "lowest", "highest", "n_notes")
+    return notes.ranges(rows, ["user_id"], "pitch").union(whole)
 
 
 @query("""WITH t AS (SELECT event_id, user_id, ts, event_id % 97 AS delta FROM events)
