@@ -148,10 +148,12 @@ def report(ops: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
     return overview(ops, names).union(history(ops, names, most)).union(state(ops, names, most))
 
 
-def write_lines(lines: DataFrame, path: str, order: Sequence[str] = tuple(_LINE[:-1]), text: str = "line", files: int | None = None) -> None:
+def write_lines(lines: DataFrame, path: str, order: Sequence[str] = tuple(_LINE[:-1]), text: str = "line", files: int | None = None, whole: int | None = None) -> None:
     """``text`` of all rows in ``order`` as text files (as many as their size asks for, or up to ``files``), whose names
-    follow that order: read one after the other they are the whole."""
-    ranged = lines.repartitionByRange(files, *order) if files else lines.repartitionByRange(*order)
+    follow that order: read one after the other they are the whole. Rows that agree in the first ``whole`` columns of
+    ``order`` are never parted by the end of a file."""
+    along = order[:whole]
+    ranged = lines.repartitionByRange(files, *along) if files else lines.repartitionByRange(*along)
     ranged.sortWithinPartitions(*order).select(F.col(text).alias("value")).write.text(path)
 
 

@@ -352,7 +352,7 @@ def cell_store(spark, sf_dir):
     here = cell("o_orderkey")
     lines = F.concat(record(here, text), record(F.concat(here, F.lit("-d.next")), cell("before")), record(F.concat(here, F.lit("+d.next")), cell("after")))
     path = shared_path(spark, "cells")
-    journal_text.write_lines(around.select("o_orderkey", F.posexplode(lines).alias("k", "line")), path, ["o_orderkey", "k"])
+    journal_text.write_lines(around.select("o_orderkey", F.posexplode(lines).alias("k", "line")), path, ["o_orderkey", "k"], whole=1)
     now = materialise(cellstore.current(cellstore.read_records(spark, path).withColumn("file", F.lit("store"))), "records")
     null = F.lit(None).cast("string")
     return cellstore.cells(now).select("cell", "text", null.alias("dst")).union(documents.mirrored(cellstore.connections(now)).select("src", null, "dst"))

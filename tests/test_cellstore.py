@@ -35,3 +35,30 @@ def test_a_file_over_several_tasks(spark, tmp_path):
         assert c.connections(now).filter(F.col("poswardId") != F.concat(F.substring_index("cellId", "|", 1).cast("int") + 1, F.lit("|s"))).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_of_a_store_hold_whole_records(spark, tmp_path):
+    """The end of a file parts no key from its value."""
+    from loomline.operators import journal_text
+
+    n, per = 40, 400
+    lines = spark.range(n).select("id", F.posexplode(F.array_repeat(F.lit("x"), per)).alias("k", "x")).select("id", "k", F.when(F.col("k") % 2 == 0, F.concat(F.lit("KEY="), "id", F.lit("|"), "k")).otherwise(F.concat(F.lit("VAL="), "k")).alias("line"))
+    journal_text.write_lines(lines.repartition(7), str(tmp_path / "s"), ["id", "k"], files=9, whole=1)
+    ends = [(f.read_text().splitlines()[0][:4], f.read_text().splitlines()[-1][:4]) for f in (tmp_path / "s").glob("part-*")]
+    assert len(ends) > 5 and set(ends) == {("KEY=", "VAL=")}
+    rows = c.read_records(spark, str(tmp_path / "s"))
+    assert rows.filter("problem IS NOT NULL").count() == 0 and rows.select("key").distinct().count() == n * per // 2
+
+
+def test_cell_store_over_many_files(spark, monkeypatch):
+    """The query deals its lines over nine files, and all records are read back."""
+    from loomline.operators import journal_text
+    from loomline.plans import bindings as b
+
+    write = journal_text.write_lines
+    monkeypatch.setattr(journal_text, "write_lines", lambda lines, path, order, **kept: write(lines, path, order, files=9, **kept))
+    sf = "/root/testdata/sf0.001"
+    orders = b.table(spark, sf, "orders")
+    linked = orders.count() - orders.select("o_custkey").distinct().count()
+    got = b.QUERIES["cell_store"](spark, sf)
+    assert (got.filter("text IS NOT NULL").count(), got.filter("dst IS NOT NULL").count()) == (orders.count(), linked)
