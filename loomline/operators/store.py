@@ -7,6 +7,9 @@ exception.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +70,117 @@ def apply_links(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, li
 
     ``seq`` (a whole number) tells an owner's requests apart; null seqs, owners or cells are unknown_cell. Repeated requests,
     cells, dimensions and links count once. An empty batch leaves the links as they are.
+
+    Owners know nothing of each other: those of up to ``OWNER`` rows are dealt over the tasks, each replayed by one.
+    Larger ones, and names that are no plain values, are decided by joins and rounds, with the same result.
+    """
+    return _applied(requests, cells, dimensions, links)
+
+
+#: Rows (requests, cells, dimensions and links) of an owner that one task replays; larger owners are decided by joins.
+OWNER = 200_000
+
+
+def _applied(requests: DataFrame, cells: DataFrame | None, dimensions: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``apply_links``; where ``cells`` and ``dimensions`` are None, all that requests name exist."""
+    flags = [F.coalesce(c, F.lit(False)).alias(c) if c in requests.columns else F.lit(False).alias(c) for c in ("splice", "allow_self_ring")]
+    null, named, requests = F.lit(None), cells is None, requests.select("owner", "seq", "dim", "a", "b", *flags)
+    rows = requests.select("owner", F.lit(3).alias("kind"), *requests.columns[1:])
+    rows = rows.union(links.select("owner", F.lit(2), null, "dim", "src", "dst", null, null))
+    if not named:
+        rows = rows.union(cells.select("owner", F.lit(0), null, null, "cell", null, null, null)).union(dimensions.select("owner", F.lit(1), null, "dim", null, null, null, null))
+    rows = materialise(rows, "batch")
+    if any("<" in t for _, t in rows.dtypes):
+        return _joined(requests, *_existing(requests, cells, dimensions), links)
+    large = materialise(rows.groupBy("owner").count().filter(F.col("count") > OWNER).select("owner"), "large")
+    if not large.head(1):
+        return _replayed(rows, named)
+    small = _replayed(rows.join(F.broadcast(large), "owner", "left_anti").select(*rows.columns), named)
+    joined = _joined(*[t.join(F.broadcast(large), "owner", "left_semi").select(*t.columns) for t in (requests, *_existing(requests, cells, dimensions), links)])
+    return small[0].union(joined[0]), small[1].union(joined[1])
+
+
+def _existing(requests: DataFrame, cells: DataFrame | None, dimensions: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The cells and dimensions, or those that requests name."""
+    named = requests.select("owner", F.explode(F.array("a", "b")).alias("cell")) if cells is None else cells
+    return named, requests.select("owner", "dim") if dimensions is None else dimensions
+
+
+def _replayed(rows: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
+    """What ``apply_links`` gives, from rows (owner, kind, seq, dim, a, b, splice, allow_self_ring): cells (0), dimensions (1), links (2) and requests (3).
+
+    One shuffle by owner and one sort; a task goes through its owners one after the other and holds one owner's links.
     """
-    extra = [c for c in ("splice", "allow_self_ring") if c in requests.columns]
-    rows = requests.select("owner", "seq", "dim", "a", "b", *[F.coalesce(c, F.lit(False)).alias(c) if c in extra else F.lit(False).alias(c) for c in ("splice", "allow_self_ring")]).distinct()
-    links = links.select(*LINK).distinct()
+    names = ["owner", "seq", "dim", "a", "b"]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, schema = (), [], None
+
+        def left() -> list[tuple]:
+            return [(*now, None, *x, y, None) for x, y in behind.items()] + [(*now, None, *r, None) for r in odd] if now else []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema = schema or pa.schema([*map(batch.schema.field, names), pa.field("status", batch.schema.field("status").type)])
+            for owner, kind, seq, dim, a, b, splice, ring in zip(*(c.to_pylist() for c in batch.columns[:8]), strict=True):
+                if (owner,) != now:
+                    out += left()
+                    now, cells, dims, behind, before, odd, last = (owner,), set(), set(), {}, set(), set(), None
+                x, y = (dim, a), (dim, b)
+                after = behind.get(x)
+                if kind == 0:
+                    cells.add(a)
+                elif kind == 1:
+                    dims.add(dim)
+                elif kind == 2:
+                    if b is None:
+                        continue
+                    if owner is None or dim is None or a is None or after not in (None, b):
+                        odd.add((dim, a, b))  # a link that nothing asks for, or that breaks Restriction R already, stays
+                    else:
+                        behind[x] = b
+                    if a is not None:
+                        before.add(y)
+                else:
+                    if last is None or last[0] != seq:
+                        last = (seq, set())
+                    if (asked := (x, y, splice, ring)) in last[1]:
+                        continue
+                    last[1].add(asked)
+                    if a is not None and a == b and not ring:
+                        status = "self_link_forbidden"
+                    elif owner is None or seq is None or a is None or b is None or not (named or (a in cells and b in cells)):
+                        status = "unknown_cell"
+                    elif dim is None or not (named or dim in dims):
+                        status = "unknown_dimension"
+                    elif after is not None and after == b:
+                        status = "ok"
+                    elif y in before or (after is not None and (not splice or y in behind)):
+                        status = "already_linked" if splice else "restriction_r_violation"
+                    else:
+                        status = "ok"
+                        if after is not None:
+                            behind[y] = after
+                        behind[x] = b
+                        before.add(y)
+                    out.append((owner, seq, dim, a, b, status))
+            if out:
+                yield told()
+                out = []
+        if out := left():
+            yield told()
+
+    dealt = rows.repartition("owner").sortWithinPartitions("owner", "kind", "seq").withColumn("status", F.lit(None).cast("string"))
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*names).dtypes)
+    done = materialise(dealt.mapInArrow(replay, f"{kinds}, status string"), "replayed")
+    return done.filter("status IS NOT NULL").select("owner", "seq", "dim", "a", "b", "status"), done.filter("status IS NULL").select("owner", "dim", F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _joined(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``apply_links`` gives, for owners of any size."""
+    rows, links = requests.distinct(), links.select(*LINK).distinct()
     known = cells.select("owner", "cell").distinct()
     for side in "ab":
         rows = rows.join(known.select("owner", F.col("cell").alias(side), F.lit(True).alias(f"_{side}")), ["owner", side], "left")
@@ -273,8 +383,7 @@ def splice(links: DataFrame, inserts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The statuses are those of ``apply_links``; all cells and dimensions named in ``inserts`` are taken to exist.
     """
-    cells = inserts.select("owner", F.explode(F.array("a", "b")).alias("cell"))
-    return apply_links(inserts.select("owner", "seq", "dim", "a", "b", F.lit(True).alias("splice")), cells, inserts.select("owner", "dim"), links)
+    return _applied(inserts.select("owner", "seq", "dim", "a", "b", F.lit(True).alias("splice")), None, None, links)
 
 
 def make_clones(requests: DataFrame, cells: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

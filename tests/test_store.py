@@ -178,3 +178,28 @@ def test_imports_leave_the_foreign_structure_alone(spark):
 def test_numbers_come_before_names(spark):
     rows = spark.createDataFrame([("home",), ("100",), ("9",), ("10",), ("007",), ("a1",), ("123456789012345678901234567890123456789012",)], "cell string")
     assert [r["cell"] for r in rows.orderBy(*store.by_id(F.col("cell"))).collect()] == ["007", "9", "10", "100", "123456789012345678901234567890123456789012", "a1", "home"]
+
+
+@pytest.mark.parametrize("owner, component", [(200_000, 200_000), (0, 200_000), (0, 0), (150, 200_000)])
+def test_owners_are_replayed_or_joined_with_one_result(spark, owner, component, monkeypatch):
+    monkeypatch.setattr(store, "OWNER", owner)
+    monkeypatch.setattr(store, "COMPONENT", component)
+    rng = random.Random(5)
+    names = [str(k) for k in range(9)]
+    cells, dims = {(o, c) for o in "uvw" for c in names}, {(o, d) for o in "uvw" for d in "xy"}
+    there = [("u", "x", "0", "1"), ("u", "x", "1", "2"), ("v", "x", "3", "3"), ("w", "y", "2", "0"), ("only", "y", "2", "0")]
+    requests = [(rng.choice("uuuuvw"), k, rng.choice("xxyz"), rng.choice([*names, "gone"]), rng.choice(names), rng.random() < 0.7, rng.random() < 0.5) for k in range(200)]
+    requests += [*requests[:3], (None, 300, "x", "4", "5", True, False), ("u", 301, None, "4", "5", True, False), ("u", 302, "x", "4", None, True, False)]
+    expected, links = one_after_the_other(requests, cells, dims, there)
+    told, after = applied(spark, [*requests, ("u", None, "x", "4", "5", True, False)], cells, dims, there)
+    assert told == expected | {("u", None): "unknown_cell"} and sorted(after) == sorted(links)
+
+
+def test_many_small_owners_take_one_shuffle(spark, monkeypatch):
+    """No join and no round for owners that a task can replay: six tables were written for each round before."""
+    written = []
+    write = store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df, name: written.append(name) or write(df, name))
+    rows = spark.range(400).select((F.col("id") % 90).alias("owner"), F.lit("d").alias("dim"), F.col("id").alias("seq"), (F.col("id") % 3).alias("a"), (F.col("id") + 10).alias("b"))
+    told, after = store.splice(spark.createDataFrame([], "owner long, dim string, src long, dst long"), rows)
+    assert told.filter("status = 'ok'").count() == 400 == after.count() and written == ["batch", "large", "replayed"]
