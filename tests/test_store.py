@@ -203,3 +203,15 @@ def test_many_small_owners_take_one_shuffle(spark, monkeypatch):
     rows = spark.range(400).select((F.col("id") % 90).alias("owner"), F.lit("d").alias("dim"), F.col("id").alias("seq"), (F.col("id") % 3).alias("a"), (F.col("id") + 10).alias("b"))
     told, after = store.splice(spark.createDataFrame([], "owner long, dim string, src long, dst long"), rows)
     assert told.filter("status = 'ok'").count() == 400 == after.count() and written == ["batch", "large", "replayed"]
+
+
+def test_clones_of_many_owners_take_one_replay(spark, monkeypatch):
+    written = []
+    write = store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df, name: written.append(name) or write(df, name))
+    asked = spark.range(300).select((F.col("id") % 70).alias("owner"), F.col("id").alias("seq"), F.lit("c").alias("of"), F.concat(F.lit("k"), F.col("id") % 280).alias("clone"))
+    cells = spark.range(60).select(F.col("id").alias("owner"), F.lit("c").alias("cell"))
+    told, new, after = store.make_clones(asked, cells, spark.createDataFrame([], "owner long, dim string, src string, dst string"))
+    ok = sum(k % 70 < 60 for k in range(280))  # the last twenty clones are there already
+    assert {r["status"]: r["count"] for r in told.groupBy("status").count().collect()} == {"ok": ok, "already_linked": 20, "unknown_cell": 280 - ok} and new.count() == after.count() == ok
+    assert written == ["clones", "batch", "large", "replayed"]
