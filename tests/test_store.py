@@ -215,3 +215,14 @@ def test_clones_of_many_owners_take_one_replay(spark, monkeypatch):
     ok = sum(k % 70 < 60 for k in range(280))  # the last twenty clones are there already
     assert {r["status"]: r["count"] for r in told.groupBy("status").count().collect()} == {"ok": ok, "already_linked": 20, "unknown_cell": 280 - ok} and new.count() == after.count() == ok
     assert written == ["clones", "batch", "large", "replayed"]
+
+
+@pytest.mark.parametrize("name", ["splice_requests"])
+def test_batches_of_requests_take_one_replay(spark, name, monkeypatch):
+    from loomline.plans import bindings as b
+
+    written = []
+    write = store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df, name: written.append(name) or write(df, name))
+    b.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written == ["batch", "large", "replayed"]
