@@ -217,7 +217,7 @@ def test_clones_of_many_owners_take_one_replay(spark, monkeypatch):
     assert written == ["clones", "batch", "large", "replayed"]
 
 
-@pytest.mark.parametrize("name", ["splice_requests"])
+@pytest.mark.parametrize("name", ["splice_requests", "link_requests"])
 def test_batches_of_requests_take_one_replay(spark, name, monkeypatch):
     from loomline.plans import bindings as b
 
