@@ -56,24 +56,26 @@ def number_sessions(df: DataFrame, by: Sequence[str], ts: str, tie: str, gap_sec
     return _counted(df, by, [ts, tie], micros(F.col(ts)), F.col("before").isNull() | (gap > gap_seconds * 1_000_000), name, split)
 
 
-def number_heads(df: DataFrame, by: Sequence[str], order: str, level: str, levels: int, starred: Column | None = None, appendix: Column | None = None, split: Split = None) -> DataFrame:
+def number_heads(df: DataFrame, by: Sequence[str], order: str | Sequence[str], level: str, levels: int, starred: Column | None = None, appendix: Column | None = None, split: Split = None) -> DataFrame:
     """``number`` of nested heads (1, 1.1, 1.2, 2, …): each level counts within its ancestors and begins anew under the next.
 
     ``starred`` heads have no number and count for none. From the first row that ``appendix`` marks on, outermost heads
     count anew, as letters (after Z as A27 and so on). A level that is null or not below ``levels`` counts for none.
+    All levels are counted over the whole key in one order; what had been counted at the last outer head is taken off.
     """
     counted = F.lit(True) if starred is None else ~F.coalesce(starred, F.lit(False))
     late = F.lit(False) if appendix is None else F.coalesce(appendix, F.lit(False))
-    keys = [f"key{k}" for k in range(len(by))]
-    rows = df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(order).alias("place"), F.col(level).alias("level"), counted.alias("counted"), late.cast("int").alias("marked"))
-    if appendix is None:
-        rows = rows.withColumn("late", F.lit(False))
-    else:
-        rows = scan(rows, keys, ["place"], sums={"late": F.col("marked")}, split=split).withColumn("late", F.col("late") > 0)
-    within = [*keys, "late"]
-    for k in range(levels):
-        rows = scan(rows, within, ["place"], sums={f"n{k}": F.when((F.col("level") == k) & F.col("counted"), 1).otherwise(0)}, split=split)
-        within.append(f"n{k}")
+    order = [order] if isinstance(order, str) else order
+    keys, places = [f"key{k}" for k in range(len(by))], [f"place{k}" for k in range(len(order))]
+    rows = df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(k) for c, k in zip([*by, *order], [*keys, *places], strict=True)], F.col(level).alias("level"), counted.alias("counted"), late.cast("int").alias("marked"))
+    within = keys
+    if appendix is not None:
+        rows = scan(rows, keys, places, sums={"late": F.col("marked")}, split=split).withColumn("late", F.col("late") > 0)
+        within = [*keys, "late"]
+    rows = scan(rows, within, places, sums={f"n{k}": F.when((F.col("level") == k) & F.col("counted"), 1).otherwise(0) for k in range(levels)}, split=split)
+    if levels > 1:
+        rows = scan(rows, within, places, lasts={f"past{k}": F.when((F.col("level") < k) & (F.col("level") >= 0) & F.col("counted"), F.col(f"n{k}")) for k in range(1, levels)}, split=split)
+        rows = rows.withColumns({f"n{k}": F.col(f"n{k}") - F.coalesce(f"past{k}", F.lit(0)) for k in range(1, levels)})
     names = [F.col(f"n{k}").cast("string") for k in range(levels)]
     if appendix is not None:
         letter = F.when(F.col("n0") <= 26, F.char(64 + F.col("n0"))).otherwise(F.concat(F.lit("A"), names[0]))

@@ -704,10 +704,10 @@ def last_users(spark, sf_dir):
 
 
 def _section_numbers(lines: DataFrame) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    heads = lines.withColumn("seq", F.row_number().over(w).cast("long"))
-    heads = heads.select("l_orderkey", "seq", F.when(F.col("seq") == 1, 0).otherwise(F.col("l_quantity").cast("int") % 3).alias("level"))
-    return islands.number_heads(heads, ["l_orderkey"], "seq", "level", 3).select("l_orderkey", "seq", "number")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    heads = lines.withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long"))
+    heads = heads.select("l_orderkey", *order, "seq", F.when(F.col("seq") == 1, 0).otherwise(F.col("l_quantity").cast("int") % 3).alias("level"))
+    return islands.number_heads(heads, ["l_orderkey"], order, "level", 3).select("l_orderkey", "seq", "number")
 
 
 @query("""WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_quantity::INTEGER % 3 AS raw FROM lineitem),

@@ -80,3 +80,11 @@ def test_a_chain_of_100_000_nodes(spark):
     chain = spark.range(100_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(0).alias("sort"))
     bad = trees.preorder(chain).filter("root <> 0 OR depth <> id OR pos <> id OR size <> 100000 - id OR root IS NULL")
     assert bad.count() == 0 and time.time() - began < 120
+
+
+def test_heads_of_all_levels_are_counted_in_one_order(spark):
+    """One shuffle and one sort, also behind the window that tells the places: four of each before."""
+    from loomline.plans import bindings as b
+
+    plan = b.QUERIES["section_numbers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
