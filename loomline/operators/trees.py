@@ -44,29 +44,31 @@ def preorder(nodes: DataFrame, split: Split = None) -> DataFrame:
     No node holds its path. Going up, every node looks to the ancestor 2, 4, 8, … above it and hands it what it has
     counted, so sizes of n levels take log2(n) rounds; a node's place among its siblings follows from their sizes (one
     running sum, cut by ``split`` where a node may have very many children), and the same jumps add these offsets up from
-    the root. A round that brings no node to its root leaves cycles only.
+    the root. A round that brings no node to its root leaves cycles only. All joins are by shuffles, so that nothing
+    passes through the driver, however well the tables compress; roots, which look no further, are dealt by their ids.
     """
     rows = nodes.groupBy("id").agg(F.min(F.struct("sort", "parent")).alias("n")).select("id", "n.sort", "n.parent")
     known = rows.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
-    rows = rows.withColumn("up", F.col("parent")).join(known, "up", "left").select("id", "sort", F.when(F.col("_there"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("size"))
+    rows = rows.withColumn("up", F.coalesce("parent", "id")).join(known.hint("merge"), "up", "left").select("id", "sort", F.when(F.col("_there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("size"))
     jumps = [materialise(rows, "threads")]
     rooted = jumps[0].filter("up IS NULL").count()
     while jumps[-1].filter("up IS NOT NULL").head(1):
         now = jumps[-1]
         below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("below"))
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-        step = now.join(below, "id", "left").join(above, "up", "left")
+        above = now.select(F.col("id").alias("_to"), F.col("up").alias("up2"))
+        step = now.join(below.hint("merge"), "id", "left").withColumn("_to", F.coalesce("up", "id")).join(above.hint("merge"), "_to", "left")
         jumps.append(materialise(step.select("id", F.col("up2").alias("up"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), "threads"))
         before, rooted = rooted, jumps[-1].filter("up IS NULL").count()
         if rooted == before:
             break
-    sized = jumps[0].drop("size").join(jumps[-1].select("id", "size"), "id")
+    sized = jumps[0].drop("size").join(jumps[-1].select("id", "size").hint("merge"), "id")
     offsets = scan(sized, ["up"], ["sort", "id"], sums={"_ahead": F.col("size")}, split=split)
     offset = F.when(F.col("up").isNull(), 0).otherwise(F.col("_ahead") - F.col("size") + 1)
     told = materialise(offsets.select("id", "size", offset.alias("pos"), F.when(F.col("up").isNull(), F.struct("id", "sort")).alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), "places")
     for jump in jumps[:-1]:
-        at = told.select(F.col("id").alias("up"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        step = told.join(jump.filter("up IS NOT NULL").select("id", "up"), "id", "left").join(at, "up", "left")
+        at = told.select(F.col("id").alias("_to"), *[F.col(c).alias(f"_{c}") for c in ("pos", "root", "depth")])
+        step = told.join(jump.filter("up IS NOT NULL").select("id", "up").hint("merge"), "id", "left").withColumn("_to", F.coalesce("up", "id")).join(at.hint("merge"), "_to", "left")
+        step = step.select("*", *[F.when(F.col("up").isNotNull(), F.col(f"_{c}")).alias(f"{c}2") for c in ("pos", "root", "depth")])
         before, told = told, materialise(step.select("id", "size", (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.coalesce("root", "root2").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "places")
         discard(before)
     discard(*jumps)

@@ -88,3 +88,16 @@ def test_heads_of_all_levels_are_counted_in_one_order(spark):
 
     plan = b.QUERIES["section_numbers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_preorder_broadcasts_nothing(spark, monkeypatch):
+    """Tables that compress well were broadcast, by way of the driver."""
+    from loomline.operators import trees
+
+    plans = []
+    write = trees.materialise
+    monkeypatch.setattr(trees, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    nodes = spark.range(200).selectExpr("id", "CASE WHEN id > 3 THEN id div 4 END AS parent", "id AS sort")
+    got = {r["id"]: (r["root"], r["depth"], r["size"]) for r in trees.preorder(nodes).collect()}
+    assert got[0] == (0, 0, 1) and got[199] == (3, 3, 1) and got[3] == (3, 0, 29) and len(got) == 200
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
