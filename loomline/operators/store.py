@@ -81,22 +81,25 @@ def apply_links(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, li
 OWNER = 200_000
 
 
-def _applied(requests: DataFrame, cells: DataFrame | None, dimensions: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``apply_links``; where ``cells`` and ``dimensions`` are None, all that requests name exist."""
+def _applied(requests: DataFrame, cells: DataFrame | None, dimensions: DataFrame | None, links: DataFrame, fresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``apply_links``; where ``cells`` or ``dimensions`` are None, all that requests name exist. With ``fresh``, b must be new: it is already_linked if it is a cell or was linked before."""
     flags = [F.coalesce(c, F.lit(False)).alias(c) if c in requests.columns else F.lit(False).alias(c) for c in ("splice", "allow_self_ring")]
-    null, named, requests = F.lit(None), cells is None, requests.select("owner", "seq", "dim", "a", "b", *flags)
+    null, requests = F.lit(None), requests.select("owner", "seq", "dim", "a", "b", *flags)
     rows = requests.select("owner", F.lit(3).alias("kind"), *requests.columns[1:])
     rows = rows.union(links.select("owner", F.lit(2), null, "dim", "src", "dst", null, null))
-    if not named:
-        rows = rows.union(cells.select("owner", F.lit(0), null, null, "cell", null, null, null)).union(dimensions.select("owner", F.lit(1), null, "dim", null, null, null, null))
+    if cells is not None:
+        rows = rows.union(cells.select("owner", F.lit(0), null, null, "cell", null, null, null))
+    if dimensions is not None:
+        rows = rows.union(dimensions.select("owner", F.lit(1), null, "dim", null, null, null, null))
+    how = (cells is None, dimensions is None, fresh)
     rows = materialise(rows, "batch")
     if any("<" in t for _, t in rows.dtypes):
-        return _joined(requests, *_existing(requests, cells, dimensions), links)
+        return _joined(requests, *_existing(requests, cells, dimensions), links, fresh)
     large = materialise(rows.groupBy("owner").count().filter(F.col("count") > OWNER).select("owner"), "large")
     if not large.head(1):
-        return _replayed(rows, named)
-    small = _replayed(rows.join(F.broadcast(large), "owner", "left_anti").select(*rows.columns), named)
-    joined = _joined(*[t.join(F.broadcast(large), "owner", "left_semi").select(*t.columns) for t in (requests, *_existing(requests, cells, dimensions), links)])
+        return _replayed(rows, *how)
+    small = _replayed(rows.join(F.broadcast(large), "owner", "left_anti").select(*rows.columns), *how)
+    joined = _joined(*[t.join(F.broadcast(large), "owner", "left_semi").select(*t.columns) for t in (requests, *_existing(requests, cells, dimensions), links)], fresh)
     return small[0].union(joined[0]), small[1].union(joined[1])
 
 
@@ -106,7 +109,7 @@ def _existing(requests: DataFrame, cells: DataFrame | None, dimensions: DataFram
     return named, requests.select("owner", "dim") if dimensions is None else dimensions
 
 
-def _replayed(rows: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
+def _replayed(rows: DataFrame, all_cells: bool, all_dims: bool, fresh: bool) -> tuple[DataFrame, DataFrame]:
     """What ``apply_links`` gives, from rows (owner, kind, seq, dim, a, b, splice, allow_self_ring): cells (0), dimensions (1), links (2) and requests (3).
 
     One shuffle by owner and one sort; a task goes through its owners one after the other and holds one owner's links.
@@ -151,11 +154,13 @@ def _replayed(rows: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
                     last[1].add(asked)
                     if a is not None and a == b and not ring:
                         status = "self_link_forbidden"
-                    elif owner is None or seq is None or a is None or b is None or not (named or (a in cells and b in cells)):
+                    elif fresh and owner is not None and b is not None and b in cells:
+                        status = "already_linked"
+                    elif owner is None or seq is None or a is None or b is None or not (all_cells or (a in cells and (fresh or b in cells))):
                         status = "unknown_cell"
-                    elif dim is None or not (named or dim in dims):
+                    elif dim is None or not (all_dims or dim in dims):
                         status = "unknown_dimension"
-                    elif after is not None and after == b:
+                    elif not fresh and after is not None and after == b:
                         status = "ok"
                     elif y in before or (after is not None and (not splice or y in behind)):
                         status = "already_linked" if splice else "restriction_r_violation"
@@ -178,7 +183,7 @@ def _replayed(rows: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
     return done.filter("status IS NOT NULL").select("owner", "seq", "dim", "a", "b", "status"), done.filter("status IS NULL").select("owner", "dim", F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _joined(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _joined(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links: DataFrame, fresh: bool) -> tuple[DataFrame, DataFrame]:
     """What ``apply_links`` gives, for owners of any size."""
     rows, links = requests.distinct(), links.select(*LINK).distinct()
     known = cells.select("owner", "cell").distinct()
@@ -190,7 +195,8 @@ def _joined(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links:
     rows = rows.join(links.select("owner", "dim", F.col("src").alias("b"), F.lit(True).alias("_after")), ["owner", "dim", "b"], "left")
     early = (
         F.when((F.col("a") == F.col("b")) & ~F.col("allow_self_ring"), "self_link_forbidden")
-        .when(F.col("_a").isNull() | F.col("_b").isNull() | F.col("seq").isNull(), "unknown_cell")
+        .when(F.lit(fresh) & F.col("_b"), "already_linked")
+        .when(F.col("_a").isNull() | (F.col("b").isNull() if fresh else F.col("_b").isNull()) | F.col("seq").isNull(), "unknown_cell")
         .when(F.col("_dim").isNull(), "unknown_dimension")
     )
     taken = {"a_taken": F.col("_next").isNotNull(), "b_taken": F.coalesce("_after", F.lit(False)), "m_taken": F.col("_prev").isNotNull()}
@@ -200,7 +206,7 @@ def _joined(requests: DataFrame, cells: DataFrame, dimensions: DataFrame, links:
     told = checked.join(done.filter("won").select("owner", "dim", "seq", F.lit(True).alias("won")), ["owner", "dim", "seq"], "left")
     after = _spliced(links, done.filter("won"))
     lost = materialise(told.filter("early IS NULL AND won IS NULL"), "lost")
-    same = _linked_then(lost, done.filter("won"), after).withColumn("_same", F.lit(True))
+    same = _linked_then(lost.filter(F.lit(not fresh)), done.filter("won"), after).withColumn("_same", F.lit(True))
     told = told.join(same, ["owner", "dim", "seq"], "left")
     refused = F.when(F.col("splice"), "already_linked").otherwise("restriction_r_violation")
     told = told.select("owner", "seq", "dim", "a", "b", F.coalesce("early", F.when(F.col("won") | F.col("_same"), "ok").otherwise(refused)).alias("status"))
@@ -390,16 +396,13 @@ def make_clones(requests: DataFrame, cells: DataFrame, links: DataFrame) -> tupl
     """Requests (owner, seq, of, clone) with ``status`` (ok, unknown_cell or already_linked), the new cells, and the links with them.
 
     A cell's clones follow it on the clones' dimension, newest first. What is cloned must be there before the batch; a
-    clone that is there already, or made before in the batch, is already_linked.
+    clone that is there already, or made before in the batch, is already_linked. Repeated requests count once; null seqs,
+    owners or cells are unknown_cell.
     """
-    there = cells.select("owner", "cell").distinct()
-    known = there.select("owner", F.col("cell").alias("of"), F.lit(True).alias("_there"))
-    rows = requests.join(known, ["owner", "of"], "left")
-    again = there.select("owner", F.col("cell").alias("clone"), F.lit(True).alias("_again"))
-    rows = rows.join(again, ["owner", "clone"], "left").select(*requests.columns, F.when(F.col("_again"), "already_linked").when(F.col("_there"), "ok").otherwise("unknown_cell").alias("_early"))
-    rows = materialise(rows, "clones")
-    told, after = splice(links, rows.filter("_early = 'ok'").select("owner", F.lit(CLONES).alias("dim"), "seq", F.col("of").alias("a"), F.col("clone").alias("b")))
-    told = rows.join(told.select("owner", "seq", "status"), ["owner", "seq"], "left").select(*requests.columns, F.coalesce("status", "_early").alias("status"))
+    asked = materialise(requests, "clones")  # computed once, also where large owners are joined
+    asked = asked.select("owner", "seq", F.lit(CLONES).alias("dim"), F.col("of").alias("a"), F.col("clone").alias("b"), F.lit(True).alias("splice"), F.lit(True).alias("allow_self_ring"))
+    told, after = _applied(asked, cells, None, links, fresh=True)
+    told = told.select("owner", "seq", F.col("a").alias("of"), F.col("b").alias("clone"), "status")
     new = told.filter("status = 'ok'").select("owner", F.col("clone").alias("cell"), F.lit("clone").alias("kind"), "of")
     return told, new, after
 

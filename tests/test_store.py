@@ -226,3 +226,27 @@ def test_batches_of_requests_take_one_replay(spark, name, monkeypatch):
     monkeypatch.setattr(store, "materialise", lambda df, name: written.append(name) or write(df, name))
     b.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert written == ["batch", "large", "replayed"]
+
+
+@pytest.mark.parametrize("owner", [200_000, 0])
+def test_a_clone_is_made_once(spark, owner, monkeypatch):
+    """A request repeated right behind itself was ok twice, and its clone a cell twice; one without a seq was ok without a link."""
+    monkeypatch.setattr(store, "OWNER", owner)
+    cells = spark.createDataFrame([("u", "c"), ("u", "e"), (None, "c")], "owner string, cell string")
+    rows = [("u", 1, "c", "k1"), ("u", 2, "c", "k1"), ("u", 3, "e", "k1"), ("u", 4, "k1", "k2"), ("u", 5, "c", "e"), ("u", 6, "c", "c"), ("u", 7, "gone", "e"), ("u", 8, "c", "k3"), ("u", 8, "c", "k3")]
+    rows += [("u", None, "c", "k4"), ("u", 9, "c", None), ("u", 10, None, "k5"), (None, 11, "c", "c"), ("u", 12, "gone", "gone"), ("u", 13, "e", "old"), ("u", 14, "e", "k6")]
+    told, new, after = store.make_clones(spark.createDataFrame(rows, "owner string, seq long, of string, clone string"), cells, spark.createDataFrame([("u", store.CLONES, "c", "old")], LINKS))
+    assert told.columns == ["owner", "seq", "of", "clone", "status"] and told.count() == len(rows) - 1
+    status = {r["seq"]: r["status"] for r in told.collect()}
+    assert status == {k: "ok" for k in (1, 8, 14)} | {k: "already_linked" for k in (2, 3, 5, 6, 7, 13)} | {k: "unknown_cell" for k in (None, 4, 9, 10, 11, 12)}
+    assert sorted((r["cell"], r["of"]) for r in new.collect()) == [("k1", "c"), ("k3", "c"), ("k6", "e")]
+    assert sorted((r["src"], r["dst"]) for r in after.collect()) == [("c", "k3"), ("e", "k6"), ("k1", "old"), ("k3", "k1")]
+
+
+def test_clones_are_checked_without_a_join(spark):
+    """What is there goes through the replay with the requests: three joins shuffled the requests again before."""
+    asked = spark.range(50).select((F.col("id") % 7).alias("owner"), F.col("id").alias("seq"), F.lit("c").alias("of"), F.concat(F.lit("k"), "id").alias("clone"))
+    cells = spark.range(7).select(F.col("id").alias("owner"), F.lit("c").alias("cell"))
+    for out in store.make_clones(asked, cells, spark.createDataFrame([], "owner long, dim string, src string, dst string")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
