@@ -250,3 +250,17 @@ def test_clones_are_checked_without_a_join(spark):
     for out in store.make_clones(asked, cells, spark.createDataFrame([], "owner long, dim string, src string, dst string")):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(30,2)", "double", "timestamp"])
+def test_names_stay_what_they_are_in_a_replay(spark, kind):
+    """Whole numbers beyond doubles, texts, and kinds that are no plain objects of NumPy, each beside nulls."""
+    name = {"timestamp": "timestamp_micros({})"}.get(kind, f"cast({{}} AS {kind})").format
+    big = 2**53 + 1 if kind != "timestamp" else 1_700_000_000_000_001
+    asked = spark.range(40).selectExpr(f"{name(f'{big} + id % 4')} AS owner", f"IF(id = 7, NULL, {big} + id) AS seq", "'d' AS dim", f"{name(f'{big} + 2 * id')} AS a", f"IF(id = 9, NULL, {name(f'{big} + 2 * id + 2000')}) AS b", "IF(id = 11, NULL, id % 2 = 0) AS splice")
+    told, after = store.splice(spark.createDataFrame([], f"owner {kind}, dim string, src {kind}, dst {kind}"), asked)
+    assert [told.schema[c].dataType for c in ("owner", "seq", "a", "b")] == [asked.schema[c].dataType for c in ("owner", "seq", "a", "b")]
+    expected = asked.selectExpr("owner", "seq", "dim", "a", "b", "IF(seq IS NULL OR b IS NULL, 'unknown_cell', 'ok') AS status")
+    assert told.exceptAll(expected).count() == 0 == expected.exceptAll(told).count()
+    links = expected.filter("status = 'ok'").select("owner", "dim", "a", "b")
+    assert after.exceptAll(links).count() == 0 == links.exceptAll(after).count()
